@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_batches
 from .common import text_bytes
 
 #: Entries of a worker's memos: pre-tokens, and what stands between two spaces (twice: the last full memo is kept).
@@ -342,4 +343,4 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[
                     columns += [pa.array(shas), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(a.split()[0] for a in added)])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes().alias("_text")).mapInArrow(encode, schema)
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes().alias("_text")), encode, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, language_id, simhash_dedup
 from .common import table
 
 
@@ -17,8 +17,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_dedup.duplicate_groups(table(spark, sf_dir, "documents"), radius=3)
+    return groups.select("doc_id", simhash_dedup.hexadecimal().alias("fingerprint"), "component_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_simhash": op8_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
