@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, simhash_dedup
+from . import byte_bpe, language_id, secret_scan, simhash_dedup
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.duplicate_groups(table(spark, sf_dir, "documents"), radius=3)
     return groups.select("doc_id", simhash_dedup.hexadecimal().alias("fingerprint"), "component_id")
@@ -30,6 +34,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_secret_scan": op6_secret_scan,
     "op8_simhash": op8_simhash,
     "op10_language_id": op10_language_id,
 }
