@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, secret_scan, simhash_dedup
+from . import byte_bpe, language_id, mixing, secret_scan, simhash_dedup, vector_dedup
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.duplicate_groups(table(spark, sf_dir, "documents"), radius=3)
     return groups.select("doc_id", simhash_dedup.hexadecimal().alias("fingerprint"), "component_id")
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_simhash": op8_simhash,
     "op10_language_id": op10_language_id,
 }
