@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, secret_scan, simhash_dedup, vector_dedup
+from . import byte_bpe, language_id, mixing, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
 from .common import table
 
+#: Shards of op5_sharding.
+SHARDS = 16
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -23,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), sharding.shard_names(SHARDS)).select("doc_id", "slot", "shard")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash_dedup.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_codes.write_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_codes.read_documents(spark, files)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
     model = language_id.fit(docs.where("not held_out"))
@@ -45,10 +57,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_sharding": op5_sharding,
     "op6_secret_scan": op6_secret_scan,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_simhash": op8_simhash,
+    "op9_token_codes": op9_token_codes,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": sharding.oracle_sql(SHARDS),
+}
