@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
+from . import byte_bpe, language_id, mixing, quality_rules, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
 from .common import table
 
 #: Shards of op5_sharding.
@@ -26,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.shard_names(SHARDS)).select("doc_id", "slot", "shard")
 
@@ -57,6 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_secret_scan": op6_secret_scan,
     "op7_vector_dedup": op7_vector_dedup,
