@@ -1 +1 @@
-"""A part of verdictlake; see the README."""
+"""A Spark-native library for evaluating automated judges of language-model answers."""

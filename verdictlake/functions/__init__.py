@@ -1 +1 @@
-"""A part of verdictlake; see the README."""
+"""Column expressions: text scalars, labels, scores, heuristic judges."""

@@ -1 +1 @@
-"""A part of verdictlake; see the README."""
+"""Operators from DataFrame to DataFrame."""

@@ -1 +1 @@
-"""A part of verdictlake; see the README."""
+"""Views over the star schema and the registered queries."""

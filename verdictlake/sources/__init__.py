@@ -1 +1 @@
-"""A part of verdictlake; see the README."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""A part of verdictlake; see the README."""
+"""Streaming extensions: running metrics and resumable scoring."""
