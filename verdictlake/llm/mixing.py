@@ -46,11 +46,12 @@ def budgets(sizes: dict, total: float, weights: tuple[float, ...] = (5, 2, 1), r
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that the words sum up as near to budget as they can without exceeding it.
+    """How many documents of each length to take so that the words sum up as near to budget as they can, below it on ties.
 
     Bounded knapsack with reachability by words: for each length a table says how few of its
     documents reach each sum, O(lengths x budget) in all, and the choice is read back from them.
     """
+    goal, budget = budget, budget + min(budget, int(lengths.max(initial=0)))  # sums beyond the goal are candidates too
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
     used: list[np.ndarray] = []
@@ -70,9 +71,10 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
             fewest = gap.reshape(-1)[: budget + 1].astype(np.int32)
         used.append(fewest)
         reached = fewest >= 0
-        if reached[budget]:
+        if reached[goal]:
             break
-    taken, at = np.zeros(len(lengths), np.int64), int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    taken, at = np.zeros(len(lengths), np.int64), int(sums[np.abs(sums - goal).argmin()])
     for k in range(len(used) - 1, -1, -1):
         taken[k] = used[k][at]
         at -= int(taken[k]) * int(lengths[k])
