@@ -131,3 +131,49 @@ def conformal(dev: DataFrame, test: DataFrame, alpha: float = 0.1, labels=PAIRWI
     sets = test.crossJoin(F.broadcast(q)).select(gold.alias("g"), F.transform("probs", lambda p: 1 - p).alias("s"), "q")  # one row
     size = F.greatest(F.lit(1), F.size(F.filter("s", lambda x: x <= F.col("q"))))
     return sets.agg(F.count("*").alias("n"), F.avg(size.cast("double")).alias("mean_set_size"), F.avg((F.get("s", F.col("g")) <= F.col("q")).cast("double")).alias("coverage"))
+
+
+UNSUPPORTED_THRESHOLDS = tuple(round(0.10 + 0.05 * k, 2) for k in range(17))
+RESCUE_TIES, RESCUE_MARGINS, RESCUE_CONFIDENCES = (0.20, 0.25, 0.30, 0.35, 0.40), (0.05, 0.10, 0.15, 0.20), (0.45, 0.50, 0.55, 0.60)
+
+
+def binary_threshold_search(df: DataFrame, score: str, gold: str, thresholds=UNSUPPORTED_THRESHOLDS, by: list[str] | None = None) -> DataFrame:
+    """by, threshold, n, accuracy and macro_f1 of calling a row positive from each threshold of a probability on.
+
+    Rows are reduced to the number of thresholds that they reach.
+    """
+    by = by or []
+    level = reduce(lambda a, b: a + b, ((F.col(score) >= t).cast("int") for t in thresholds))
+    cells = df.groupBy(*by, F.col(gold).cast("int").alias("g"), level.alias("level")).agg(F.count("*").alias("n"))
+    grid = df.sparkSession.createDataFrame([(float(t), i) for i, t in enumerate(sorted(thresholds), 1)], "threshold double, i int")
+    met = cells.crossJoin(F.broadcast(grid)).withColumn("p", (F.col("level") >= F.col("i")).cast("int"))  # a table of levels with a fixed list
+    at = lambda g, p: F.sum(F.when((F.col("g") == g) & (F.col("p") == p), F.col("n")).otherwise(0))
+    t = met.groupBy(*by, "threshold").agg(at(1, 1).alias("tp"), at(0, 1).alias("fp"), at(1, 0).alias("fn"), at(0, 0).alias("tn"))
+    f = lambda a, b, c: F.coalesce(F.try_divide(2.0 * F.col(a), 2 * F.col(a) + F.col(b) + F.col(c)), F.lit(0.0))
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return t.select(*by, "threshold", n.alias("n"), ((F.col("tp") + F.col("tn")) / n).alias("accuracy"), ((f("tp", "fp", "fn") + f("tn", "fn", "fp")) / 2).alias("macro_f1"))
+
+
+def tie_rescue_search(df: DataFrame, ties=RESCUE_TIES, margins=RESCUE_MARGINS, confidences=RESCUE_CONFIDENCES) -> DataFrame:
+    """For each triple: rows turned into ties (tie probability and closeness as given, confidence at most), how many are ties, accuracy and tie recall after.
+
+    Rows are reduced to their levels in the three lists.
+    """
+    p = [F.get("probs", F.lit(k)) for k in range(3)]
+    count = lambda cuts, ok: reduce(lambda a, b: a + b, (ok(F.lit(c)).cast("int") for c in cuts))
+    cells = df.where("predicted <> 'Tie'").groupBy(
+        (F.col("gold") == "Tie").alias("tie"), "correct", count(ties, lambda c: p[2] >= c).alias("tl"), count(margins, lambda c: F.abs(p[0] - p[1]) > c).alias("ml"), count(confidences, lambda c: F.col("confidence") > c).alias("cl")
+    ).agg(F.count("*").alias("n"))
+    grid = [(float(a), float(b), float(c), i, j, k) for i, a in enumerate(ties, 1) for j, b in enumerate(margins) for k, c in enumerate(confidences)]
+    frame = df.sparkSession.createDataFrame(grid, "min_tie double, max_margin double, max_confidence double, i int, j int, k int")
+    whole = df.agg(F.count("*").alias("rows"), F.sum(F.col("correct").cast("long")).alias("hits"), F.sum((F.col("gold") == "Tie").cast("long")).alias("gold_ties"), F.sum(((F.col("gold") == "Tie") & F.col("correct")).cast("long")).alias("tie_hits"))
+    hit = (F.col("tl") >= F.col("i")) & (F.col("ml") <= F.col("j")) & (F.col("cl") <= F.col("k"))
+    met = frame.join(F.broadcast(cells.alias("c")), hit, "left")  # at most 2 x 2 x 6 x 5 x 5 rows of levels
+    one = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    sums = met.groupBy("min_tie", "max_margin", "max_confidence").agg(one(F.col("n").isNotNull()).alias("rescued"), one(F.col("tie")).alias("rescued_ties"), one(F.col("correct")).alias("lost"))
+    out = sums.crossJoin(F.broadcast(whole))  # one row
+    return out.select(
+        "min_tie", "max_margin", "max_confidence", "rescued", "rescued_ties",
+        ((F.col("hits") + F.col("rescued_ties") - F.col("lost")) / F.col("rows")).alias("accuracy"),
+        F.try_divide((F.col("tie_hits") + F.col("rescued_ties")).cast("double"), F.col("gold_ties")).alias("tie_recall"),
+    )
