@@ -29,12 +29,14 @@ def test_text_scalars(spark):
         j=T.has_negation(F.lit("It is NOT so")),
         k=T.comparative_groups(F.lit("more of the least")),
         m=T.strip_prefix(F.lit("Human:  hi"), "human:"),
+        o=T.alias_entities(F.lit("World Health Organization and Cassini-Huygens probes")),
         n=T.join_parts(F.array(F.lit("a" * 30), F.lit("b" * 30)), 40),
     )
     assert (r.a, r.b, r.c, r.d) == ("x y", "zh", "abcd…", "call [PHONE] now")
     assert set(r.e) == {"1000", "2.5"} and set(r.f) == {"1999", "2001", "2020", "march 3, 2001", "4/5/2020"}
     assert set(r.g) == {"nasa", "cassini", "b612", "internationally"}
     assert r.h == ["One.", "Two!", "Three"] and r.i == 1 and r.j and set(r.k) == {"increase", "minimum"} and r.m == "hi"
+    assert {"who", "cassinihuygens", "organization"} <= set(r.o)
     assert r.n.endswith(" ... [TRUNCATED]") and len(r.n) <= 40
 
 
@@ -112,6 +114,7 @@ def test_evidence(spark):
     r = {x.id: x for x in profiles.evidence_profile(df).collect()}
     assert r[1].context_support == pytest.approx(1.0) and r[1].evidence_risk == 0 and r[1].reasons == []
     assert r[2].numeric_evidence_gap == 1.0 and "numeric_evidence_gap" in r[2].reasons and r[2].evidence_risk >= 0.9
+    assert r[2].entity_alias_gap == 0.0 and 0 <= r[2].anchored_severity <= 1 and r[1].anchored_severity == 0.0
     assert r[3].negation_mismatch == 1.0 and r[4].low_support_sentence_ratio == 0.0 and r[5].low_support_sentence_ratio == 1.0
 
 

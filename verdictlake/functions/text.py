@@ -143,6 +143,16 @@ def entities(c) -> Column:
     return F.array_distinct(F.transform(named, F.lower))
 
 
+def alias_entities(c) -> Column:
+    """Entities without hyphens, also without a plural s, and the initials of capitalised phrases."""
+    plain = F.transform(entities(c), lambda t: F.replace(t, F.lit("-"), F.lit("")))
+    singular = F.transform(F.filter(plain, lambda t: (F.length(t) > 4) & t.endswith("s")), lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
+    phrases = F.regexp_extract_all(normalize(c), F.lit(r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,5}\b"), F.lit(0))
+    stop = F.array(*(F.lit(w) for w in STOPWORDS))
+    initials = F.transform(phrases, lambda p: F.array_join(F.transform(F.filter(F.split(F.lower(p), " "), lambda w: ~F.array_contains(stop, w)), lambda w: F.substring(w, 1, 1)), ""))
+    return F.array_distinct(F.filter(F.concat(plain, singular, F.filter(initials, lambda x: F.length(x) >= 2)), lambda x: x != ""))
+
+
 def sentences(c) -> Column:
     text = normalize(c)
     return F.filter(F.split(text, r"(?<=[.!?。！？])\s+"), lambda s: s != "")
@@ -183,15 +193,22 @@ def gap(a: Column, *blocks: Column) -> Column:
     return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_except(a, have)) / F.size(F.array_distinct(a)))
 
 
-def support(answer, evidence) -> Column:
-    """How far an evidence text covers an answer: tokens, long tokens and, if there are any, numbers."""
-    a, e = token_set(answer), token_set(evidence)
-    long_a = F.filter(a, lambda t: t.rlike(rf"^\d+$|^[{CJK}]$") | (F.length(t) >= 4))
-    n, have = numbers(answer), numbers(evidence)
+def long_tokens(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: t.rlike(rf"^\d+$|^[{CJK}]$") | (F.length(t) >= 4))
+
+
+def support_of_sets(a: Column, long_a: Column, n: Column, e: Column, have: Column) -> Column:
+    """Support from token sets, long tokens and numbers of the answer, tokens and numbers of the evidence."""
     share, long_share = coverage(a, e), coverage(long_a, e)
     with_numbers = 0.45 * share + 0.30 * long_share + 0.25 * (F.size(F.array_intersect(n, have)) / F.greatest(F.lit(1), F.size(n)))
+    return F.when(F.size(n) > 0, with_numbers).otherwise(0.65 * share + 0.35 * long_share)
+
+
+def support(answer, evidence) -> Column:
+    """How far an evidence text covers an answer: tokens, long tokens and, if there are any, numbers."""
+    a = token_set(answer)
     empty = (normalize(answer) == "") | (normalize(evidence) == "")
-    return F.when(empty, 0.0).when(F.size(n) > 0, with_numbers).otherwise(0.65 * share + 0.35 * long_share)
+    return F.when(empty, 0.0).otherwise(support_of_sets(a, long_tokens(a), numbers(answer), token_set(evidence), numbers(evidence)))
 
 
 # Words that negate, and groups of words that compare.
