@@ -77,4 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": sharding.oracle_sql(SHARDS),
+    "op6_secret_scan": secret_scan.oracle_sql(),
+    "op7_vector_dedup": vector_dedup.ORACLE_SQL,
 }

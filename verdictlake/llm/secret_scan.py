@@ -270,3 +270,20 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES, base: int = len(BASE_RULES)) -> str:
+    """DuckDB SQL for digest(): every rule's expression over every text, positions from the lengths of matches and of what lies between."""
+    quoted = [r.pattern.replace("'", "''") for r in rules]
+    parsed = ", ".join(
+        f"regexp_extract_all(t, '{p}', 0) AS m{i}, regexp_extract_all(t, '{p}', {r.group}) AS j{i}, string_split_regex(t, '{p}') AS b{i}" for i, (r, p) in enumerate(zip(rules, quoted))
+    )
+    spans = ", ".join(
+        f"list_filter(list_transform(range(1, len(m{i}) + 1), lambda x: {{'s': coalesce(list_sum(list_transform(b{i}[1:x], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m{i}[1:x - 1], lambda y: length(y))), 0), "
+        f"'k': {i}, 'n': length(m{i}[x]), 'ok': length(j{i}[x]) >= {r.least}}}), lambda x: x.ok) AS s{i}"
+        for i, r in enumerate(rules)
+    )
+    names = "[" + ", ".join(f"'{r.kind}'" for r in rules) + "]"
+    text = lambda last: f"coalesce(array_to_string(list_transform(list_sort(flatten([{', '.join(f's{i}' for i in range(last))}])), lambda x: {names}[x.k + 1] || ':' || x.s::BIGINT::VARCHAR || ':' || (x.s + x.n)::BIGINT::VARCHAR), ','), '')"
+    counts = ", ".join(f"len(s{i})::BIGINT AS n_{r.kind}" for i, r in enumerate(rules[:base]))
+    return f"SELECT doc_id, {counts}, sha256({text(base)}) AS base_sha256, {text(len(rules))} AS spans FROM (SELECT doc_id, {spans} FROM (SELECT doc_id, {parsed} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))"
