@@ -407,8 +407,10 @@ def _generated(rng: random.Random) -> str:
     head = [p() for p in (nav, top, ad, notice, form) if rng.random() < 0.45]
     tail = [p() for p in (side, comments, share, ad, nav, notice, form) if rng.random() < 0.28]
     rng.shuffle(head), rng.shuffle(tail)
-    if rng.random() < 0.08:
+    if rng.random() < 0.10:  # a page that is nothing but its text
         head, tail = [], []
+        if rng.random() < 0.6:
+            content = f'<body data-label="k">{"".join(inside)}'
     tail += [bottom()] if rng.random() < 0.85 else []
     if rng.random() < 0.25:
         content = f"<div{named('wrapper', 'container', 'page', 'row')}>{''.join(head[1:])}{content}{''.join(tail[:1])}</div>"
