@@ -20,7 +20,7 @@ from .common import WORD, written
 #: Words that the dynamic programme may spend at most; the proportional share leaves no more than it can.
 KNAPSACK_WORDS = 1 << 16
 #: Documents of one source and length that one hash range should hold.
-RANGE_DOCUMENTS = 2_000
+RANGE_DOCUMENTS = 200
 
 
 def budgets(sizes: dict, total: float, weights: tuple[float, ...] = (5, 2, 1), repeats: float = 2) -> dict:
