@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,9 @@ MAGIC = b"DAC1"
 #: Bits that a rank directory's entry covers.
 RUN = 512
 #: Tokens after which a file is closed, characters of text that a range of documents should hold, words of a worker's memo (twice).
-FILE_TOKENS, RANGE_CHARS, MEMO_WORDS = 4_000_000, 16_000_000, 250_000
+FILE_TOKENS, RANGE_CHARS, MEMO_WORDS = 4_000_000, 16_000_000, 700_000
+
+MARKS = tuple(bytes([b]) for b in b".,;:!?")
 
 
 def encode_codes(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -155,23 +158,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.lowers = '"Lowercase"' in self.tokenizer.to_str()
         self.words: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.replace(b"\n", b" ").split(b" ") for t in texts]
+        # The tokenizer lower-cases after composing characters; without combining marks the order is the same.
+        small = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts] if self.lowers else texts
+        cut = [t.replace(b"\n", b" ").split(b" ") for t in small]
         if len(self.words) > MEMO_WORDS:
             self.old, self.words = self.words, {b"": b""}
-        words, old, new = self.words, self.old, []
+        words, old, new, marked = self.words, self.old, set(), []
         for word in set().union(*cut).difference(words):
-            if word in old:
-                words[word] = old[word]
+            if (known := old.get(word)) is not None:
+                words[word] = known
+            elif word[-1:] in MARKS and word[-2:-1].isalpha():
+                # Letters and a mark after them are tokenized apart, so the letters' ids serve every mark.
+                stem, mark = word[:-1], word[-1:]
+                marked.append((word, stem, mark))
+                for part in (stem, mark):
+                    if part not in words:
+                        if (known := old.get(part)) is not None:
+                            words[part] = known
+                        else:
+                            new.add(part)
             else:
-                new.append(word)
+                new.add(word)
         if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for word, x in zip(new, found):
-                words[word] = np.array(x.ids, self.kind).tobytes()
+            parts = list(new)
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in parts], add_special_tokens=False)
+            for word, x in zip(parts, found):
+                words[word] = array(self.code, x.ids).tobytes()
+        for word, stem, mark in marked:
+            words[word] = words[stem] + words[mark]
         take = words.__getitem__
         return [b"".join(map(take, x)) for x in cut]
 
@@ -201,8 +221,8 @@ def write_codes(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str |
         encoder = word_encoder(tokenizer_file)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
                 ids = [x + end for x in encoder.encode_all(part.column(1).to_pylist())]
                 keys = part.column(0).cast(pa.int64())
                 place = np.searchsorted(edges, keys.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
@@ -253,12 +273,11 @@ def read_documents(spark, files: list[tuple[str, int]]) -> DataFrame:
         for batch in batches:
             for uri, before in zip(*(c.to_pylist() for c in batch.columns)):
                 file = CodeFile(get(uri))
-                starts, sizes, sums = [], [], []
-                for k in range(file.n_docs):
-                    start, ids = file.document(k)
-                    starts.append(before + start)
-                    sizes.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                ids = memoryview(file.tokens(0, file.n_tokens).astype("<u4").tobytes())  # FILE_TOKENS and one document at most
+                cuts = [0, *file.ends.tolist()]
+                starts = [before + x for x in cuts[:-1]]
+                sizes = [b - a for a, b in zip(cuts, cuts[1:])]
+                sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (file.doc_ids, starts, sizes, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     places = spark.createDataFrame(rows, "uri string, before long")
