@@ -58,3 +58,11 @@ def test_null_ids_and_no_rows(spark):
     found = {tuple(r) for r in v.near_duplicates(df).collect()}
     assert found == {(None, 1, 3, False), (3, 1, 3, True), (None, 0, None, False)}
     assert v.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_default_loses_no_link_on_many_cells_of_few_dimensions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=2)]) for k in range(300)]  # a circle: every link is along the line between centroids
+    rows += [(300 + k, [float(x) for x in rng.normal(size=4)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in v.near_duplicates(df, per_cell=10).collect()) == brute(rows)
