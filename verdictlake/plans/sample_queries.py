@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -176,8 +178,8 @@ FROM (SELECT *, {_words_sql('prompt', 3)} AS wp, {_words_sql('context', 3)} AS w
 
 
 @query("heuristic_pairwise_judge", _JUDGE_SQL, "samples")
-def heuristic_pairwise_judge(spark, sf_dir):
-    j = samples(spark, sf_dir).select("id", S.heuristic_pairwise().alias("j"))
+def heuristic_pairwise_judge(spark, sf_dir, whole=False):
+    j = samples(spark, sf_dir, whole).select("id", S.heuristic_pairwise().alias("j"))
     return rounded(j.select("id", "j.score_a", "j.score_b", "j.label"))
 
 
@@ -193,8 +195,8 @@ SELECT id, round((1 + 4 * least(1, p + 0.2))::DOUBLE, 4) AS relevance, round(lea
 FROM (SELECT id, {_shared_sql('prompt')}::DOUBLE AS p, {_shared_sql('context')}::DOUBLE AS c, length({norm('answer_a')})::DOUBLE AS n, {_sentences_sql('answer_a')}::DOUBLE AS s FROM (SELECT *, {_words_sql('answer_a', 2)} AS own FROM samples)))""",
     "samples",
 )
-def heuristic_direct_judge(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumn("reference", F.lit(None).cast("string"))
+def heuristic_direct_judge(spark, sf_dir, whole=False):
+    s = samples(spark, sf_dir, whole).withColumn("reference", F.lit(None).cast("string"))
     dims = ("relevance", "completeness", "factuality", "instruction_following", "clarity")
     return s.select("id", S.heuristic_direct().alias("j")).select("id", *(f"j.{d}" for d in dims), F.round(sum((F.col(f"j.{d}") for d in dims), F.lit(4.0)) / 6, 6).alias("overall"))
 
@@ -211,8 +213,8 @@ def heuristic_direct_judge(spark, sf_dir):
     + f" FROM (SELECT *, length({norm('answer_a')}) AS la, length({norm('answer_b')}) AS lb, {_words_sql('answer_a', 2)} AS a, {_words_sql('answer_b', 2)} AS b, {_words_sql('prompt', 2)} AS p, {_words_sql('context', 2)} AS c FROM samples)",
     "samples",
 )
-def pairwise_features(spark, sf_dir):
-    return rounded(profiles.pairwise_features(samples(spark, sf_dir)))
+def pairwise_features(spark, sf_dir, whole=False):
+    return rounded(profiles.pairwise_features(samples(spark, sf_dir, whole)))
 
 
 _SIDE = "CASE {} WHEN 'A>B' THEN 'a' WHEN 'B>A' THEN 'b' WHEN 'Tie' THEN 'tie' END"
@@ -255,7 +257,7 @@ for _name in ("bias_profile", "bias_summary"):
 @query("evidence_profile", None)
 def evidence_profile(spark, sf_dir):
     """Sentence by sentence matching isn't expressed in SQL; tests compare it with plain Python."""
-    e = profiles.evidence_profile(samples(spark, sf_dir))
+    e = profiles.evidence_profile(samples(spark, sf_dir, whole=True))
     return e.select("id", *profiles.SIDES, "evidence_risk", F.array_join("reasons", ";").alias("reasons"))
 
 
@@ -275,11 +277,16 @@ SELECT id, {norm('answer_a')} AS x, {norm('context')} AS y, {_tokens_sql('answer
   list_distinct(list_transform(regexp_extract_all({norm('answer_a')}, '\\d+(?:[,.]\\d+)?'), lambda v: replace(v, ',', ''))) AS n, list_distinct(list_transform(regexp_extract_all({norm('context')}, '\\d+(?:[,.]\\d+)?'), lambda v: replace(v, ',', ''))) AS m FROM samples)))""",
     "samples",
 )
-def evidence_support(spark, sf_dir):
-    s = samples(spark, sf_dir)
+def evidence_support(spark, sf_dir, whole=False):
+    s = samples(spark, sf_dir, whole)
     return rounded(s.select("id", T.support(F.col("answer_a"), F.col("context")).alias("support"), T.gap(T.numbers("answer_a"), T.numbers("context")).alias("numeric_gap")))
 
 
+# The same four over whole documents: their SQL twins cut the context, so these are tested against plain Python.
+for _f in (evidence_support, pairwise_features, heuristic_pairwise_judge, heuristic_direct_judge):
+    query(f"{_f.__name__}_whole", None)(partial(_f, whole=True))
+
+
 @query("label_coverage", "SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS required, count(*) AS covered, round(count(*) / (SELECT count(DISTINCT doc_id) FROM documents), 6) AS coverage FROM (SELECT DISTINCT d.doc_id FROM documents d JOIN labels USING (doc_id))")
 def label_coverage(spark, sf_dir):
     return rounded(joins.coverage_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id"))

@@ -39,12 +39,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, dataset, prompt, answer_a, answer_b, context, human_label, bias_type: the first user turn of a conversation, the reply to it, the reply of the next conversation, a document."""
+def samples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """id, dataset, prompt, answer_a, answer_b, context, human_label, bias_type: the first user turn of a conversation, the reply to it, the reply of the next conversation, a document.
+
+    With whole the context is the whole document, which has no DuckDB twin; otherwise its first 400 characters, as in VIEWS_SQL.
+    """
     m = messages(spark, sf_dir)
     prompt = m.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
     reply = m.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id")).alias("conv_id"), F.substring("text", 1, 400).alias("context"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id")).alias("conv_id"), (F.col("text") if whole else F.substring("text", 1, 400)).alias("context"))
     other = reply.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("answer_b"))
     rows = prompt.join(reply.withColumnRenamed("answer", "answer_a"), "conv_id").join(other, "conv_id", "left").join(docs, "conv_id", "left")
     k = F.col("conv_id")
