@@ -59,3 +59,29 @@ def test_odd_rows(odd, none):
     assert len(plan) == odd.count() and plan.loc[plan.doc_id == 1, "size"].iloc[0] == 0
     assert mixing.mix(odd).columns == odd.columns
     assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_sources_of_few_long_documents():
+    def off(lengths, counts, target):
+        lengths, counts = np.array(lengths), np.array(counts)
+        copies, more = mixing.fit_source(lengths, counts, target)
+        assert (0 <= more).all() and (more <= counts).all()
+        return abs(copies * int((lengths * counts).sum()) + int((more * lengths).sum()) - target)
+
+    assert off([140_000], [1], 139_000) == 1_000
+    assert off([60_000], [5], 90_000) == 30_000
+    assert off([70_000, 71_000, 100_000], [1, 1, 1], 141_000) == 0
+    rng = random.Random(7)
+    for _ in range(20):
+        lengths = sorted(rng.sample(range(66_000, 400_000), 5))
+        counts = [rng.randint(1, 3) for _ in lengths]
+        whole = sum(a * b for a, b in zip(lengths, counts))
+        target = rng.randint(1, whole - 1)
+        sums = [sum(a * b for a, b in zip(x, lengths)) for x in itertools.product(*[range(c + 1) for c in counts])]
+        assert off(lengths, counts, target) == min(abs(s - target) for s in sums)
+
+
+def test_long_documents_beyond_the_exact_search(monkeypatch):
+    monkeypatch.setattr(mixing, "EXACT_SUMS", 0)
+    copies, more = mixing.fit_source(np.array([140_000]), np.array([1]), 139_000)
+    assert copies == 0 and more.tolist() == [1]

@@ -19,6 +19,8 @@ from .common import WORD, written
 
 #: Words that the dynamic programme may spend at most; the proportional share leaves no more than it can.
 KNAPSACK_WORDS = 1 << 16
+#: Sums and steps (sums times pieces) up to which the documents of a source are searched as a whole if the share missed its target.
+EXACT_SUMS, EXACT_STEPS = 1 << 25, 1 << 32
 #: Documents of one source and length that one hash range should hold.
 RANGE_DOCUMENTS = 200
 
@@ -81,6 +83,42 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return taken
 
 
+def _pieces(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(place, documents): each length's documents in lots of 1, 2, 4, ... and the rest, which add up to any count."""
+    out = []
+    for k, (length, left) in enumerate(zip(lengths.tolist(), counts.tolist())):
+        lot = 1
+        while length > 0 and left > 0:
+            out.append((k, min(lot, left)))
+            left -= lot
+            lot *= 2
+    return out
+
+
+def nearest(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """knapsack() without a table for each length: 5 bytes for each sum, which keeps the lot that first reached it."""
+    span = goal + min(goal, int(lengths.max(initial=0)))
+    reached, first = np.zeros(span + 1, bool), np.full(span + 1, -1, np.int32)
+    reached[0] = True
+    pieces = _pieces(lengths, counts)
+    for p, (k, n) in enumerate(pieces):
+        words = n * int(lengths[k])
+        if words > span:
+            continue
+        new = reached[: span + 1 - words] & ~reached[words:]
+        first[words:][new] = p
+        reached[words:] |= new
+        if reached[goal]:
+            break
+    sums = np.flatnonzero(reached)
+    taken, at = np.zeros(len(lengths), np.int64), int(sums[np.abs(sums - goal).argmin()])
+    while at:
+        k, n = pieces[first[at]]
+        taken[k] += n
+        at -= n * int(lengths[k])
+    return taken
+
+
 def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """Whole copies of all documents, and how many documents of each length are taken once more."""
     size = int((lengths * counts).sum())
@@ -90,6 +128,7 @@ def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
     budget = int(round(target)) - copies * size
     if budget <= 0:
         return copies, np.zeros(len(lengths), np.int64)
+    goal = budget
     # A proportional share, short of the budget by about what the programme spends.
     spare = min(KNAPSACK_WORDS // 2, budget)
     share = np.floor(counts * ((budget - spare) / size)).astype(np.int64)
@@ -101,11 +140,16 @@ def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
                 share[k], left[k], budget = share[k] + n, left[k] - n, budget - n * int(lengths[k])
             if budget <= KNAPSACK_WORDS:
                 break
-    if 0 < budget <= KNAPSACK_WORDS:
+    if budget > 0:
         order = np.argsort(-lengths, kind="stable")
         more = np.zeros(len(lengths), np.int64)
-        more[order] = knapsack(lengths[order], left[order], budget)
+        # Above the cap only documents of more than KNAPSACK_WORDS // 2 words are left.
+        more[order] = (knapsack if budget <= KNAPSACK_WORDS else nearest)(lengths[order], left[order], budget)
         share += more
+    if int((share * lengths).sum()) != goal:  # few documents, or long ones: others than those of the share may come nearer
+        sums = goal + min(goal, int(lengths.max()))
+        if sums <= EXACT_SUMS and sums * len(_pieces(lengths, counts)) <= EXACT_STEPS:
+            share = nearest(lengths, counts, goal)
     return copies, share
 
 
