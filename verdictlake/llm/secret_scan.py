@@ -65,6 +65,11 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+# What redact() takes out: of a private key the whole block, up to its END line or, without one, as far as base64 lines go.
+_BODY = r"(?:[\s\\]*(?:Proc-Type|DEK-Info):[^\n\\]*){0,2}(?:[\s\\]*[A-Za-z0-9+/=]{16,}){1,1000}(?:\s*[A-Za-z0-9+/]+={1,2}|\r?\n[A-Za-z0-9+/]{1,15}(?=\s*\n|\s*$))?"
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,16}-----END [A-Z ]*PRIVATE KEY-----|" + _BODY + ")?"
+REDACTED = tuple(Rule(r.kind, KEY_BLOCK) if r.kind == "private_key" else r for r in RULES)
+
 Clauses = frozenset  # of frozensets of trigrams: an OR of ANDs; a clause without trigrams asks for nothing
 
 
@@ -252,7 +257,7 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BAS
     return rows.select("doc_id", *counts, F.sha2(listed(first, rules).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mark (overlapping ones by one), n_chars following the text if there."""
     rows = scan(docs, rules)
 
