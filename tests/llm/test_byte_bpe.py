@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -23,8 +24,9 @@ def test_random_texts(both):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     for text, found in zip(texts, own.encode_all(texts)):
         want = other.encode_ordinary(text)
-        assert [i for ids, _ in found for i in ids] == want, text
-        assert ",".join(d for _, d in found) == ",".join(map(str, want))
+        ids = np.frombuffer(found, own.kind)
+        assert ids.tolist() == want, text
+        assert b"".join(own.decimals(ids)).decode() == ",".join(map(str, want))
         assert own.decode(want) == text.encode()
 
 
@@ -38,7 +40,28 @@ def test_queue_alone_and_together_agree(both):
     own, _ = both
     rng = random.Random(2)
     pieces = [bytes(rng.choice(b"abenthiosr ") for _ in range(rng.randint(2, 32))) for _ in range(3000)]
-    assert own.merge_short(pieces) == [own.merge(p) if p not in own.ranks else own.merge_short([p])[0] for p in pieces]
+    packed = lambda ids: np.array(ids, own.kind).tobytes()
+    assert own.merge_short(pieces) == [packed(own.merge(p)) if p not in own.ranks else own.merge_short([p])[0] for p in pieces]
+
+
+def test_words_with_marks(both):
+    own, other = both
+    rng = random.Random(8)
+    parts = ["the", "ing.", "a,", "x!?", "don't", "it's,", "..", "é.", "naïve", "s", "S;", "漢字", "a1.", "<|endoftext|>", "q" * 60, "b.c", "'", "'s."]
+    texts = [" ".join(rng.choice(parts) + rng.choice(["", "", "\n", "\n\n"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for text, found in zip(texts, own.encode_all(texts)):
+        assert np.frombuffer(found, own.kind).tolist() == other.encode_ordinary(text), text
+
+
+def test_the_memo_is_bounded_in_bytes(both, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 20_000)
+    own = byte_bpe.ByteBPE(both[0].ranks, P.PATTERN)
+    rng = random.Random(9)
+    for _ in range(30):
+        texts = ["a " + " ".join("".join(rng.choice("abcdef") for _ in range(rng.choice([3, 7, 400]))) for _ in range(40)) for _ in range(4)]
+        assert [np.frombuffer(x, own.kind).tolist() for x in own.encode_all(texts)] == [both[1].encode_ordinary(t) for t in texts]
+        assert max(map(len, own.words), default=0) <= byte_bpe.MEMO_CHARS
+        assert len(own.words) + len(own.old) <= 2 * (20_000 // byte_bpe.MEMO_ENTRY + 160)
 
 
 def test_documents(both, odd, none):

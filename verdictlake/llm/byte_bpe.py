@@ -7,19 +7,17 @@ find-first-set steps. All pairs of that rank are taken from left to right; an en
 has changed since is stale and skipped. One merge costs a constant number of steps, so a
 pre-token of n bytes takes O(n) queue steps however long it is (plus sorting within a bucket).
 
-Pre-tokens and space-separated words recur, so each Python worker keeps the ids of those met
-since its bounded memo was last full; every entry came from the queue.
+Space-separated words recur, so each Python worker keeps the packed ids of those met since its
+memo, which is bounded in bytes, was last full; every entry came from the queue.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .common import text_bytes
+from .common import by_bytes, text_bytes
 
-#: Entries of a worker's memos: pre-tokens, and what stands between two spaces (twice: the last full memo is kept).
-MEMO_ENTRIES, MEMO_WORDS = 150_000, 200_000
+#: Bytes of a worker's memo (twice: the last full memo is kept), an entry's without its characters and ids, and the characters of the longest word kept.
+MEMO_BYTES, MEMO_ENTRY, MEMO_CHARS = 40 << 20, 190, 48
+#: Characters of text that are encoded together (one document at least), which bounds what is held beside the memo.
+PART_BYTES = 1 << 20
+MARKS = frozenset(".,;:!?")
 #: Pre-tokens of up to SHORT bytes have their queues stepped together, TOGETHER at a time.
 SHORT, TOGETHER = 32, 2048
 #: The pattern for which a text may be cut before a space that a word follows; others are matched over the whole text.
@@ -50,15 +51,18 @@ class ByteBPE:
         self.vocabulary: list[bytes] = [b""] * size
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
-        self.digits = [str(i) for i in range(size)]
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.single = [np.array([i], self.kind).tobytes() for i in range(size)]
+        longest = len(str(max(0, size - 1))) + 1
+        self.digits = np.frombuffer(b"".join(f"{i},".encode().ljust(longest) for i in range(size)), np.uint8).reshape(size, longest)
+        self.written = self.digits != 32
         # The rank queue: 64 ranks a word of low, 64 words of low a word of mid, and one word for mid. It is empty between calls.
         self.low, self.mid, self.buckets = [0] * (size // 64 + 1), [0] * (size // 4096 + 1), {}
-        self.integers = list(range(size))  # one object for each id in all memos
         self.tables = None
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.long: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        # The memo: packed ids of what stands between two spaces, with that space; the last full memo is kept beside the new one.
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held, self.passing = 0, []
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -138,8 +142,8 @@ class ByteBPE:
         double = np.array([rank_of(bytes([x, y]), -1) for x in range(256) for y in range(256)], np.int32)
         return single, double, keys[order], merged[order]
 
-    def merge_short(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of pre-tokens of up to SHORT bytes: the same queue as in merge(), one for each pre-token, all stepped together."""
+    def merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens of up to SHORT bytes: the same queue as in merge(), one for each pre-token, all stepped together."""
         if self.tables is None:
             self.tables = self._pairs()
         single, double, keys, merged = self.tables
@@ -211,31 +215,25 @@ class ByteBPE:
             where = end[rows, where]
             going = where < size[rows]
             rows, where = rows[going], where[going]
-        flat, stops = list(map(self.integers.__getitem__, ids[alive].tolist())), np.cumsum(alive.sum(1)).tolist()
-        return [tuple(flat[x:y]) for x, y in zip([0, *stops], stops)]
+        flat, stops = ids[alive].astype(self.kind).tobytes(), (np.cumsum(alive.sum(1)) * np.dtype(self.kind).itemsize).tolist()
+        return [flat[x:y] for x, y in zip([0, *stops], stops)]
 
-    def learn(self, tokens: set[str]) -> None:
-        """Puts pre-tokens into the memo, and long ones into a memo of their own for as long as they are needed."""
-        if len(self.tokens) > MEMO_ENTRIES:
-            self.tokens = {}
-        missing, short = tokens.difference(self.tokens), []
-        for piece in missing:
-            raw = piece.encode()
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens, packed: whole tokens by a look, short ones with their queues together, long ones one by one."""
+        out: list[bytes] = [b""] * len(pieces)
+        short, kind = [], self.kind
+        for k, raw in enumerate(pieces):
             if (whole := self.ranks.get(raw)) is not None:
-                self.tokens[piece] = (self.integers[whole],)
+                out[k] = self.single[whole]
             elif len(raw) <= SHORT:
-                short.append((raw, piece))
-            elif piece not in self.long:
-                self.long[piece] = self.merge(raw)
-        short.sort(key=lambda x: len(x[0]))
+                short.append(k)
+            else:
+                out[k] = np.array(self.merge(raw), kind).tobytes()
+        short.sort(key=lambda k: len(pieces[k]))
         for start in range(0, len(short), TOGETHER):
             part = short[start : start + TOGETHER]
-            self.tokens.update(zip((x[1] for x in part), self.merge_short([x[0] for x in part])))
-
-    def _tokens(self, pieces: list[str]) -> list[int]:
-        tokens, long, out = self.tokens, self.long, []
-        for piece in pieces:
-            out += tokens[piece] if piece in tokens else long[piece]
+            for k, ids in zip(part, self.merge_short([pieces[k] for k in part])):
+                out[k] = ids
         return out
 
     def _cut(self, word: str) -> list[str] | None:
@@ -251,25 +249,40 @@ class ByteBPE:
             return None
         return ["\n", *self.find(body)] if fed else self.find(" " + word)
 
-    def _entry(self, pieces: list[str]) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self._tokens(pieces))
-        return ids, ",".join(map(self.digits.__getitem__, ids))
+    def _remember(self, word: str, ids: bytes) -> None:
+        """An entry of the memo; what is long serves its own call alone."""
+        self.words[word] = ids
+        if len(word) > MEMO_CHARS:
+            self.passing.append(word)
+        else:
+            self.held += MEMO_ENTRY + len(word) + len(ids)
 
-    def encode_all(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """For each text, ids and their decimals joined by commas, in pieces that follow each other."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed as numbers of ``kind``."""
         heads, tails = [], []
         for text in texts:
             first, space, rest = text.partition(" ")
             simple = self.spaced and space and first and "\n" not in first
             heads.append(first if simple else text)
             tails.append(rest.replace("\n", " \n").split(" ") if simple else None)
-        if len(self.words) > MEMO_WORDS:
-            self.old, self.words = self.words, {}
-        missing = set(chain.from_iterable(t for t in tails if t)).difference(self.words)
-        cuts = {}
-        for word in missing:
-            if word in self.old:
-                self.words[word] = self.old[word]
+        if self.held > MEMO_BYTES:
+            self.old, self.words, self.held = self.words, {}, 0
+        words, old = self.words, self.old
+        cuts: dict[str, list[str] | None] = {}
+        marked, stems = [], set()
+        for word in set(chain.from_iterable(t for t in tails if t)).difference(words):
+            if (known := old.get(word)) is not None:
+                self._remember(word, known)
+                continue
+            stem = word[:-1] if word[-1:] in MARKS else word
+            if stem.isascii() and stem.isalpha():  # letters are one pre-token, a mark after them is another
+                if stem is not word:
+                    marked.append((word, stem, word[-1]))
+                if stem not in words:
+                    if (known := old.get(stem)) is not None:
+                        self._remember(stem, known)
+                    else:
+                        stems.add(stem)
             else:
                 cuts[word] = self._cut(word)
         odd = {word for word, pieces in cuts.items() if pieces is None}
@@ -278,19 +291,35 @@ class ByteBPE:
                 if tail and not odd.isdisjoint(tail):
                     heads[k], tails[k] = texts[k], None
         heads = [self.find(x) for x in heads]
-        tokens = set(chain.from_iterable(x for x in cuts.values() if x))
-        tokens.update(*heads)
-        self.learn(tokens)
-        for word, pieces in cuts.items():
-            if pieces is not None:
-                self.words[word] = self._entry(pieces)
-        get = self.words.__getitem__
-        out = [[self._entry(head), *map(get, tail or ())] if head else [] for head, tail in zip(heads, tails)]
-        self.long.clear()
+        found = set(chain.from_iterable(x for x in cuts.values() if x))
+        found.update(*heads)
+        found.update(mark for _, _, mark in marked)
+        own, pieces = list(stems), list(found)
+        ids = self.learn([b" " + x.encode() for x in own] + [x.encode() for x in pieces])
+        for stem, x in zip(own, ids):
+            self._remember(stem, x)
+        piece = dict(zip(pieces, ids[len(own) :]))
+        for word, stem, mark in marked:
+            self._remember(word, words[stem] + piece[mark])
+        for word, parts in cuts.items():
+            if parts is not None:
+                self._remember(word, b"".join(map(piece.__getitem__, parts)))
+        get, head = words.__getitem__, piece.__getitem__
+        out = [b"".join(chain(map(head, h), map(get, tail or ()))) for h, tail in zip(heads, tails)]
+        for word in self.passing:
+            words.pop(word, None)
+        self.passing.clear()
         return out
 
+    def decimals(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The ids in decimal, joined by commas, in parts."""
+        for start in range(0, len(ids), 1 << 18):
+            part = ids[start : start + (1 << 18)]
+            text = self.digits[part][self.written[part]].tobytes()
+            yield text if start + len(part) < len(ids) else text[:-1]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(itemgetter(0), self.encode_all([text])[0])))
+        return np.frombuffer(self.encode_all([text])[0], self.kind).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -319,27 +348,22 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep: tuple[
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(rank_file, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # bounds what is held of ids at a time
-                part = batch.slice(start, 256)
-                counts, arrays, shas, decoded = [], [], [], []
-                gc.disable()  # the memos hold no cycles, and are large
-                found_all = bpe.encode_all([raw.decode("utf-8", "replace") for raw in part.column(len(fields)).to_pylist()])
-                gc.enable()
-                for found in found_all:
-                    ids = list(chain.from_iterable(map(itemgetter(0), found)))
-                    counts.append(len(ids))
-                    if with_ids:
-                        arrays.append(pa.array(ids, pa.int32()))
-                    if digests:
-                        shas.append(hashlib.sha256(",".join(map(itemgetter(1), found)).encode()).hexdigest())
-                        decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                columns = [*part.columns[: len(fields)], pa.array(counts, pa.int64())]
+            for part in by_bytes(batch, len(fields), PART_BYTES):
+                raws = bpe.encode_all([raw.decode("utf-8", "replace") for raw in part.column(len(fields)).to_pylist()])
+                found = [np.frombuffer(x, bpe.kind) for x in raws]
+                counts = np.array([len(x) for x in found], np.int64)
+                columns = [*part.columns[: len(fields)], pa.array(counts)]
                 if with_ids:
-                    ends = [0]
-                    for n in counts:
-                        ends.append(ends[-1] + n)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(arrays)))
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))))
                 if digests:
+                    shas, decoded = [], []
+                    for ids in found:
+                        sha = hashlib.sha256()
+                        for text in bpe.decimals(ids):
+                            sha.update(text)
+                        shas.append(sha.hexdigest())
+                        decoded.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
                     columns += [pa.array(shas), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(a.split()[0] for a in added)])
 

@@ -8,6 +8,11 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +75,43 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text, empty for null: Python gets them without decoding, whatever they hold."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of a column, a row at least; an empty batch gives none."""
+    sizes, start, held = pc.binary_length(batch.column(column)).to_pylist(), 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and held + (n or 0) > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n or 0
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def put(uri: str, data: bytes) -> None:
+    """Writes a file of any file system that pyarrow knows, whole or not at all: a task that runs twice leaves one file."""
+    system, path = pa.fs.FileSystem.from_uri(uri)
+    system.create_dir(os.path.dirname(path), recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        out.write(data)
+    system.move(own, path)
+
+
+def get(uri: str) -> bytes:
+    system, path = pa.fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as stream:
+        return stream.read()
