@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .common import text_bytes
+from .common import by_bytes, free_names, text_bytes
 
-#: Bounds of the fitting sample: texts for a language (about), characters of each, bytes of a dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 3000, 300, 256 * 1024
+#: Bounds of what is learned: sampled texts for a language (about), bytes of a dictionary.
+SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 512 * 1024
 #: Bytes of a block, and zstandard's level.
 BLOCK_BYTES, LEVEL = 16 * 1024, 5
+#: Bytes of text that leave a worker together (one document at least).
+PART_BYTES = 4 << 20
 #: A text is rejected if the best language saves less than this share of the runner-up's bytes.
 NARROW = 0.004
 
@@ -80,11 +82,14 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, label: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
+def fit(docs: DataFrame, label: str = "lang", texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
     """Learns from the rows of docs (text and a label), nulls in either left out.
 
-    The bound: about ``texts`` texts a language, taken by a hash of the text, ``chars`` characters of
-    each, and of these ``dictionary_bytes`` bytes. Only that sample reaches the driver.
+    The bound: about ``texts`` texts a language, taken by a hash of the text, go whole into its
+    dictionary, in the hash's order, as far as ``dictionary_bytes`` bytes hold them; one that no
+    longer fits is left out for the next. (A language whose sampled texts are all longer than a
+    dictionary fills it with the first of them.) Only that sample, of which no text is longer than a
+    dictionary, reaches the driver. Repeated texts count once.
     """
     rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("_label"), "text")
     counts = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
@@ -93,18 +98,20 @@ def fit(docs: DataFrame, label: str = "lang", texts: int = SAMPLE_TEXTS, chars:
     # The share of a language that is wanted, in 2 ** 20ths of the hash's range.
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, (texts << 20) // n + 1)))), F.col("_label"))
     key = F.xxhash64("text", F.lit("fit"))
-    sample = rows.where(F.pmod(key, F.lit(1 << 20)) < share).select("_label", key.alias("key"), F.substring("text", 1, chars).alias("text")).distinct().collect()
-    found: dict[str, list[tuple[int, str]]] = {}
-    for language, k, text in sample:
-        found.setdefault(language, []).append((k, text))
+    fits = F.octet_length("text") <= dictionary_bytes
+    text = F.when(fits, F.col("text")).otherwise(F.substring("text", 1, dictionary_bytes))
+    sample = rows.where(F.pmod(key, F.lit(1 << 20)) < share).select("_label", key.alias("key"), fits.alias("fits"), text.alias("text")).distinct().collect()
+    found: dict[str, list[tuple[bool, int, str]]] = {}
+    for language, k, whole, text in sample:
+        found.setdefault(language, []).append((not whole, k, text))
     dictionaries = []
     for language in sorted(found, key=str.encode):
         parts, size = [], 0
-        for _, text in sorted(found[language]):
-            parts.append(raw := plain(text.encode("utf-8", "replace")) + b" ")
-            size += len(raw)
-            if size >= dictionary_bytes:
-                break
+        for _, _, text in sorted(found[language]):
+            raw = plain(text.encode("utf-8", "replace")) + b" "
+            if not parts or size + len(raw) <= dictionary_bytes:
+                parts.append(raw)
+                size += len(raw)
         dictionaries.append((language, b"".join(parts)[:dictionary_bytes]))
     return CompressionModel(tuple(dictionaries))
 
@@ -113,18 +120,27 @@ def predict(docs: DataFrame, model: CompressionModel, keep: tuple[str, ...] = ("
     """The columns in keep, lang_pred, score, margin and lang_rejected of every row, from its whole text alone.
 
     A null, empty or letterless text is ``und``, score 0, and rejected, as is a text whose margin is
-    under narrow. Repeated rows stay repeated; an empty table gives none.
+    under narrow. Repeated rows stay repeated; an empty table gives none. A column in keep of a
+    result's name is replaced by that result.
     """
+    added = "lang_pred string, score double, margin double, lang_rejected boolean"
+    names = [a.split()[0] for a in added.split(", ")]
+    keep = tuple(c for c in keep if c.lower() not in names)
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, margin double, lang_rejected boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), added])
     models = docs.sparkSession.sparkContext.broadcast(model.dictionaries)  # languages times dictionary_bytes at most
+    # The text goes to Python once, also where it is kept.
+    there = keep.index("text") if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else len(keep)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = CompressionModel(models.value).compressors()
-        for batch in batches:
-            rows = [classify(x.as_py(), compressors) for x in batch.column(len(fields))]
-            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())]
-            rejected = pa.array([r[0] == "und" or r[2] < narrow for r in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *columns, rejected], names=[*keep, "lang_pred", "score", "margin", "lang_rejected"])
-
-    return map_batches(docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes().alias("_text")), predicted, schema)
+        for whole in batches:
+            for batch in by_bytes(whole, there, PART_BYTES):
+                texts = batch.column(there).cast(pa.binary())
+                rows = [classify(x.as_py() or b"", compressors) for x in texts]
+                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())]
+                rejected = pa.array([r[0] == "und" or r[2] < narrow for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *columns, rejected], names=[*keep, *names])
+
+    text = [text_bytes().alias(free_names(docs, "_text")[0])] if there == len(keep) else []
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in keep), *text), predicted, schema)
