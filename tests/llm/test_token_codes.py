@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from verdictlake.llm import token_codes as t
 
@@ -27,24 +28,43 @@ def test_round_trip_and_random_access(n):
 def test_words_are_cut_without_loss():
     encoder = t.WordEncoder(FILE)
     rng = random.Random(3)
-    parts = [" ", "\n", "\t", "  ", "A", "é", "H̱", "İ", "ſ", "the", "'s", "12", "!", "😀", " ", "\x1c", "Σ", "漢", "<|endoftext|>"]
-    for _ in range(3000):
+    parts = [" ", "\n", "\t", "  ", "A", "é", "H̱", "İ", "ſ", "the", "'s", "12", "!", "😀", " ", "\x1c", "Σ", "漢", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x."]
+    tokenizer = Tokenizer.from_file(FILE)
+    for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
-        assert np.frombuffer(encoder.encode_all([text.encode()])[0], encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode_all([text.encode()])[0], encoder.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(encoder.encode_all([b"a <|endoftext|> b"])[0], encoder.kind).tolist() == [320, 49407, 321]
+
+
+def test_the_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(t, "MEMO_BYTES", 20_000)
+    encoder, tokenizer, rng = t.WordEncoder(FILE), Tokenizer.from_file(FILE), random.Random(9)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.choice([3, 7, 400]))) for _ in range(40)) for _ in range(4)]
+        found = encoder.encode_all([x.encode() for x in texts])
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in found] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert max(map(len, encoder.words)) <= t.MEMO_LONGEST and len(encoder.words) + len(encoder.old) <= 2 * (20_000 // t.MEMO_ENTRY + 160)
 
 
 def test_files(spark, odd, none, small, monkeypatch):
-    monkeypatch.setattr(t, "RANGE_CHARS", 40_000)
+    monkeypatch.setattr(t, "RANGE_BYTES", 40_000)
     monkeypatch.setattr(t, "FILE_TOKENS", 5_000)
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("doc_id > 7").unionByName(odd.select("doc_id", "text"))
+    hot = spark.createDataFrame([(None, f"row {i}") for i in range(300)] + [(7, "the same text")] * 300 + [(8, "a <|endoftext|> b")], "doc_id long, text string")
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("doc_id > 8").unionByName(odd.select("doc_id", "text")).unionByName(hot)
     files = t.write_codes(docs, FILE, end_id=2)
-    assert len(files) > 5
-    rows = sorted(t.read_documents(spark, files).collect(), key=lambda r: r["start"])
-    tokenizer, start = t.WordEncoder(FILE).tokenizer, 0
-    encoded = sorted(((r["doc_id"] is None, r["doc_id"] or 0), tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in docs.collect())
-    assert len(rows) == len(encoded)
-    for r, ((null, doc_id), ids) in zip(rows, encoded):
-        assert (r["doc_id"], r["start"], r["n_tokens"]) == (None if null else doc_id, start, len(ids))
-        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
-        start += len(ids)
-    assert t.write_codes(none, FILE, 2) == [] and t.read_documents(spark, []).count() == 0
+    assert files.count() > 5
+    rows = sorted(t.read_documents(files).collect(), key=lambda r: r["start"])
+    tokenizer, start, at = Tokenizer.from_file(FILE), 0, {}
+    for r in docs.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        at.setdefault(r["doc_id"], []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for r in rows:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert [r["doc_id"] for r in rows] == sorted((d for d in at for _ in at[d]), key=lambda d: (d is None, d or 0))
+    found = {}
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_crc32"]))
+    assert {d: sorted(x) for d, x in found.items()} == {d: sorted(x) for d, x in at.items()}
+    empty = t.write_codes(none, FILE, 2)
+    assert empty.count() == 0 and t.read_documents(empty).count() == 0

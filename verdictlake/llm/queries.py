@@ -53,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_codes.write_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return token_codes.read_documents(spark, files)
+    return token_codes.read_documents(files)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ to whole 512-bit runs) and its rank directory (32-bit).
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,18 +21,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .common import new_folder, text_bytes
+from .common import by_bytes, free_names, get, new_folder, put, text_bytes, written
 
 MAGIC = b"DAC1"
 #: Bits that a rank directory's entry covers.
 RUN = 512
-#: Tokens after which a file is closed, characters of text that a range of documents should hold, words of a worker's memo (twice).
-FILE_TOKENS, RANGE_CHARS, MEMO_WORDS = 4_000_000, 16_000_000, 700_000
+#: Tokens after which a file is closed, bytes of text that a range of documents should hold, most ranges (a number for each goes through one task).
+FILE_TOKENS, RANGE_BYTES, MOST_RANGES = 4_000_000, 16_000_000, 65_536
+#: Bytes of a worker's memo (twice: the last full one is kept), an entry's without its word and ids, and the bytes of the longest word kept.
+MEMO_BYTES, MEMO_ENTRY, MEMO_LONGEST = 80 << 20, 180, 64
+#: Bytes of text that are encoded together (one document at least).
+PART_BYTES = 2 << 20
 
 MARKS = tuple(bytes([b]) for b in b".,;:!?")
 
@@ -129,26 +132,12 @@ class CodeFile:
         return start, self.tokens(start, int(self.ends[k]))
 
 
-def put(uri: str, data: bytes) -> None:
-    """Writes a file of any file system that pyarrow knows, whole or not at all: a task that runs twice leaves one file."""
-    system, path = pa.fs.FileSystem.from_uri(uri)
-    system.create_dir(os.path.dirname(path), recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as out:
-        out.write(data)
-    system.move(own, path)
-
-
-def get(uri: str) -> bytes:
-    system, path = pa.fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as stream:
-        return stream.read()
-
-
 class WordEncoder:
     """The ids of whole texts as little-endian 16- or 32-bit numbers, for a tokenizer that drops white space between words.
 
-    Texts are cut at spaces and line feeds, and words that recur are encoded once while the memo holds them.
+    Texts are cut at spaces and line feeds, and words that recur are encoded once while the memo
+    holds them. A text that holds an added token of the tokenizer (in any case of letters) is encoded
+    as a whole, since such tokens are found before anything else.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -156,23 +145,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.lowers = '"Lowercase"' in self.tokenizer.to_str()
+        self.added = tuple(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.words: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
+        self.held, self.passing = 0, []
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array(self.code, x.ids).tobytes() for x in found]
+
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        """An entry of the memo; what is long serves its own call alone."""
+        self.words[word] = ids
+        if len(word) > MEMO_LONGEST:
+            self.passing.append(word)
+        else:
+            self.held += MEMO_ENTRY + len(word) + len(ids)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         # The tokenizer lower-cases after composing characters; without combining marks the order is the same.
-        small = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts] if self.lowers else texts
+        low = [t.lower() for t in texts]
+        whole = {k for k, t in enumerate(low) if any(x in t for x in self.added)}
+        small = [b"" if k in whole else t if not self.lowers or b"\xcc" in t or b"\xcd" in t else low[k] for k, t in enumerate(texts)]
         cut = [t.replace(b"\n", b" ").split(b" ") for t in small]
-        if len(self.words) > MEMO_WORDS:
-            self.old, self.words = self.words, {b"": b""}
+        if self.held > MEMO_BYTES:
+            self.old, self.words, self.held = self.words, {b"": b""}, 0
         words, old, new, marked = self.words, self.old, set(), []
         for word in set().union(*cut).difference(words):
             if (known := old.get(word)) is not None:
-                words[word] = known
+                self._remember(word, known)
             elif word[-1:] in MARKS and word[-2:-1].isalpha():
                 # Letters and a mark after them are tokenized apart, so the letters' ids serve every mark.
                 stem, mark = word[:-1], word[-1:]
@@ -180,20 +184,26 @@ class WordEncoder:
                 for part in (stem, mark):
                     if part not in words:
                         if (known := old.get(part)) is not None:
-                            words[part] = known
+                            self._remember(part, known)
                         else:
                             new.add(part)
             else:
                 new.add(word)
         if new:
             parts = list(new)
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in parts], add_special_tokens=False)
-            for word, x in zip(parts, found):
-                words[word] = array(self.code, x.ids).tobytes()
+            for word, ids in zip(parts, self._batch(parts)):
+                self._remember(word, ids)
         for word, stem, mark in marked:
-            words[word] = words[stem] + words[mark]
+            self._remember(word, words[stem] + words[mark])
         take = words.__getitem__
-        return [b"".join(map(take, x)) for x in cut]
+        out = [b"".join(map(take, x)) for x in cut]
+        for word in self.passing:
+            words.pop(word, None)
+        self.passing.clear()
+        if whole:
+            for k, ids in zip(sorted(whole), self._batch([texts[k] for k in sorted(whole)])):
+                out[k] = ids
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -201,72 +211,62 @@ def word_encoder(tokenizer_file: str) -> WordEncoder:
     return WordEncoder(tokenizer_file)
 
 
-def write_codes(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None) -> list[tuple[str, int]]:
-    """Writes the ids of all texts, each closed by end_id, in ascending doc_id order (null last); returns each file's place and tokens, in order.
+def write_codes(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None) -> DataFrame:
+    """Writes the ids of all texts, each closed by end_id, in ascending doc_id order (null last).
 
-    Ids are encoded where the texts are read; only they are shuffled, by ranges of doc_id that a
-    first pass over the ids of documents and the lengths of texts sets. A null or empty text has
-    end_id alone. Rows of one doc_id follow each other. The list has a row for each file, about
-    one for every FILE_TOKENS tokens or RANGE_CHARS characters. folder is in the shared folder.
+    Returns a written table of the files: uri, tokens and before (the tokens of all files before
+    it). Texts are shuffled by ranges of doc_id, of which Spark samples the bounds; rows of one
+    doc_id, and those without, are dealt over as many ranges as they need by a digest of their text,
+    so the order among them is by that digest, and by place where that is the same. A null or empty
+    text has end_id alone. Repeated rows stay repeated, other columns are ignored, an empty table
+    gives no file. folder is in the shared folder.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "codes")
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-chars // RANGE_CHARS))
-    share = [k / ranges for k in range(1, ranges)]
-    bounds = (docs.agg(F.percentile_approx("doc_id", share, 20 * ranges)).first()[0] or []) if share else []
-    edges = np.array(sorted(set(bounds)), np.int64)
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    ranges = max(1, min(MOST_RANGES, -(-size // RANGE_BYTES)))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                ids = [x + end for x in encoder.encode_all(part.column(1).to_pylist())]
-                keys = part.column(0).cast(pa.int64())
-                place = np.searchsorted(edges, keys.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-                place = np.where(keys.is_valid().to_numpy(zero_copy_only=False), place, len(edges))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(place.astype(np.int32)), pa.array(ids, pa.binary())], names=["doc_id", "place", "ids"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = word_encoder(tokenizer_file).kind
-        doc_ids, parts, held, place, files, made = [], [], 0, None, 0, []
+        doc_ids, parts, held, files, made = [], [], 0, 0, []
+        place = TaskContext.get().partitionId()
 
         def close() -> None:
             nonlocal doc_ids, parts, held, files
             uri = f"{folder}/part-{place:06d}-{files:06d}.dac"
-            lengths = [len(x) // np.dtype(kind).itemsize for x in parts]
-            put(uri, pack(doc_ids, lengths, np.frombuffer(b"".join(parts), kind)))
+            lengths = [len(x) // np.dtype(encoder.kind).itemsize for x in parts]
+            put(uri, pack(doc_ids, lengths, np.frombuffer(b"".join(parts), encoder.kind)))
             made.append((place, files, uri, sum(lengths)))
             doc_ids, parts, held, files = [], [], 0, files + 1
 
         for batch in batches:
-            for doc, there, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if parts and (there != place or held >= FILE_TOKENS):
-                    close()
-                if there != place:
-                    place, files = there, 0
-                doc_ids.append(doc)
-                parts.append(ids)
-                held += len(ids) // 2
+            for part in by_bytes(batch, 1, PART_BYTES):
+                for doc, ids in zip(part.column(0).cast(pa.int64()).to_pylist(), encoder.encode_all(part.column(1).to_pylist())):
+                    if held >= FILE_TOKENS:
+                        close()
+                    doc_ids.append(doc)
+                    parts.append(ids + end)
+                    held += len(parts[-1]) // np.dtype(encoder.kind).itemsize
         if parts:
             close()
         columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["place", "file", "uri", "tokens"])
 
-    encoded = map_batches(docs.select("doc_id", text_bytes().alias("_text")), encode, "doc_id long, place int, ids binary")
-    ordered = encoded.repartitionById(len(edges) + 1, F.col("place")).sortWithinPartitions("place", F.col("doc_id").asc_nulls_last(), "ids")
-    made = map_batches(ordered, write, "place int, file int, uri string, tokens long").collect()
-    return [(r["uri"], r["tokens"]) for r in sorted(made, key=lambda r: (r["place"], r["file"]))]
+    text, digest, row = free_names(docs.select("doc_id"), "text", "digest", "row")
+    rows = docs.select("doc_id", text_bytes().alias(text), F.xxhash64("text").alias(digest), F.monotonically_increasing_id().alias(row))
+    order = [F.col("doc_id").asc_nulls_last(), F.col(digest), F.col(row)]
+    ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", text)
+    made = written(map_batches(ordered, write, "place int, file int, uri string, tokens long"), "files")
+    # A row for each range: MOST_RANGES at most, so their running sum and its broadcast are bounded.
+    places = made.groupBy("place").agg(F.sum("tokens").alias("all")).withColumn("start", F.sum("all").over(Window.orderBy("place")) - F.col("all"))
+    within = F.sum("tokens").over(Window.partitionBy("place").orderBy("file")) - F.col("tokens")
+    files = made.withColumn("within", within).join(F.broadcast(places), "place")
+    return written(files.select("uri", "tokens", (F.col("start") + F.col("within")).alias("before")), "files")
 
 
-def read_documents(spark, files: list[tuple[str, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files in their order."""
-    rows, before = [], 0
-    for uri, tokens in files:
-        rows.append((uri, before))
-        before += tokens
+def read_documents(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files of write_codes(); no files give no rows."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,5 @@ def read_documents(spark, files: list[tuple[str, int]]) -> DataFrame:
                 sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (file.doc_ids, starts, sizes, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    places = spark.createDataFrame(rows, "uri string, before long")
-    if rows:
-        places = places.repartition(len(rows), "uri")
-    return map_batches(places, read, schema)
+    tasks = max(1, min(10_000, files.count()))
+    return map_batches(files.select("uri", "before").repartition(tasks), read, schema)
