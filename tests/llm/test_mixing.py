@@ -85,3 +85,20 @@ def test_long_documents_beyond_the_exact_search(monkeypatch):
     monkeypatch.setattr(mixing, "EXACT_SUMS", 0)
     copies, more = mixing.fit_source(np.array([140_000]), np.array([1]), 139_000)
     assert copies == 0 and more.tolist() == [1]
+
+
+def test_many_lengths_take_little_memory():
+    lengths = np.arange(60_000, 80_000)  # one document of each length
+    counts = np.ones(len(lengths), np.int64)
+    copies, more = mixing.fit_source(lengths, counts, 0.4 * lengths.sum())
+    assert abs(int((more * lengths).sum()) - 0.4 * lengths.sum()) <= 1 and copies == 0
+    taken = mixing.few_long(np.array([70_000, 90_000]), np.array([2, 1]), 139_000)
+    assert taken.tolist() == [2, 0]
+
+
+def test_rows_that_are_alike(spark):
+    rows = [(1, "a b c", "x", 1)] * 2500 + [(k, "w " * k, "x", k) for k in range(2, 30)] + [(1, "z " * 4000, "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int")
+    plan, mixed = mixing.plan_mix(docs), mixing.mix(docs)
+    want = {(r[0], r[1]): r[2] for r in plan.groupBy("doc_id", "source").sum("copies").collect() if r[2]}
+    assert {(r[0], r[1]): r[2] for r in mixed.groupBy("doc_id", "source").count().collect()} == want and mixed.columns == docs.columns

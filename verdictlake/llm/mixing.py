@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import WORD, written
+from .common import WORD, free_names, written
 
-#: Words that the dynamic programme may spend at most; the proportional share leaves no more than it can.
-KNAPSACK_WORDS = 1 << 16
+#: Words that the dynamic programme spends at most: so many, or sixteen documents of a source's mean length up to MOST_SUMS.
+KNAPSACK_WORDS, MOST_SUMS = 1 << 16, 1 << 24
 #: Sums and steps (sums times pieces) up to which the documents of a source are searched as a whole if the share missed its target.
 EXACT_SUMS, EXACT_STEPS = 1 << 25, 1 << 32
+#: Copies of one row that a task makes at a time.
+LOT = 1_000
 #: Documents of one source and length that one hash range should hold.
 RANGE_DOCUMENTS = 200
 
@@ -47,42 +49,6 @@ def budgets(sizes: dict, total: float, weights: tuple[float, ...] = (5, 2, 1), r
     return target
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that the words sum up as near to budget as they can, below it on ties.
-
-    Bounded knapsack with reachability by words: for each length a table says how few of its
-    documents reach each sum, O(lengths x budget) in all, and the choice is read back from them.
-    """
-    goal, budget = budget, budget + min(budget, int(lengths.max(initial=0)))  # sums beyond the goal are candidates too
-    reached = np.zeros(budget + 1, bool)
-    reached[0] = True
-    used: list[np.ndarray] = []
-    for length, count in zip(lengths.tolist(), counts.tolist()):
-        fewest = np.full(budget + 1, -1, np.int32)
-        fewest[reached] = 0
-        if 0 < length <= budget and count > 0:
-            # Along each residue class, a sum is reached if some sum at most count lengths below it was.
-            steps = -(-(budget + 1) // length)
-            padded = np.zeros(steps * length, bool)
-            padded[: budget + 1] = reached
-            grid = padded.reshape(steps, length)
-            rows = np.arange(steps)[:, None]
-            last = np.maximum.accumulate(np.where(grid, rows, -1), axis=0)
-            gap = np.where(last >= 0, rows - last, -1)
-            gap[gap > count] = -1
-            fewest = gap.reshape(-1)[: budget + 1].astype(np.int32)
-        used.append(fewest)
-        reached = fewest >= 0
-        if reached[goal]:
-            break
-    sums = np.flatnonzero(reached)
-    taken, at = np.zeros(len(lengths), np.int64), int(sums[np.abs(sums - goal).argmin()])
-    for k in range(len(used) - 1, -1, -1):
-        taken[k] = used[k][at]
-        at -= int(taken[k]) * int(lengths[k])
-    return taken
-
-
 def _pieces(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     """(place, documents): each length's documents in lots of 1, 2, 4, ... and the rest, which add up to any count."""
     out = []
@@ -95,9 +61,13 @@ def _pieces(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def nearest(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
-    """knapsack() without a table for each length: 5 bytes for each sum, which keeps the lot that first reached it."""
-    span = goal + min(goal, int(lengths.max(initial=0)))
+def knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """How many documents of each length to take so that the words sum up as near to goal as they can, below it on ties.
+
+    Bounded knapsack with reachability by words: each sum keeps the lot of documents that first
+    reached it, 5 bytes a sum however many lengths there are, and the choice is read back from these.
+    """
+    span = goal + min(goal, int(lengths.max(initial=0)))  # sums beyond the goal are candidates too
     reached, first = np.zeros(span + 1, bool), np.full(span + 1, -1, np.int32)
     reached[0] = True
     pieces = _pieces(lengths, counts)
@@ -119,6 +89,23 @@ def nearest(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
     return taken
 
 
+def few_long(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """knapsack() where two documents of any lengths left are beyond the goal: none, one, or the two shortest come nearest."""
+    taken = np.zeros(len(lengths), np.int64)
+    there = np.flatnonzero((counts > 0) & (lengths > 0))
+    if not len(there):
+        return taken
+    by_length = there[np.argsort(lengths[there], kind="stable")]
+    one = min(by_length.tolist(), key=lambda k: (abs(int(lengths[k]) - goal), int(lengths[k])))
+    short = by_length[0]
+    two = [short, short] if counts[short] > 1 else [short, by_length[1]] if len(by_length) > 1 else []
+    options = [[], [one], two]
+    best = min(options, key=lambda x: (abs(sum(int(lengths[k]) for k in x) - goal), sum(int(lengths[k]) for k in x)))
+    for k in best:
+        taken[k] += 1
+    return taken
+
+
 def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """Whole copies of all documents, and how many documents of each length are taken once more."""
     size = int((lengths * counts).sum())
@@ -130,26 +117,27 @@ def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
         return copies, np.zeros(len(lengths), np.int64)
     goal = budget
     # A proportional share, short of the budget by about what the programme spends.
-    spare = min(KNAPSACK_WORDS // 2, budget)
+    cap = int(min(max(KNAPSACK_WORDS, 16 * size // int(counts.sum())), MOST_SUMS))  # room for some documents of this source
+    spare = min(cap // 2, budget)
     share = np.floor(counts * ((budget - spare) / size)).astype(np.int64)
     budget -= int((share * lengths).sum())
     left = counts - share
-    if budget > KNAPSACK_WORDS:  # rounding down has left more: take whole documents, the longest first
+    if budget > cap:  # rounding down has left more: take whole documents, the longest first
         for k in np.argsort(-lengths, kind="stable"):
-            if 0 < lengths[k] and (n := min(int(left[k]), (budget - KNAPSACK_WORDS // 2) // int(lengths[k]))) > 0:
+            if 0 < lengths[k] and (n := min(int(left[k]), (budget - cap // 2) // int(lengths[k]))) > 0:
                 share[k], left[k], budget = share[k] + n, left[k] - n, budget - n * int(lengths[k])
-            if budget <= KNAPSACK_WORDS:
+            if budget <= cap:
                 break
     if budget > 0:
         order = np.argsort(-lengths, kind="stable")
         more = np.zeros(len(lengths), np.int64)
-        # Above the cap only documents of more than KNAPSACK_WORDS // 2 words are left.
-        more[order] = (knapsack if budget <= KNAPSACK_WORDS else nearest)(lengths[order], left[order], budget)
+        # Above the cap every document left is longer than the budget less cap // 2, so two are beyond it.
+        more[order] = (knapsack if budget <= cap else few_long)(lengths[order], left[order], budget)
         share += more
     if int((share * lengths).sum()) != goal:  # few documents, or long ones: others than those of the share may come nearer
         sums = goal + min(goal, int(lengths.max()))
         if sums <= EXACT_SUMS and sums * len(_pieces(lengths, counts)) <= EXACT_STEPS:
-            share = nearest(lengths, counts, goal)
+            share = knapsack(lengths, counts, goal)
     return copies, share
 
 
@@ -218,14 +206,30 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
     return simple.select(*columns).unionByName(whole.select(*columns)).unionByName(ranked.select(*columns))
 
 
+def _orderable(docs: DataFrame) -> bool:
+    return "map<" not in docs.schema.simpleString() and "variant" not in docs.schema.simpleString()
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as plan_mix takes it: never, once or repeatedly."""
+    """docs with each row as often as plan_mix takes it: never, once or repeatedly.
+
+    Rows that are alike in doc_id, text and source are taken evenly; the copies that can't be dealt
+    evenly are of the least of them (of any, where a column has no order). Nulls, empty texts and
+    empty tables are as in plan_mix; all columns are kept.
+    """
     plan = plan_mix(docs, **options)
-    # Rows that are alike share a key; as many of them as there are in all are taken, dealt evenly.
-    wanted = plan.groupBy("key").agg(F.sum("copies").alias("_all"), F.count("*").alias("_n")).where("_all > 0").withColumnRenamed("key", "_key")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source")).join(wanted, "_key")
-    single = rows.where("_n = 1").withColumn("_copies", F.col("_all"))
-    several = rows.where("_n > 1").withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    several = several.withColumn("_copies", F.floor(F.col("_all") / F.col("_n")) + (F.col("_place") <= F.col("_all") % F.col("_n")).cast("long")).drop("_place")
-    both = single.unionByName(several).where("_copies > 0")
-    return both.withColumn("_repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    # Rows that are alike in these columns share a key, and as many copies of them are taken in all as the plan has.
+    key, all_, rest, lots, row, repeat = free_names(docs, "_key", "_all", "_rest", "_lots", "_row", "_repeat")
+    wanted = plan.groupBy("key").agg(F.sum("copies").alias(all_), F.count("*").alias(rest)).where(F.col(all_) > 0)
+    wanted = wanted.select(F.col("key").alias(key), F.floor(F.col(all_) / F.col(rest)).alias(all_), (F.col(all_) % F.col(rest)).alias(rest))
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text", "source")).join(wanted, key)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(all_)))
+    even = rows.where(F.col(all_) > 0).withColumn(repeat, again).select(*docs.columns)
+    # What is left over goes to one row of each key, and is multiplied in lots that are dealt to all tasks.
+    part = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = rows.where(F.col(rest) > 0).groupBy(key, rest).agg((F.min(part) if _orderable(docs) else F.first(part)).alias(row))
+    few = one.where(F.col(rest) <= LOT).select(row, rest)
+    many = one.where(F.col(rest) > LOT).withColumn(lots, F.explode(F.sequence(F.lit(0).cast("long"), F.col(rest) - 1, F.lit(LOT).cast("long"))))
+    many = many.repartition(key, lots).select(row, F.least(F.lit(LOT).cast("long"), F.col(rest) - F.col(lots)).alias(rest))
+    left = few.unionByName(many).withColumn(repeat, F.explode(F.sequence(F.lit(1).cast("long"), F.col(rest))))
+    return even.unionByName(left.select(F.col(f"{row}.*")))
