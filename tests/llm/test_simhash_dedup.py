@@ -65,3 +65,26 @@ def test_odd_rows(odd, none):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (None, 3)], "a long, b long")
     assert {r["root"] for r in components(edges, "a", "b").collect()} == {0}
+
+
+def test_near_copies_against_exact_similarity(spark):
+    """Copies with changed words: what shares 0.9 of its five-word shingles is linked, what shares under half is not."""
+    rng, rows, groups = random.Random(12), [], {}
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    for g in range(60):
+        text = [word() for _ in range(rng.randint(60, 400))]
+        rows.append((len(rows), " ".join(text)))
+        groups[len(rows) - 1] = g
+        for _ in range(rng.randint(0, 3)):
+            copy = list(text)
+            for _ in range(max(1, len(text) // 200)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+            groups[len(rows) - 1] = g
+        rows.append((len(rows), " ".join(text[: len(text) // 2] + [word() for _ in range(len(text) // 2)])))
+        groups[len(rows) - 1] = -len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in s.without_near_copies(docs, tile=16).collect()}
+    first = {min(i for i in groups if groups[i] == g) for g in set(groups.values())}
+    assert kept >= {i for i in first} and len(kept) <= len(first) + 2
+    assert kept == {r["doc_id"] for r in s.without_near_copies(docs.repartition(7), tile=4096).collect()}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .common import text_bytes, written
+from .common import free_names, text_bytes, written
 from .components import components, forest
 
 #: Fingerprints that a tile should hold, and cells of a comparison that are held at a time.
@@ -155,3 +155,148 @@ def duplicate_groups(docs: DataFrame, radius: int = 3, shingle_words: int = 3, s
 def hexadecimal(column: str = "fp"):
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+# Near copies of a given similarity: the same comparison over wider fingerprints, whose distance tells a similarity of 0.8 from chance.
+
+#: Words of a fingerprint, and bits that may differ: documents that share 0.8 of all their shingles differ in 39 of 256 on average, with a deviation of 6.
+WORDS, WIDE_RADIUS = 4, 46
+#: Population counts that a band of tiles covers.
+BAND = 32
+_ITEM = np.dtype([("same", "S16"), ("n", "<u4"), ("fp", "<u8", (WORDS,))])
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Further 64-bit hashes from each hash, one column for each word of a fingerprint; the first are the hashes themselves."""
+    out = np.empty((len(hashes), WORDS), "<u8")
+    out[:, 0] = x = hashes
+    for k in range(1, WORDS):  # splitmix64
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = z ^ (z >> np.uint64(31))
+    return out
+
+
+def wide_fingerprint(text: bytes, shingle_words: int = 5, seed: int = 42) -> tuple[bytes, int, np.ndarray]:
+    """A digest of the lower-cased words, the number of different shingles, and the fingerprint; zeros without words."""
+    words = text.lower().split()
+    same = xxhash.xxh3_128_digest(b" ".join(words))
+    if not words:
+        return same, 0, np.zeros(WORDS, "<u8")
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))) if len(words) > shingle_words else [b" ".join(words)]
+    n, counts, digest = max(1, len(words) - shingle_words + 1), np.zeros(64 * WORDS, np.int64), xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
+    for start in range(0, n, 16384):
+        bits = np.unpackbits(_spread(hashes[start : start + 16384]).view(np.uint8), bitorder="little")
+        counts += bits.reshape(-1, 64 * WORDS).sum(0, dtype=np.uint16)
+    return same, len(np.unique(hashes)), np.packbits(2 * counts > n, bitorder="little").view("<u8")
+
+
+def _kind(n: int, ones: int, similarity: float) -> int:
+    """The tiles' kind: the number of shingles on a scale on which similar texts are one step apart at most, and the band of the population count."""
+    size = int(np.log(n) / -np.log(similarity) + 1e-9) + 1 if n else 0
+    return size * 16 + ones // BAND
+
+
+def wide_near(x: np.ndarray, y: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of x and y that differ in radius bits at most and whose numbers of shingles allow the similarity."""
+    a, b, step = [], [], max(1, CELLS // max(1, len(y)))
+    first, second = (np.ascontiguousarray(y["fp"][:, k]) for k in (0, 1))
+    for start in range(0, len(x), step):
+        p = x["fp"][start : start + step]
+        half = np.bitwise_count(p[:, 0, None] ^ first)
+        half += np.bitwise_count(p[:, 1, None] ^ second)
+        i, j = np.nonzero(half <= radius)  # few pairs are left for the other words
+        rest = np.bitwise_count(p[i, 2:] ^ y["fp"][j, 2:]).sum(1, dtype=np.int64)
+        low, high = np.minimum(x["n"][i + start], y["n"][j]), np.maximum(x["n"][i + start], y["n"][j])
+        near = (half[i, j] + rest <= radius) & (low >= similarity * high)
+        a.append(i[near] + start)
+        b.append(j[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _wide_compare(radius: int, similarity: float):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here, there, same = batch.column(0), batch.column(1), batch.column(2)
+            for k in range(batch.num_rows):
+                x = np.frombuffer(b"".join(here[k].values.to_pylist()), _ITEM)
+                own = same[k].as_py()
+                y = x if own else np.frombuffer(b"".join(there[k].values.to_pylist()), _ITEM)
+                a, b = wide_near(x, y, radius, similarity)
+                if own:
+                    a, b = a[a < b], b[a < b]
+                    nodes = x
+                else:
+                    b, nodes = b + len(x), np.concatenate([x, y])
+                if len(a):
+                    i, j = forest(a, b, len(nodes))
+                    raw = nodes.tobytes()
+                    name = lambda at: pa.array([raw[q * _ITEM.itemsize : q * _ITEM.itemsize + 16] for q in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([name(i), name(j)], names=["a", "b"])
+
+    return links
+
+
+def _row_digest(docs: DataFrame):
+    """A digest of all columns of a row, the same for rows that are alike."""
+    parts = [F.when(F.col(f"`{c}`").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(f"`{c}`").cast("string"))) for c in docs.columns]
+    return F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
+
+
+def wide_links(distinct: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(a, b): links of distinct (item, kind) whose components are those of all near pairs."""
+    # A row for each kind: the steps of the scale up to 2 ** 32 shingles times the bands, under 2,000 for a similarity of 0.8.
+    tiles = written(distinct.groupBy("kind").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")), "tiles")
+    dealt = (
+        distinct.join(F.broadcast(tiles), "kind")
+        .withColumn("tile", F.pmod(F.xxhash64("item"), F.col("tiles")).cast("int"))
+        .groupBy("kind", "tile", "tiles")
+        .agg(F.collect_list("item").alias("items"))
+    )
+    dealt = written(dealt, "tiles")
+    reach, top = -(-radius // BAND), 64 * WORDS // BAND  # tiles of bands farther apart hold no link
+    band = F.col("kind") % 16
+    near = [(F.lit(d), band + d) for d in range(1, reach + 1)] + [(F.lit(16 + d), band + d) for d in range(-reach, reach + 1)]
+    meets = F.array(*(F.when(b.between(0, top), F.col("kind") + d) for d, b in near))
+    visits = dealt.select(F.explode(F.array_compact(meets)).alias("kind"), F.col("items").alias("visitors"))
+    visits = visits.join(F.broadcast(tiles), "kind").select("kind", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "visitors", F.lit(False).alias("same"))
+    own = dealt.where("tile + 1 < tiles").select(
+        "kind", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"), F.col("items").alias("visitors"), F.lit(False).alias("same")
+    )
+    residents = dealt.select("kind", "tile", "items")
+    pairs = residents.join(visits.unionByName(own), ["kind", "tile"]).select("items", "visitors", "same")
+    within = residents.select("items", F.array().cast("array<binary>").alias("visitors"), F.lit(True).alias("same"))
+    return map_batches(pairs.unionByName(within), _wide_compare(radius, similarity), "a binary, b binary")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = WIDE_RADIUS, shingle_words: int = 5, tile: int = TILE) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each group of near copies, the one with the smallest doc_id.
+
+    Texts are near copies if the fingerprints of their shingles differ in radius bits at most, which
+    stands for the similarity, and the numbers of their shingles allow it; groups are what such
+    links connect, links through other texts included. Equal words (in small case) always link, so
+    null, empty and blank texts are one group. Groups go by row, not by doc_id: rows of one doc_id, and
+    rows without, stay if their texts differ. Null doc_ids come after others, ties fall by a digest
+    of the whole row, and of rows that are alike one stays. An empty table gives none.
+    """
+    row, = free_names(docs, "_row")
+    digest = _row_digest(docs)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, items = [], []
+            for x in batch.column(2):
+                same, n, fp = wide_fingerprint(x.as_py(), shingle_words)
+                kinds.append(_kind(n, int(np.bitwise_count(fp).sum()), similarity))
+                items.append(np.array((same, n, fp), _ITEM).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.int32()), pa.array(items, pa.binary())], names=["row", "doc_id", "kind", "item"])
+
+    prints = map_batches(docs.select(digest.alias("row"), F.col("doc_id").cast("long"), text_bytes().alias("_text")), hashed, "row string, doc_id long, kind int, item binary")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")
+    distinct = written(prints.groupBy("item", "kind").agg(best), "prints")
+    roots = components(wide_links(distinct.select("item", "kind"), radius, similarity, tile), "a", "b").withColumnRenamed("node", "same")
+    grouped = distinct.select(F.substring("item", 1, 16).alias("same"), "best").join(roots, "same", "left")
+    kept = grouped.groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return docs.withColumn(row, digest).join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
