@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verdictlake.llm import byte_bpe, language_id, mixing, secret_scan, simhash_dedup
 from verdictlake.llm.common import table, written
@@ -24,10 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that fingerprints link, the one with the smallest doc_id stays (of repeated rows one)."""
-    kept = simhash_dedup.duplicate_groups(docs, radius=3).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, a similarity of 0.8) the row with the smallest doc_id stays; of rows that are alike one."""
+    return simhash_dedup.without_near_copies(docs, similarity=0.8).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
