@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -38,7 +39,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
-UNSEEN = "script|style|noscript|template|svg|math|iframe|object|canvas|head|select|button|textarea|audio|video"
+#: Their content is no markup: it goes on to their own end tag (of the first two without one, to the end of the page).
+RAW = frozenset("script style title textarea iframe".split())
+#: Elements whose content isn't shown as text; of the second set a block ends one that was left open.
+UNSEEN = frozenset("noscript template svg canvas select audio video".split())
+ENDED_BY_BLOCKS = UNSEEN - {"noscript", "template"}
 #: A start tag of the key ends an open element of the first set, if none of the second set is nearer.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -50,21 +55,21 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-#: Words of class, id and role attributes, by what they usually name.
+#: Words of class, id and role attributes, by what they usually name; those of the last group name parts of articles as often as parts around them.
 TOKEN_GROUPS = (
     frozenset("article content main post entry story body text prose page paragraph blog".split()),
     frozenset("nav navigation navbar menu breadcrumb breadcrumbs pagination pager tabs toc skip".split()),
-    frozenset("header masthead banner logo topbar top branding".split()),
-    frozenset("footer foot bottom copyright legal contentinfo colophon".split()),
-    frozenset("sidebar side aside complementary rail widget widgets related recommended recommendations more trending popular tags".split()),
-    frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion dfp banner adsense".split()),
-    frozenset("cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription paywall privacy signup dialog".split()),
-    frozenset("comment comments commentlist reply replies respond disqus discussion responses reactions feedback".split()),
-    frozenset("form search login signin register contact field input".split()),
-    frozenset("share social sharing facebook twitter follow icons buttons toolbar print".split()),
+    frozenset("header masthead banner logo topbar branding".split()),
+    frozenset("footer foot copyright colophon contentinfo".split()),
+    frozenset("sidebar aside complementary rail widget widgets recommended recommendations trending".split()),
+    frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo dfp adsense".split()),
+    frozenset("cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription paywall signup dialog".split()),
+    frozenset("comment comments commentlist reply replies respond disqus reactions".split()),
+    frozenset("form login signin register input".split()),
+    frozenset("social sharing facebook twitter follow icons buttons toolbar".split()),
+    frozenset("related notice notices legal discussion responses feedback contact search share popular more tags privacy print side top bottom promotion field".split()),
 )
 
-_GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -83,93 +88,166 @@ class Node:
     label: str = ""  # of generated pages only
 
 
+class _Ends:
+    """Where the next end tag of a name starts, found without looking at any part of a page twice."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html.lower()
+        if len(self.html) != len(html):  # a few letters grow in small case; end tags are ASCII
+            self.html = "".join(c.lower() if c < "\x80" else c for c in html)
+        self.known: dict[str, int] = {}
+
+    def after(self, tag: str, at: int) -> int:
+        """-1 if there is none."""
+        found = self.known.get(tag, 0)
+        if 0 <= found < at:
+            found = self.html.find(f"</{tag}", at)
+            self.known[tag] = found
+        elif tag not in self.known:
+            self.known[tag] = found = self.html.find(f"</{tag}", at)
+        return found
+
+
+class _Builder:
+    """The tree under construction; every step takes constant time beside what it closes."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("html", -1, 0)]
+        self.stack: list[tuple[str, int]] = [("html", 0)]  # every open element and the block it belongs to
+        self.frames = [0]  # places of the open blocks in the stack
+        self.inline: list[dict[str, int]] = [{}]  # for each open block, how many elements of a name are open right in it
+        self.blocks: dict[str, list[int]] = {}  # places of the open blocks of a name
+        self.run: list[str] = []
+        self.linked = self.in_link = self.unseen = 0
+
+    def text(self, piece: str) -> None:
+        if not self.unseen:
+            self.run.append(piece)
+            if self.in_link:
+                self.linked += len(piece)
+
+    def flush(self) -> None:
+        if self.run:
+            text = " ".join(unescape("".join(self.run)).split())
+            if text:
+                owner = self.stack[-1][1]
+                self.nodes[owner].children.append(len(self.nodes))
+                self.nodes.append(Node("#text", owner, self.nodes[owner].depth + 1, "", [], text, min(self.linked, len(text))))
+            self.run.clear()
+            self.linked = 0
+
+    def open(self, tag: str, attributes: str) -> None:
+        owner = self.stack[-1][1]
+        if tag in BLOCKS:
+            self.flush()
+            self.nodes[owner].children.append(len(self.nodes))
+            self.nodes.append(Node(tag, owner, self.nodes[owner].depth + 1, attributes))
+            owner = len(self.nodes) - 1
+            self.blocks.setdefault(tag, []).append(len(self.stack))
+            self.frames.append(len(self.stack))
+            self.inline.append({})
+        else:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+            self.in_link += tag == "a"
+            self.unseen += tag in UNSEEN
+        self.stack.append((tag, owner))
+
+    def pop(self) -> None:
+        tag = self.stack[-1][0]
+        if tag in BLOCKS:
+            self.flush()
+            self.frames.pop()
+            self.inline.pop()
+            self.blocks[tag].pop()
+        else:
+            self.inline[-1][tag] -= 1
+            self.in_link -= tag == "a"
+            self.unseen -= tag in UNSEEN
+        self.stack.pop()
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
+
+    def close(self, tag: str) -> None:
+        """An inline element isn't closed beyond its block; an end tag without its element is ignored."""
+        if tag in BLOCKS:
+            if self.blocks.get(tag):
+                self.pop_to(self.blocks[tag][-1])
+        elif self.inline[-1].get(tag):
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop()
+
+    def make_room(self, tag: str) -> None:
+        """Ends what a block's start tag ends."""
+        while self.unseen and self.stack[-1][0] not in BLOCKS and any(self.inline[-1].get(x) for x in ENDED_BY_BLOCKS):
+            self.pop()
+        self.flush()
+        if tag in CLOSES_P and len(self.frames) > 1 and self.stack[self.frames[-1]][0] == "p":
+            self.pop_to(self.frames[-1])
+        if tag in IMPLIED:
+            ends, within = IMPLIED[tag]
+            wall = max((self.blocks[t][-1] for t in within if self.blocks.get(t)), default=0)
+            over = [places[k] for t in ends if (places := self.blocks.get(t)) and (k := bisect_right(places, wall)) < len(places)]
+            if over:
+                self.pop_to(min(over))
+
+
 def parse(html: str) -> list[Node]:
     """The block elements and text runs of a page in page order, the root first; attributes stay as written."""
-    html = _GONE.sub("", html)
-    nodes = [Node("html", -1, 0)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # every open element and the block it belongs to
-    run: list[str] = []
-    linked, in_link, at = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        if run:
-            text = " ".join(unescape("".join(run)).split())
-            if text:
-                owner = stack[-1][1]
-                nodes[owner].children.append(len(nodes))
-                nodes.append(Node("#text", owner, nodes[owner].depth + 1, "", [], text, min(linked, len(text))))
-            run.clear()
-            linked = 0
-
-    def pop_to(k: int) -> None:
-        nonlocal in_link
-        for tag, _ in stack[k:]:
-            if tag in BLOCKS:
-                flush()
-            in_link -= tag == "a"
-        del stack[k:]
-
-    for m in _TAG.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
-            run.append(piece)
-            if in_link:
-                linked += len(piece)
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        tag = tag.lower()
-        if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCKS:
-                        flush()
-                    pop_to(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break  # an inline element isn't closed beyond its block
+    tree, ends, at, size = _Builder(), _Ends(html), 0, len(html)
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            break
+        if start > at:
+            tree.text(html[at:start])
+        mark = html[start + 1 : start + 2]
+        if mark in ("!", "?"):
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+            else:
+                end = html.find(">", start)
+                at = size if end < 0 else end + 1
             continue
-        if tag == "br":
-            run.append(" ")
+        m = _TAG.match(html, start)
+        if not m:
+            tree.text("<")
+            at = start + 1
             continue
-        if tag in ("html", "body"):
+        at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = tag.lower()
+        if closing:
+            tree.close(tag)
+        elif tag == "br":
+            tree.text(" ")
+        elif tag in ("html", "head", "body"):
             if tag == "body":
-                flush()
-                nodes[0].attributes = nodes[0].attributes or attributes
-            continue
-        if tag in BLOCKS:
-            flush()
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            if tag in IMPLIED:
-                ends, within = IMPLIED[tag]
-                last = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        last = k
-                    elif stack[k][0] in within:
-                        break
-                if last is not None:
-                    pop_to(last)
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        owner = stack[-1][1]
-        if tag in BLOCKS:
-            flush()
-            nodes[owner].children.append(len(nodes))
-            nodes.append(Node(tag, owner, nodes[owner].depth + 1, attributes))
-            owner = len(nodes) - 1
-        in_link += tag == "a"
-        stack.append((tag, owner))
-    if at < len(html):
-        run.append(html[at:])
-    flush()
-    return nodes
+                tree.flush()
+                tree.nodes[0].attributes = tree.nodes[0].attributes or attributes
+        elif tag in RAW:
+            end = ends.after(tag, at)
+            if end >= 0:
+                at = html.find(">", end) + 1 or size
+            elif tag in ("script", "style"):
+                at = size
+            else:  # left open: as far as its text goes
+                end = html.find("<", at)
+                at = size if end < 0 else end
+        else:
+            if tag in BLOCKS:
+                tree.make_room(tag)
+            elif tag in UNSEEN and ends.after(tag, at) < 0:
+                continue
+            if not (tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS):
+                tree.open(tag, attributes)
+    if at < size:
+        tree.text(html[at:])
+    tree.flush()
+    return tree.nodes
 
 
 _TAGS = sorted(BLOCKS | {"#text"})
@@ -351,22 +429,22 @@ def _generated(rng: random.Random) -> str:
         body = rng.choice([prose(1, 2), f"<p>{prose(1, 3)}</p>", f"{link()} {words(2, 8)}", words(1, 9)])
         return f"<{(t := rng.choice(['div', 'div', 'aside', 'section', 'p']))}{named('ad', 'ads', 'advert', 'sponsored', 'promo', 'ad-banner', 'advertisement')}{d}>{body}</{t}>" if rng.random() < 0.95 else f"<aside{d}>{body}</aside>"
 
-    def side() -> str:
+    def side(around: bool = True) -> str:
         body = rng.choice([f"<h3>{words(1, 3)}</h3>{links(2, 8)}", f"<p>{prose(1, 3)}</p>", f"<h2>{words(1, 3)}</h2><p>{prose(1, 2)}</p>{links(1, 5)}", prose(1, 2)])
-        return rng.choice([f"<aside{named('sidebar', 'widget', '') or ''}{d}>{body}</aside>", f"<div{named('sidebar', 'related', 'widget', 'rail', 'recommended', 'trending')}{d}>{body}</div>", f"<aside{d}>{body}</aside>"])
+        return rng.choice([f"<aside{named('sidebar', 'widget', '') or ''}{d}>{body}</aside>", f"<div{named('sidebar', 'widget', 'rail', 'recommended', 'trending', *['related', 'popular', 'more'] * around)}{d}>{body}</div>", f"<aside{d}>{body}</aside>"])
 
-    def notice() -> str:
+    def notice(around: bool = True) -> str:
         body = rng.choice([f"<p>{prose(1, 3)}</p>", f"{prose(1, 2)} {link()}", prose(1, 2)])
-        return f"<{(t := rng.choice(['div', 'div', 'section', 'p']))}{named('cookie', 'cookie-notice', 'consent', 'newsletter', 'popup', 'notice', 'subscribe', 'gdpr', 'modal')}{d}>{body}</{t}>"
+        return f"<{(t := rng.choice(['div', 'div', 'section', 'p']))}{named('cookie', 'cookie-notice', 'consent', 'newsletter', 'popup', 'subscribe', 'gdpr', 'modal', *['notice', 'notices'] * around)}{d}>{body}</{t}>"
 
     def form() -> str:
         body = rng.choice([f"<label>{words(1, 3)}</label> <input name=q> ", f"<p>{words(2, 8)}</p><input name=mail>", f"{words(1, 4)} <input> {words(1, 2)}"])
         return f"<form{named('search', 'login', 'contact', 'form')}{d}>{body}</form>"
 
-    def comments() -> str:
+    def comments(around: bool = True) -> str:
         one = lambda: rng.choice([f"<p>{prose(1, 4)}</p>", f"<div{named('comment', 'comment-body', 'reply')}><p>{prose(1, 3)}</p></div>", f"<li{named('comment')}>{prose(1, 3)}</li>", f"<article{named('comment')}><p>{prose(1, 3)}</p></article>"])
         body = (f"<h3>{words(1, 3)}</h3>" if rng.random() < 0.5 else "") + "".join(one() for _ in range(rng.randint(1, 6)))
-        return f"<{(t := rng.choice(['section', 'div', 'ol', 'div']))}{named('comments', 'comment-list', 'disqus', 'respond', 'discussion', 'reader-comments')}{d}>{body}</{t}>"
+        return f"<{(t := rng.choice(['section', 'div', 'ol', 'div']))}{named('comments', 'comment-list', 'disqus', 'respond', 'comments-discussion', 'reader-comments', *['discussion', 'responses', 'feedback'] * around)}{d}>{body}</{t}>"
 
     def share() -> str:
         return f"<div{named('share', 'social', 'sharing', 'share-buttons')}{d}>{links(2, 5) if rng.random() < 0.6 else words(1, 6)}</div>"
@@ -395,12 +473,19 @@ def _generated(rng: random.Random) -> str:
             return f"<p>{prose(1, 2)} {link()} {prose(1, 2)}</p>"
         return rng.choice([f"<div>{prose()}</div>", f"<div><p>{prose()}</p><p>{prose()}</p></div>", f"<section><h2>{words(1, 5)}</h2><p>{prose()}</p></section>"])
 
-    inside = [block() for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14]))]
+    def odd() -> str:
+        """Part of an article under a name that parts around it have, too."""
+        name = rng.choice("related-work related notice notices legal-background discussion responses feedback-loop contact search-method share-of popular more tags privacy-law print side-effects top bottom promotion field-notes".split())
+        body = rng.choice([f"<h2>{words(1, 5)}</h2><p>{prose()}</p>", f"<p>{prose()}</p><p>{prose()}</p>", prose(1, 5), f"<h3>{words(1, 4)}</h3><p>{prose(1, 3)} {link()} {prose(1, 3)}</p>"])
+        t = rng.choice(["div", "section", "div", "p"]) if "<" not in body else rng.choice(["div", "section"])
+        return f'<{t} class="{name}">{body}</{t}>'
+
+    inside = [odd() if rng.random() < 0.06 else block() for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14]))]
     if rng.random() < 0.85:
         inside.insert(0, f"<h1>{words(1, 12)}</h1>")
     for part in (ad, share, side, form, notice, nav, comments):
         if rng.random() < 0.09:
-            inside.insert(rng.randint(0, len(inside)), part())
+            inside.insert(rng.randint(0, len(inside)), part(False) if part in (side, notice, comments) else part())
     content = rng.choice(["<article{0}>{1}</article>"] * 4 + ["<main{0}>{1}</main>", "<main><article{0}>{1}</article></main>"] + ['<div class="{2}"{0}>{1}</div>'] * 3 + ["<div{0}>{1}</div>", "<section{0}>{1}</section>", "<body{0}>{1}"]).format(
         ' data-label="k"', "".join(inside), rng.choice(["content", "article", "post", "entry-content", "story-body", "main-content", "post-body", "article-text"])
     )
@@ -455,7 +540,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     A null or empty page, and one without main text, has the empty text. Malformed and truncated
-    pages are read as far as they go. Repeated rows stay repeated; an empty table gives none; other
+    pages are read as far as they go, in time that grows with their length. Where keeping and dropping
+    a block are as likely, it is kept. Repeated rows stay repeated; an empty table gives none; other
     columns are ignored. Nothing of a page is dropped for its length.
     """
     model = pages.sparkSession.sparkContext.broadcast(trained())  # ROUNDS x 3 small trees
