@@ -80,3 +80,15 @@ def test_redaction_takes_whole_keys(spark):
     assert [out[i] for i in range(len(texts))] == [want for _, want in texts]
     header = next(r.pattern for r in s.RULES if r.kind == "private_key")
     assert s.trigram_query(s.KEY_BLOCK) == s.trigram_query(header)
+
+
+def test_many_matches_and_clashing_columns(spark, monkeypatch):
+    texts = ["x " + "token=abcdefgh1 é " * 700, "AKIA" + "B" * 20 + " ", "", None, "plain"]
+    docs = spark.createDataFrame([(i, t, "mine", i) for i, t in enumerate(texts)], "doc_id long, text string, _key string, _rules long")
+    for most in (0, 100):
+        monkeypatch.setattr(s, "BROADCAST_KEYS", most)
+        rows = {r["doc_id"]: r for r in s.scan(docs).collect()}
+        assert s.scan(docs).columns == [*docs.columns, "secrets"] and all(r["_key"] == "mine" and r["_rules"] == i for i, r in rows.items())
+        assert [(x["start"], x["stop"]) for x in rows[0]["secrets"]] == [(2 + 18 * k, 2 + 18 * k + 15) for k in range(700)]
+        assert [(x["start"], x["stop"]) for x in rows[1]["secrets"]] == [(0, 24)] and not rows[2]["secrets"] and not rows[3]["secrets"]
+    assert [r["text"] for r in s.redact(docs).orderBy("doc_id").collect()][1:] == ["[SECRET] ", "", None, "plain"]

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 try:  # the parser of regular expressions, whose place depends on the Python version
     from re import _constants as sre_constants
@@ -29,6 +29,10 @@ except ImportError:  # Python before 3.11
 
 #: Texts that a block of the index should hold.
 BLOCK_TEXTS = 20_000
+#: Candidate texts up to which their keys are broadcast (some 100 bytes each); beyond, texts and keys are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+#: Matches whose positions are put together at a time, so that no long list is copied for each of them.
+LOT = 256
 #: More alternatives than this are not followed when a query is derived.
 MOST_STRINGS = 64
 
@@ -201,11 +205,19 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
         out = F.when(F.length(x["judged"]) >= rule.least, added).otherwise(state["out"])
         return F.struct(F.coalesce(stop, state["at"]).alias("at"), out.alias("out"))
 
-    listed = F.aggregate(
-        F.arrays_zip(between.alias("between"), matches.alias("match"), judged.alias("judged")),  # the rest after the last match has none
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda state: F.filter(F.split(state["out"], ","), lambda x: x != ""),
+    zipped = F.arrays_zip(between.alias("between"), matches.alias("match"), judged.alias("judged"))  # the rest after the last match has none
+
+    def lot(state: Column, first: Column) -> Column:
+        inner = F.aggregate(F.slice(zipped, first, LOT), F.struct(state["at"].alias("at"), F.lit("").alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(state["out"], inner["out"]).alias("out"))
+
+    listed = F.when(F.size(matches) == 0, F.array().cast("array<string>")).otherwise(
+        F.aggregate(
+            F.sequence(F.lit(1), F.size(matches) + 1, F.lit(LOT)),
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            lot,
+            lambda state: F.filter(F.split(state["out"], ","), lambda x: x != ""),
+        )
     )
     return F.transform(
         listed,
@@ -225,18 +237,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_texts: int = BL
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for clauses in queries.values() for clause in clauses for t in clause})
     text = F.coalesce(F.col("text"), F.lit(""))
+    row_key, row_rules = free_names(docs, "_key", "_rules")
     if trigrams:
         index = written(build_index(docs, trigrams, block_texts), "trigrams")
-        found = candidates(index, trigrams, queries)
-        rows = docs.withColumn("_key", _key()).join(found.withColumnRenamed("key", "_key").withColumnRenamed("rules", "_rules"), "_key", "left")
+        found = written(candidates(index, trigrams, queries).select(F.col("key").alias(row_key), F.col("rules").alias(row_rules)), "candidates")
+        if found.count() <= BROADCAST_KEYS:
+            found = F.broadcast(found)  # no text moves
+        rows = docs.withColumn(row_key, _key()).join(found, row_key, "left")
     else:
-        rows = docs.withColumn("_key", F.lit(0)).withColumn("_rules", F.array().cast("array<string>"))
+        rows = docs.withColumn(row_key, F.lit(0)).withColumn(row_rules, F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     parts = []
     for order, rule in enumerate(rules):
         spans = _spans(rule, order, text)
-        parts.append(F.when(F.array_contains("_rules", rule.kind), spans).otherwise(none) if rule.kind in queries else spans)
-    return rows.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("_key", "_rules")
+        parts.append(F.when(F.array_contains(row_rules, rule.kind), spans).otherwise(none) if rule.kind in queries else spans)
+    return rows.withColumn("secrets", F.array_sort(F.concat(*parts))).drop(row_key, row_rules)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -250,7 +265,10 @@ def _of_kind(spans: Column, place: int) -> Column:
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE_RULES)) -> DataFrame:
-    """doc_id, n_<kind> of the base kinds, base_sha256 and spans for every row."""
+    """doc_id, n_<kind> of the base kinds, base_sha256 and spans for every row.
+
+    Nulls, empty texts, repeated rows and empty tables are as in scan(); other columns are ignored.
+    """
     rows = scan(docs, rules).select("doc_id", "secrets")
     first = F.filter("secrets", lambda s: s["kind"] < base)
     counts = [F.size(_of_kind(F.col("secrets"), i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
@@ -258,7 +276,11 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BAS
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its texts replaced by mark (overlapping ones by one), n_chars following the text if there."""
+    """docs with every span of its texts replaced by mark (overlapping ones by one), n_chars following the text if there.
+
+    A null or empty text stays as it is. All rows and columns are kept, repeated rows too; an empty
+    table gives none.
+    """
     rows = scan(docs, rules)
 
     def step(state: Column, s: Column) -> Column:
