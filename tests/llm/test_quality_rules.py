@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -29,24 +30,104 @@ def test_base_counts(spark, small):
         assert q.base_counts(text.encode()) == plain(text), text[:80]
 
 
-def test_model_is_a_distribution():
-    text = b"the cat sat on the mat and the cat sat still because that cat likes the mat so much " * 3
-    grams, counts = np.unique(q.packed(q.symbols_of(text)), return_counts=True)
-    model = q.estimate(grams.astype(np.int64), counts)
-    rng = np.random.default_rng(3)
-    for _ in range(10):
-        context = rng.choice(q.symbols_of(text), q.ORDER - 1)
-        total = sum(math.exp(model.log_probabilities(np.array([*context, s], np.uint8))[0]) for s in range(64))
-        assert abs(total - 1) < 0.06  # a symbol never seen gets 1/64 of what is left
-
-
-def test_counts_over_all_documents(spark, odd):
-    found = {(r["language"], r["gram"]): r["n"] for r in q.count_ngrams(odd).collect()}
-    want = Counter()
-    for r in odd.collect():
-        for g in q.packed(q.symbols_of((r["text"] or "").encode())).tolist():
-            want[(r["lang"] or "", g)] += 1
-    assert found == dict(want)
+def grams_of(text):
+    joined = " " * (q.ORDER - 1) + " ".join(re.findall(r"[^\x20\x09-\x0D]+", text))
+    return [joined[i : i + q.ORDER] for i in range(len(joined) - q.ORDER + 1)]
+
+
+class Plain:
+    """The model of one language, straight from the definition."""
+
+    def __init__(self, counts):
+        self.c = {q.ORDER: Counter(counts)}
+        for k in range(q.ORDER - 1, 0, -1):
+            self.c[k] = Counter(g[1:] for g in self.c[k + 1])
+        self.kinds, self.d, self.contexts = len(self.c[1]), {}, {}
+        for k, c in self.c.items():
+            n = [sum(v == x for v in c.values()) for x in (1, 2, 3, 4)]
+            self.d[k] = [0.5, 0.75, 0.9]
+            if all(n):
+                y = n[0] / (n[0] + 2 * n[1])
+                self.d[k] = [max(0.05, min(j + 0.95, j + 1 - (j + 2) * y * n[j + 1] / n[j])) for j in range(3)]
+            for g, v in c.items():
+                total, kept = self.contexts.get((k, g[:-1]), (0, 0.0))
+                self.contexts[k, g[:-1]] = total + v, kept + self.mass(k, v)
+
+    def mass(self, k, v):
+        return v - self.d[k][min(v, 3) - 1] if v >= (1 if k < 3 else q.LEAST_COUNT) else 0.0
+
+    def p(self, g):
+        if not g:
+            return 1 / (self.kinds + 1)
+        k = len(g)
+        total, kept = self.contexts.get((k, g[:-1]), (0, 0.0))
+        if not total:
+            return self.p(g[1:])
+        v = self.c[k].get(g, 0)
+        return (self.mass(k, v) if v else 0.0) / total + (1 - kept / total) * self.p(g[1:])
+
+
+def test_model_and_bands_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = [(r["doc_id"], r["lang"] or "", r["text"] or "") for r in docs.collect()]
+    counts = {}
+    for _, lang, text in texts:
+        counts.setdefault(lang, Counter()).update(grams_of(text))
+    found = q.count_ngrams(q._rows(docs, "lang"))
+    assert {(r["language"], r["gram"]): r["n"] for r in found.collect()} == {(lang, g): n for lang, c in counts.items() for g, n in c.items()}
+    plain_models = {lang: Plain(c) for lang, c in counts.items() if c}
+    p = {(r["language"], r["gram"]): r["p"] for r in q.estimate(found).collect()}
+    assert set(p) == {(lang, g) for lang, c in counts.items() for g in c}
+    for (lang, gram), x in p.items():
+        assert abs(x - plain_models[lang].p(gram)) < 1e-9
+    rng, model = random.Random(2), plain_models["en"]
+    for gram in rng.sample(sorted(model.c[q.ORDER]), 20):
+        assert abs(sum(model.p(gram[:-1] + s) for s in model.c[1]) + model.p(gram[:-1] + "\0") - 1) < 1e-9
+    # Perplexities, bands and verdicts.
+    rows = {r["doc_id"]: r for r in q.judge(docs).collect()}
+    logs = {i: [math.log(p[lang, g]) for g in grams_of(text)] for i, lang, text in texts if text.split()}
+    for i, x in logs.items():
+        assert abs(rows[i]["log_perplexity"] + sum(x) / len(x)) < 1e-4
+    for lang in counts:
+        own = {i for i, name, _ in texts if name == lang}
+        pool = sorted(rows[i]["log_perplexity"] for i in own if i in logs and not rows[i]["base_failed"])
+        at = lambda values, share: values[max(0, math.ceil(share * len(values)) - 1)]
+        middle, spread = at(pool, 0.5), (at(pool, 0.75) - at(pool, 0.25)) / 1.349
+        noise = at(sorted(np.var(np.float32(logs[i]).astype(float)) for i in own if i in logs and not rows[i]["base_failed"]), 0.5)
+        for i in own:
+            width = math.sqrt(spread**2 + noise / max(1, len(logs.get(i, []))))
+            assert abs(rows[i]["lower"] - (middle - q.LOWER * width)) < 1e-3 and abs(rows[i]["upper"] - (middle + q.UPPER * width)) < 1e-3
+            assert rows[i]["kept"] == (not rows[i]["base_failed"] and rows[i]["lower"] <= rows[i]["log_perplexity"] <= rows[i]["upper"])
+    # Beyond the bound of the broadcast: the same, from files of blocks.
+    files = {r["doc_id"]: r for r in q.judge(docs.repartition(5), model_grams=0).collect()}
+    assert {i: (r["kept"], r["log_perplexity"]) for i, r in files.items()} == {i: (r["kept"], r["log_perplexity"]) for i, r in rows.items()}
+
+
+def test_the_model_grows_with_the_input(spark, small):
+    docs = q._rows(spark.read.parquet(f"{small}/documents.parquet"), "lang")
+    assert q.count_ngrams(docs).count() > 1.3 * q.count_ngrams(docs.where("doc_id % 4 = 0")).count()
+
+
+def test_hashes_agree():
+    text = "aé漢😀 \0 b c. d"
+    found = q.hashes_of(q.symbols_of(text.encode())).tolist()
+    assert found == q.hashes_of_grams(grams_of(text)).tolist() and len(set(found)) == len(set(grams_of(text)))
+
+
+def test_scrambled_letters_are_rejected_in_any_script(spark):
+    rng, rows = random.Random(6), []
+    alphabets = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщ", "zh": "".join(chr(0x4E00 + 37 * k) for k in range(300))}
+    for lang, letters in alphabets.items():
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(200)]
+        for k in range(80):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(150)), lang, False))
+        for k in range(4):
+            text = list(" ".join(rng.choice(words) for _ in range(150)))
+            rng.shuffle(text)
+            rows.append((len(rows), "".join(text), lang, True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, bad boolean")
+    kept = {r["doc_id"]: r["kept"] for r in q.judge(docs).collect()}
+    assert all(kept[i] != bad for i, _, _, bad in rows)
 
 
 def test_bands_reject_noise_and_keep_prose(spark):

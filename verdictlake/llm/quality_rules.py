@@ -1,29 +1,41 @@
 """Quality rules: counts from the text, then bands of n-gram perplexity for each language.
 
-The language model is a modified Kneser-Ney model of ORDER symbols. Its n-grams are counted by
-Spark over every document, language by language; symbols are 64 classes of bytes, so a packed
-n-gram is a number under 64 ** ORDER, which bounds the model for each language however large the
-corpus is. Each order is kept as a sorted array of packed n-grams beside their log probabilities
-and looked up by binary search. A text's perplexity is judged against its language's band, which
-is wider for short texts, whose mean is less certain.
+The language model is a modified Kneser-Ney model of ORDER code points. Its n-grams are counted by
+Spark over every document, language by language, and estimated in Spark tables that grow with the
+corpus: each order's table is joined with its contexts and with the order below. An n-gram of
+the orders above two that was met once gives its mass to the order below, so that a text is not
+made likely by its own count. The probabilities end in arrays sorted by a 64-bit hash of the n-gram,
+which are looked up by binary search.
+
+Up to MODEL_GRAMS n-grams, one array a language is broadcast. Beyond, documents are dealt into
+blocks, and each block gets the sorted arrays of its own n-grams as files in the shared folder, so
+that no task holds more than what its block needs. Both ways give the same results.
+
+A text's perplexity is judged against its language's band, which is wider for short texts, whose
+mean is less certain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import map_batches
-from .common import text_bytes, written
+from ..session import map_batches, ship_package
+from .common import get, new_folder, put, text_bytes, written
 
-#: Symbols of an n-gram, and bits of a symbol.
-ORDER, BITS = 4, 6
+#: Code points of an n-gram, and the least count with which one of three or more keeps a probability of its own.
+ORDER, LEAST_COUNT = 5, 2
+#: N-grams of all languages up to which the model is broadcast (12 bytes each), bytes of text of a block beyond, positions counted at a time.
+MODEL_GRAMS, BLOCK_BYTES, POSITIONS = 4_000_000, 48 << 20, 4_000_000
 #: A band reaches this many standard deviations below and above the middle.
 LOWER, UPPER = 3.5, 7.0
 #: A document fails with fewer words, or if more than this percentage of them stand in repeated 5-word windows.
@@ -32,31 +44,6 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 
 
-def _classes() -> bytes:
-    """The class of each byte: white space 0, letters 1-26 in either case, digits, signs, bytes beyond ASCII by their low bits."""
-    out = bytearray(256)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 32 + (b & 31)
-        elif c.isalpha():
-            out[b] = ord(c.lower()) - 96
-        elif c.isdigit():
-            out[b] = 27
-        elif c in ".,;:!?":
-            out[b] = 28
-        elif c in "'\"()-":
-            out[b] = 29
-        elif b in _SYMBOLS:
-            out[b] = 30
-        elif b not in _SPACE:
-            out[b] = 31
-    return bytes(out)
-
-
-CLASSES = _classes()
-
-
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.split()
@@ -81,164 +68,246 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def symbols_of(text: bytes) -> np.ndarray:
-    """The classes of a text's words joined by single spaces, after ORDER - 1 spaces."""
+    """The code points of a text's words joined by single spaces, after ORDER - 1 spaces."""
     joined = b" " * (ORDER - 1) + b" ".join(text.split())
-    return np.frombuffer(joined.translate(CLASSES), np.uint8)
-
-
-def packed(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each symbol after the first ORDER - 1."""
-    n = len(symbols) - ORDER + 1
-    out = np.zeros(n, np.int32)
-    for k in range(ORDER - order, ORDER):
-        out = out << BITS | symbols[k : k + n]
-    return out
-
-
-@dataclass(frozen=True)
-class KneserNey:
-    """For each order from 1 on: sorted n-grams, their natural log probabilities, sorted contexts, their log back-off weights."""
-
-    grams: tuple[np.ndarray, ...]
-    logs: tuple[np.ndarray, ...]
-    contexts: tuple[np.ndarray, ...]
-    weights: tuple[np.ndarray, ...]
-
-    def log_probabilities(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(0, len(symbols) - ORDER + 1))
-        open_ = np.arange(len(out))
-        for order in range(ORDER, 0, -1):
-            codes = packed(symbols, order)[open_]
-            grams = self.grams[order - 1]
-            at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
-            hit = grams[at] == codes
-            out[open_[hit]] += self.logs[order - 1][at[hit]]
-            open_, codes = open_[~hit], codes[~hit] >> BITS
-            if not len(open_):
-                break
-            contexts = self.contexts[order - 1]
-            at = np.minimum(np.searchsorted(contexts, codes), len(contexts) - 1)
-            out[open_] += np.where(contexts[at] == codes, self.weights[order - 1][at], 0.0)
-        out[open_] += -BITS * np.log(2)  # a symbol never seen: one of 64
-        return out
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney for counts 1, 2 and more; plain values where counts of counts are too few."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
-    if min(n[:3]) == 0 or n[3] == 0:
-        return np.array([0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    found = np.array([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]])
-    return np.clip(found, [0.05, 0.05, 0.05], [0.95, 1.95, 2.95])
-
-
-def estimate(grams: np.ndarray, counts: np.ndarray) -> KneserNey:
-    """The model from the counts of all n-grams of the highest order; lower orders count distinct left neighbours."""
-    tables = [(grams, counts)]
-    for order in range(ORDER - 1, 0, -1):
-        tables.append(np.unique(tables[-1][0] & ((1 << BITS * order) - 1), return_counts=True))
-    tables.reverse()
-    all_grams, all_logs, all_contexts, all_weights, lower = [], [], [], [], None
-    for order, (codes, c) in enumerate(tables, 1):
-        order_by = np.argsort(codes)
-        codes, c = codes[order_by].astype(np.int32), c[order_by].astype(np.float64)
-        d = _discounts(c)
-        context = codes >> BITS
-        heads, start = np.unique(context, return_index=True)
-        total = np.add.reduceat(c, start)
-        place = np.minimum(c, 3).astype(int)
-        taken = np.add.reduceat(d[place - 1], start)
-        gamma = taken / total
-        which = np.searchsorted(heads, context)
-        p = np.maximum(c - d[place - 1], 0) / total[which]
-        if order == 1:
-            p += gamma[which] / (1 << BITS)
-        else:
-            below_codes, below_p = lower
-            p += gamma[which] * below_p[np.searchsorted(below_codes, codes & ((1 << BITS * (order - 1)) - 1))]
-        lower = (codes, p)
-        for out, x in zip((all_grams, all_logs, all_contexts, all_weights), (codes, np.log(p), heads.astype(np.int32), np.log(gamma))):
-            out.append(x)
-    return KneserNey(tuple(all_grams), tuple(all_logs), tuple(all_contexts), tuple(all_weights))
+    return np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def hashes_of(symbols: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the n-gram that ends at each symbol after the first ORDER - 1."""
+    n = max(0, len(symbols) - ORDER + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(ORDER):
+        out *= np.uint64(0x5851F42D4C957F2D)
+        out += symbols[k : k + n]
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashes_of_grams(grams: list[str]) -> np.ndarray:
+    """The same hash of n-grams given as strings."""
+    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
+    out = np.zeros(len(points), np.uint64)
+    for k in range(ORDER):
+        out = out * np.uint64(0x5851F42D4C957F2D) + points[:, k]
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def count_ngrams(docs: DataFrame, language: str = "lang") -> DataFrame:
-    """language, gram and n: the count of every n-gram of ORDER symbols over all texts. Partial counts leave each batch, Spark adds them up."""
+def _rows(docs: DataFrame, language: str) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col(language).cast("string"), F.lit("")).alias("language"), text_bytes().alias("text"))
+
+
+def count_ngrams(rows: DataFrame, by_block: bool = False) -> DataFrame:
+    """language, gram and n (with by_block also block): the count of every n-gram of ORDER code points over all rows.
+
+    Partial counts leave each task's parts of POSITIONS n-grams; Spark adds them up.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[tuple, list[np.ndarray]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for name, parts in held.items():
-                grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], names=["language", "gram", "n"])
+            for (block, name), parts in held.items():
+                points = np.concatenate(parts)  # the leading spaces of a text part it from the one before
+                keys, first, n = np.unique(hashes_of(points), return_index=True, return_counts=True)
+                if len(parts) > 1:  # n-grams that begin in one text and end in the next are none
+                    ends = np.cumsum([len(x) for x in parts])[:-1]
+                    over = (ends[:, None] + np.arange(1 - ORDER, 0)[None, :]).ravel()
+                    lost, times = np.unique(hashes_of(points)[over], return_counts=True)
+                    n[np.searchsorted(keys, lost)] -= times
+                there = n > 0
+                first, n = first[there], n[there]
+                text = points[first[:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le", "surrogatepass")
+                grams = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(grams), pa.int64()), pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n.astype(np.int64))],
+                    names=["block", "language", "gram", "n"],
+                )
             held.clear()
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                codes = packed(symbols_of(text.as_py()))
-                if len(codes):
-                    held.setdefault(name, []).append(codes)
-                    size += len(codes)
-                if size > 8_000_000:
+            for block, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                points = symbols_of(text.as_py())
+                if len(points) >= ORDER:
+                    held.setdefault((block, name), []).append(points)
+                    size += len(points)
+                if size > POSITIONS:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    rows = docs.select(F.coalesce(F.col(language), F.lit("")).alias("language"), text_bytes().alias("_text"))
-    parts = map_batches(rows, count, "language string, gram int, n long")
-    return parts.groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    block = F.col("block") if by_block else F.lit(0).cast("long").alias("block")
+    parts = map_batches(rows.select(block, "language", "text"), count, "block long, language string, gram string, n long")
+    return parts.groupBy(*["block"] * by_block, "language", "gram").agg(F.sum("n").alias("n"))
+
 
+def _discounts(n: list) -> list:
+    """The three discounts of modified Kneser-Ney for counts 1, 2 and more from the counts of counts 1 to 4; plain values where these are too few."""
+    few = (n[0] == 0) | (n[1] == 0) | (n[2] == 0) | (n[3] == 0)
+    n = [F.greatest(F.lit(1), x) for x in n]
+    y = n[0] / (n[0] + 2 * n[1])
+    found = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+    return [F.when(few, plain).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(k + 0.95), x))) for k, (x, plain) in enumerate(zip(found, (0.5, 0.75, 0.9)))]
+
+
+def estimate(counts: DataFrame) -> DataFrame:
+    """language, gram and p: the probability of the last code point after the others, for every n-gram of counts (language, gram, n).
 
-def fit(docs: DataFrame, language: str = "lang") -> dict[str, KneserNey]:
-    """A model for each language (null: the empty name). At most 64 ** ORDER counts a language reach the driver."""
-    table = written(count_ngrams(docs, language), "ngrams").toPandas()
-    return {name: estimate(t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for name, t in table.groupby("language")}
+    Orders below the highest count distinct left neighbours. What discounts and pruned n-grams leave
+    of a context goes to the order below, and at the lowest to all code points of the language and
+    one for those never met, so that every context's probabilities add up to 1.
+    """
+    tables = {ORDER: written(counts.select("language", "gram", F.col("n").alias("c")), "grams")}
+    for k in range(ORDER - 1, 0, -1):
+        tables[k] = written(tables[k + 1].groupBy("language", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "grams")
+    classes = lambda c: [F.sum((c == x).cast("long")).alias(f"n{x}") for x in (1, 2, 3, 4)]
+    found = None
+    for k, t in tables.items():
+        one = t.groupBy("language").agg(*classes(F.col("c")), F.count("*").alias("kinds")).withColumn("order", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    d = _discounts([F.col(f"n{x}") for x in (1, 2, 3, 4)])
+    discounts = written(found.select("language", "order", "kinds", *(x.alias(f"d{i}") for i, x in enumerate(d, 1))), "discounts")  # a row for each language and order
+    lower = None
+    for k in range(1, ORDER + 1):
+        least = 1 if k < 3 else LEAST_COUNT
+        own = F.broadcast(discounts.where(F.col("order") == k).drop("order"))
+        t = tables[k].select("language", "gram", "c", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("below"))
+        kept = F.col("c") >= least
+        w = t.groupBy("language", "context").agg(
+            F.sum("c").alias("total"), F.sum(F.when(kept, F.col("c")).otherwise(0)).alias("kept"),
+            *(F.sum((kept & (F.col("c") == x if x < 3 else F.col("c") >= 3)).cast("long")).alias(f"m{x}") for x in (1, 2, 3)),
+        )
+        w = w.join(own, "language").select(
+            "language", "context", "total", ((F.col("kept") - F.col("m1") * F.col("d1") - F.col("m2") * F.col("d2") - F.col("m3") * F.col("d3")) / F.col("total")).alias("share"), "d1", "d2", "d3", "kinds"
+        )
+        t = t.join(w, ["language", "context"])
+        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        mass = F.when(kept, (F.col("c") - taken) / F.col("total")).otherwise(F.lit(0.0))
+        if lower is None:
+            under = 1 / (F.col("kinds") + 1)
+        else:
+            t, under = t.join(lower.withColumnsRenamed({"gram": "below", "p": "p_below"}), ["language", "below"]), F.col("p_below")
+        lower = written(t.select("language", "gram", (mass + (1 - F.col("share")) * under).alias("p")), "model")
+    return lower
 
 
-def score(docs: DataFrame, models: dict[str, KneserNey], language: str = "lang") -> DataFrame:
-    """doc_id, language, the base counts, base_failed, n_symbols_scored, log_perplexity and its variance a symbol, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _arrays(grams: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and the natural logarithms of the probabilities beside them."""
+    keys = hashes_of_grams(grams) if len(grams) else np.zeros(0, np.uint64)
+    keys, first = np.unique(keys, return_index=True)
+    return keys, np.log(p[first]).astype(np.float32)
+
+
+def log_probabilities(text: bytes, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The log probability of every code point of a text; an n-gram that the model has not met is as likely as its least likely one."""
+    wanted = hashes_of(symbols_of(text))
+    if not len(keys) or not len(wanted):
+        return np.zeros(0)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    found = logs[at].astype(np.float64)
+    return found if hit.all() else np.where(hit, found, float(logs.min()))
+
+
+def _deal(rows: DataFrame) -> DataFrame:
+    """rows with a block number, written: a block holds consecutive rows of one task, BLOCK_BYTES of text and one text at most."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            blocks = []
+            for text in batch.column(2):
+                if held > BLOCK_BYTES:
+                    block, held = block + 1, 0
+                blocks.append(block)
+                held += text.as_buffer().size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=["doc_id", "language", "text", "block"])
+
+    return written(map_batches(rows.withColumn("doc_id", F.col("doc_id").cast("long")), deal, "doc_id long, language string, text binary, block long"), "blocks")
+
+
+def _place(folder: str, block: int, language: str) -> str:
+    return f"{folder}/{block}-{hashlib.md5(language.encode()).hexdigest()}.npy"
+
+
+@lru_cache(maxsize=8)
+def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = get(uri)
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n, 8 * n)
+
+
+def _store(model: DataFrame, counts: DataFrame) -> Callable:
+    """Writes each block's sorted arrays for each of its languages; returns how a task reads them."""
+    folder = new_folder(model.sparkSession, "lookup")
+    ship_package(model.sparkSession)
+
+    def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        keys, logs = _arrays(group["gram"].tolist(), group["p"].to_numpy())
+        put(_place(folder, *key), keys.astype("<u8").tobytes() + logs.astype("<f4").tobytes())
+        return pd.DataFrame({"n": [len(keys)]})
+
+    pairs = counts.select("block", "language", "gram").join(model, ["language", "gram"])
+    written(pairs.groupBy("block", "language").applyInPandas(write, "n long"), "lookups")
+    return lambda block, language: _load(_place(folder, block, language))
+
+
+def score(rows: DataFrame, lookup: Callable) -> DataFrame:
+    """doc_id, language, the base counts, base_failed, scored, log_perplexity and its variance a symbol, for every row (doc_id, language, text, block)."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = "doc_id long, language string, " + ", ".join(f"{c} long" for c in counts) + ", scored long, log_perplexity double, variance double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
         for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+            found = []
+            for name, text, block in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 text = text.as_py()
-                logs = models[name].log_probabilities(symbols_of(text)) if name in models else np.zeros(0)
+                base = base_counts(text)
+                logs = log_probabilities(text, *lookup(block, name)) if base[0] else np.zeros(0)
                 n = len(logs)
-                rows.append((*base_counts(text), n, -float(logs.mean()) if n else 0.0, float(logs.var()) if n else 0.0))
-            frame = pd.DataFrame(rows, columns=[*counts, "scored", "log_perplexity", "variance"])
+                found.append((*base, n, -float(logs.mean()) if n else 0.0, float(logs.var()) if n else 0.0))
+            frame = pd.DataFrame(found, columns=[*counts, "scored", "log_perplexity", "variance"])
             arrays = [batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(frame[c]) for c in frame.columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "language", *frame.columns])
 
-    rows = docs.select("doc_id", F.coalesce(F.col(language), F.lit("")).alias("language"), text_bytes().alias("_text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return map_batches(rows, scored, schema).withColumn("base_failed", failed)
-
-
-def bands(scores: DataFrame) -> DataFrame:
+    return map_batches(rows.select("doc_id", "language", "text", "block"), scored, schema).withColumn("base_failed", failed)
+
+
+def scores(docs: DataFrame, language: str = "lang", model_grams: int = MODEL_GRAMS) -> DataFrame:
+    """score() of every row of docs by the model of all of them."""
+    spark, rows = docs.sparkSession, _rows(docs, language)
+    model = estimate(count_ngrams(rows))
+    if model.count() <= model_grams:
+        table = model.toArrow()  # model_grams rows at most
+        arrays = {}
+        for name in set(table.column("language").to_pylist()):
+            part = table.filter(pc.equal(table.column("language"), name))
+            arrays[name] = _arrays(part.column("gram").to_pylist(), part.column("p").to_numpy())
+        shared, none = spark.sparkContext.broadcast(arrays), (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        return written(score(rows.withColumn("block", F.lit(0).cast("long")), lambda block, name: shared.value.get(name, none)), "scores")
+    blocks = _deal(rows)
+    return written(score(blocks, _store(model, count_ngrams(blocks, by_block=True))), "scores")
+
+
+def bands(found: DataFrame) -> DataFrame:
     """language, middle, spread and noise: of the documents that the base keeps, the median log perplexity, a robust standard deviation and the variance a symbol."""
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-    found = scores.where("not base_failed and scored > 0").groupBy("language").agg(quartiles.alias("q"), F.percentile_approx("variance", 0.5, 10_000).alias("noise"))
-    return found.select("language", F.col("q")[1].alias("middle"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"), "noise")
+    grouped = found.where("not base_failed and scored > 0").groupBy("language").agg(quartiles.alias("q"), F.percentile_approx("variance", 0.5, 10_000).alias("noise"))
+    return grouped.select("language", F.col("q")[1].alias("middle"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"), "noise")
 
 
-def judge(docs: DataFrame, language: str = "lang", below: float = LOWER, above: float = UPPER) -> DataFrame:
+def judge(docs: DataFrame, language: str = "lang", below: float = LOWER, above: float = UPPER, model_grams: int = MODEL_GRAMS) -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity, lower, upper and kept for every row of docs (doc_id, text, a language).
 
     kept is false for base failures and for texts outside their language's band. A null text has no
     words and fails. A null language is one of its own. Repeated rows stay repeated and count as
     often. An empty table gives none; other columns are ignored.
     """
-    scores = written(score(docs, fit(docs, language), language), "scores")
+    found = scores(docs, language, model_grams)
     deviation = F.sqrt(F.col("spread") ** 2 + F.col("noise") / F.greatest(F.lit(1), "scored"))  # the mean of a short text is less certain
-    joined = scores.join(F.broadcast(bands(scores)), "language", "left")  # a row for each language
+    joined = found.join(F.broadcast(bands(found)), "language", "left")  # a row for each language
     joined = joined.withColumn("lower", F.col("middle") - below * deviation).withColumn("upper", F.col("middle") + above * deviation)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "lower", "upper"]
