@@ -199,15 +199,29 @@ def _arrays(grams: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.log(p[first]).astype(np.float32)
 
 
-def log_probabilities(text: bytes, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The log probability of every code point of a text; an n-gram that the model has not met is as likely as its least likely one."""
-    wanted = hashes_of(symbols_of(text))
-    if not len(keys) or not len(wanted):
-        return np.zeros(0)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    found = logs[at].astype(np.float64)
-    return found if hit.all() else np.where(hit, found, float(logs.min()))
+class Lookup:
+    """Search in sorted hashes: a directory over their leading bits leads to a few neighbours, which binary search would reach in many steps."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray) -> None:
+        self.n = len(keys)
+        if self.n:
+            bits = min(22, self.n.bit_length() + 1)
+            self.shift = np.uint64(64 - bits)
+            self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+            self.keys, self.logs = np.append(keys, np.uint64(2**64 - 1)), np.append(logs, logs.min())  # the end stands for what is missing
+
+    def log_probabilities(self, text: bytes) -> np.ndarray:
+        """The log probability of every code point of a text; an n-gram that the model has not met is as likely as its least likely one."""
+        wanted = hashes_of(symbols_of(text))
+        if not self.n or not len(wanted):
+            return np.zeros(0)
+        at = self.starts[wanted >> self.shift]
+        open_ = np.flatnonzero(self.keys[at] < wanted)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[self.keys[at[open_]] < wanted[open_]]
+        at[self.keys[at] != wanted] = self.n
+        return self.logs[at].astype(np.float64)
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -232,10 +246,10 @@ def _place(folder: str, block: int, language: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def _load(uri: str) -> tuple[np.ndarray, np.ndarray]:
+def _load(uri: str) -> Lookup:
     raw = get(uri)
     n = len(raw) // 12
-    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n, 8 * n)
+    return Lookup(np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n, 8 * n))
 
 
 def _store(model: DataFrame, counts: DataFrame) -> Callable:
@@ -264,7 +278,7 @@ def score(rows: DataFrame, lookup: Callable) -> DataFrame:
             for name, text, block in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 text = text.as_py()
                 base = base_counts(text)
-                logs = log_probabilities(text, *lookup(block, name)) if base[0] else np.zeros(0)
+                logs = lookup(block, name).log_probabilities(text) if base[0] else np.zeros(0)
                 n = len(logs)
                 found.append((*base, n, -float(logs.mean()) if n else 0.0, float(logs.var()) if n else 0.0))
             frame = pd.DataFrame(found, columns=[*counts, "scored", "log_perplexity", "variance"])
@@ -285,8 +299,14 @@ def scores(docs: DataFrame, language: str = "lang", model_grams: int = MODEL_GRA
         for name in set(table.column("language").to_pylist()):
             part = table.filter(pc.equal(table.column("language"), name))
             arrays[name] = _arrays(part.column("gram").to_pylist(), part.column("p").to_numpy())
-        shared, none = spark.sparkContext.broadcast(arrays), (np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        return written(score(rows.withColumn("block", F.lit(0).cast("long")), lambda block, name: shared.value.get(name, none)), "scores")
+        shared, none, ready = spark.sparkContext.broadcast(arrays), (np.zeros(0, np.uint64), np.zeros(0, np.float32)), {}
+
+        def lookup(block: int, name: str) -> Lookup:
+            if name not in ready:
+                ready[name] = Lookup(*shared.value.get(name, none))
+            return ready[name]
+
+        return written(score(rows.withColumn("block", F.lit(0).cast("long")), lookup), "scores")
     blocks = _deal(rows)
     return written(score(blocks, _store(model, count_ngrams(blocks, by_block=True))), "scores")
 
