@@ -187,5 +187,5 @@ def test_streams(spark, small, tmp_path):
         running.score_stream(stream, lambda b: b.select("event_id", F.lit(1).alias("score")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
     samples = spark.range(10).withColumnRenamed("id", "id")
-    scored = running.retry_rounds(samples, [lambda d: d.withColumn("valid", F.col("id") % 2 == 0), lambda d: d.withColumn("valid", F.col("id") % 3 == 0)])
+    scored = running.retry_rounds(samples, [lambda d: d.withColumn("valid", F.col("id") % 2 == 0), lambda d: d.withColumn("valid", F.col("id") % 3 == 0)], str(tmp_path / "rounds"))
     assert sorted(r.id for r in scored.collect()) == [0, 2, 3, 4, 6, 8, 9]

@@ -30,8 +30,8 @@ def words(text, least):
 
 
 def test_evidence_beyond_the_cut(spark, folder):
-    assert len(FILLER) > 400 and row(spark, folder, "evidence_support").numeric_gap == 1.0
-    found = row(spark, folder, "evidence_support_whole")
+    assert len(FILLER) > 400
+    found = row(spark, folder, "evidence_support")
     assert found.support == 1.0 and found.numeric_gap == 0.0
     e = row(spark, folder, "evidence_profile")
     assert e.context_support == 1.0 and e.sentence_max_support == 1.0
@@ -39,18 +39,18 @@ def test_evidence_beyond_the_cut(spark, folder):
 
 
 def test_overlaps_and_judges(spark, folder):
-    found = row(spark, folder, "pairwise_features_whole")
+    found = row(spark, folder, "pairwise_features")
     c = words(TEXT, 2)
     for side, answer in (("a", ANSWER), ("b", OTHER)):
         own = words(answer, 2)
         assert found[f"overlap_{side}_context"] == pytest.approx(len(own & c) / len(own | c), abs=1e-6)
     own = words(ANSWER, 2)
-    assert row(spark, folder, "heuristic_direct_judge_whole").factuality == pytest.approx(1 + 4 * max(0.25, len(c & own) / len(c)), abs=1e-4)
+    assert row(spark, folder, "heuristic_direct_judge").factuality == pytest.approx(1 + 4 * max(0.25, len(c & own) / len(c)), abs=1e-4)
     prompt = "How many wagons does the bridge carry?"
     p, q, n = words(prompt, 3), words(TEXT, 3), (len(prompt), len(TEXT))
     common = len(p & q) / len(p) * 0.1 + (1 - min(1, abs(n[0] - n[1]) / max(n))) * 0.05
-    assert row(spark, folder, "heuristic_pairwise_judge_whole").score_a == pytest.approx(0.2 + 0.05 + 0.15 + common, abs=1e-6)
+    assert row(spark, folder, "heuristic_pairwise_judge").score_a == pytest.approx(0.2 + 0.05 + 0.15 + common, abs=1e-6)
 
 
-def test_whole_queries_have_no_twin():
-    assert not [n for n in ORACLE_SQL if n.endswith("_whole") or n == "evidence_profile"]
+def test_twins_read_whole_documents():
+    assert not [n for n, sql in ORACLE_SQL.items() if "substr(d.text" in sql]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,19 +63,65 @@ def bin_of(confidence: Column, bins: int = 10) -> Column:
     return F.least(F.lit(bins - 1), F.floor(confidence * bins)).cast("int")
 
 
+# What a judge's prose says, in small case. {x} is the side spoken of, {y} the other one.
+CONCLUSION_PATTERNS = (
+    r"\bresponse {x} (?:is|would be|should be)? ?(?:the )?(?:better|preferred|stronger|superior)(?: response)? than response {y}\b",
+    r"\b(?:therefore|overall|in conclusion|based on the rubric),?.{0,80}\bresponse {x} (?:is|would be|should be)? ?(?:the )?(?:better|preferred|stronger|superior)\b",
+)
+TIE_PATTERNS = (
+    r"\b(?:both|two) responses? (?:are|seem|appear) (?:equally good|equivalent|comparable|similar)",
+    r"\b(?:it is|this is|the result is|should be) (?:a )?tie\b",
+    r"\bneither response is (?:clearly )?better\b",
+    r"\bboth responses? (?:are|were) identical(?: in content| in structure)?\b",
+    r"\bboth responses? correctly\b",
+    r"\bboth responses? (?:provide|present) (?:a )?(?:complete|accurate|similar|equivalent)\b",
+)
+POSITIVE_PATTERNS = (
+    r"\bresponse {x} (?:is|appears|seems|would be|should be) (?:the )?(?:better|best|preferred|stronger|superior)",
+    r"\bresponse {x} (?:is|appears|seems) more (?:accurate|complete|comprehensive|detailed|thorough|specific|relevant|helpful|factual|factually correct|aligned)",
+    r"\bresponse {x} provides a more (?:accurate|complete|comprehensive|detailed|thorough|specific|relevant|helpful|factual)",
+    r"\bresponse {x} (?:correctly|directly|successfully|clearly) (?:identifies|answers|addresses|states|provides|presents|explains|calculates|follows|aligns)",
+    r"\bresponse {x} (?:provides|presents|includes|offers|gives) (?:a |an )?(?:clear|correct|complete|comprehensive|relevant|practical|well-structured|accurate|factual)",
+    r"\bresponse {x} (?:is|appears|seems) (?:complete|relevant|correct|accurate|factual|well-structured|clear)",
+    r"\bresponse {x} (?:at least )?(?:attempts|makes an attempt)\b",
+    r"\b(?:therefore|overall|in conclusion),? response {x}\b",
+    r"\b(?:i would choose|choose|prefer|select) response {x}\b",
+    r"\bresponse {x} (?:better|more effectively|more completely|more accurately)",
+)
+NEGATIVE_PATTERNS = (
+    r"\bresponse {x} (?:also )?(?:fails|does not|doesn't|lacks|incorrectly|only|merely|repeats)\b",
+    r"\bresponse {x} (?:is|appears|seems) (?:incomplete|incorrect|less organized|less informative|harder to|not as)",
+    r"\bresponse {x} (?:contains|has|includes) (?:several |multiple |many |some |significant |major )?(?:errors|mistakes|misconceptions|issues|flaws)\b",
+    r"\bresponse {x} (?:is|appears|seems) (?:flawed|wrong|problematic|misleading)\b",
+)
+
+
+def of_side(patterns: tuple[str, ...], side: str) -> list[str]:
+    return [x.replace("{x}", side).replace("{y}", "b" if side == "a" else "a") for x in patterns]
+
+
+def natural_label(raw) -> Column:
+    """The verdict that prose states: one side's conclusion, else the only one of tie, A and B that anything speaks for; null otherwise.
+
+    What is said against a side speaks for the other.
+    """
+    text = F.lower(T.normalize(raw))
+    said = lambda patterns: reduce(lambda a, b: a | b, (text.rlike(x) for x in patterns))
+    ends_a, ends_b = (said(of_side(CONCLUSION_PATTERNS, x)) for x in "ab")
+    for_a = said(of_side(POSITIVE_PATTERNS, "a") + of_side(NEGATIVE_PATTERNS, "b"))
+    for_b = said(of_side(POSITIVE_PATTERNS, "b") + of_side(NEGATIVE_PATTERNS, "a"))
+    tie = said(list(TIE_PATTERNS))
+    one = for_a.cast("int") + for_b.cast("int") + tie.cast("int") == 1
+    return F.when(ends_a & ~ends_b, "A>B").when(ends_b & ~ends_a, "B>A").when(one, F.when(tie, "Tie").when(for_a, "A>B").otherwise("B>A"))
+
+
 def parse_label(raw) -> Column:
-    """A judge's verdict: a [RESULT] mark, then a statement in words, then a bare token."""
+    """A judge's verdict: a [RESULT] mark, then a statement in words, then a bare token (as it is written, Tie in this case)."""
     text = T.normalize(raw)
-    mark = F.upper(F.regexp_extract(text, r"(?i)\[RESULT\]\s*(A|B|TIE)\b", 1))
+    mark = F.upper(F.regexp_extract(text, r"(?i)\[RESULT\]\s*(A|B|Tie)\b", 1))
     marked = F.when(mark == "A", "A>B").when(mark == "B", "B>A").when(mark == "TIE", "Tie")
-    low = F.lower(text)
-    a = low.rlike(r"answer a (?:is|was) (?:clearly |slightly )?better|prefer answer a")
-    b = low.rlike(r"answer b (?:is|was) (?:clearly |slightly )?better|prefer answer b")
-    tie = low.rlike(r"equally good|both answers are equal|it is a tie")
-    one = a.cast("int") + b.cast("int") + tie.cast("int") == 1
-    said = F.when(one & a, "A>B").when(one & b, "B>A").when(one & tie, "Tie")
-    token = F.regexp_extract(text, r"(A>B|B>A|Tie)", 1)
-    return F.coalesce(marked, said, F.when(token != "", token))
+    token = F.regexp_extract(text, r"(?i)\b(A>B|B>A|Tie)\b", 1)
+    return F.coalesce(marked, natural_label(raw), F.when(F.lower(token) == "tie", "Tie").when(token != "", token))
 
 
 def heuristic_pairwise(prompt="prompt", a="answer_a", b="answer_b", context="context", band: float = 0.08) -> Column:

@@ -7,13 +7,17 @@ bin, combined before the shuffle; what follows works on that small table.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..schemas import PAIRWISE
+from ..session import map_batches
 
 
 def with_derived(df: DataFrame, labels=PAIRWISE) -> DataFrame:
@@ -131,20 +135,106 @@ def mcnemar_p(only_a: int, only_b: int, exact_up_to: int = 200) -> float:
     return erfc(sqrt((abs(only_a - only_b) - 1) ** 2 / n / 2))
 
 
-def bootstrap_accuracy(df: DataFrame, by: list[str], resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """Percentile interval of accuracy for each group by the Poisson bootstrap.
+#: Resamples, and the seed of the hash from which rows draw their weights.
+RESAMPLES, SEED = 1000, 7
 
-    Every row draws its weight for each resample from a hash of its id, so reruns agree and no row
-    is moved or collected: sums for (group, resample) are combined before the shuffle.
+
+def _resampled(df: DataFrame, by: list[str], parts: list[Column], width: int, resamples: int, seed: int, identity: str) -> DataFrame:
+    """by, resample and sums s0, s1, ...: weighted sums of each row's parts for every resample by the Poisson bootstrap.
+
+    A row's weight in a resample is drawn from a hash of its id, so reruns agree. Weights are made and
+    used up a batch at a time: what is shuffled are the sums of a task, resamples rows a group.
     """
-    ids = F.xxhash64("id", F.lit(seed))
-    rows = df.select(*by, F.col("correct").cast("int").alias("hit"), ids.alias("h")).select(*by, "hit", "h", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = F.pmod(F.xxhash64("h", "resample"), F.lit(1 << 30)) / float(1 << 30)
-    cuts, mass, total = [], 0.36787944117144233, 0.0
-    for k in range(8):  # Poisson(1) by inversion
-        total += mass
-        cuts.append(total)
-        mass /= k + 1
-    weight = reduce(lambda a, b: a + b, ((u >= c).cast("int") for c in cuts))
-    sums = rows.withColumn("w", weight).groupBy(*by, "resample").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("accuracy"))
-    return sums.groupBy(*by).agg(F.percentile("accuracy", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+    def add(batches):
+        totals: dict[tuple, np.ndarray] = {}
+        cuts, mass, total = [], math.exp(-1), 0.0
+        for k in range(9):  # Poisson(1) by inversion
+            total += mass
+            cuts.append(min(2**64 - 1, int(total * 2**64)))
+            mass /= k + 1
+        steps = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                keys = list(zip(*(part.column(i).to_pylist() for i in range(len(by))))) if by else [()] * part.num_rows
+                h = part.column(len(by)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                z = h[:, None] + steps[None, :]  # splitmix64
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                z ^= z >> np.uint64(31)
+                weight = np.zeros(z.shape)
+                for c in cuts:
+                    weight += z >= np.uint64(c)
+                values = np.array(part.column(len(by) + 1).to_pylist(), float).reshape(part.num_rows, width)
+                for key in set(keys):
+                    rows = [i for i, k in enumerate(keys) if k == key]
+                    totals[key] = totals.get(key, 0) + weight[rows].T @ values[rows]
+        for key, sums in totals.items():
+            columns = [pa.array([k] * resamples, pa.string()) for k in key] + [pa.array(np.arange(resamples, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sums[:, i]) for i in range(width))], names=[*by, "resample", *(f"s{i}" for i in range(width))])
+
+    rows = df.select(*(F.col(c).cast("string").alias(c) for c in by), F.xxhash64(F.col(identity), F.lit(seed)).alias("h"), F.array(*(x.cast("double") for x in parts)).alias("parts"))
+    schema = ", ".join([*(f"`{c}` string" for c in by), "resample int", *(f"s{i} double" for i in range(width))])
+    sums = map_batches(rows, add, schema)
+    return sums.groupBy(*by, "resample").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width)))
+
+
+def _cells(predicted: str, labels) -> list[Column]:
+    return [(F.col("gold") == g) & (F.col(predicted) == p) for g in labels for p in labels]
+
+
+def _from_cells(at: int, n: int) -> tuple[Column, Column, list[Column], list[Column]]:
+    """accuracy and macro-F1 (labels on neither side skipped) from the sums of _cells, with the counts of right and of gold labels."""
+    c = [[F.col(f"s{at + g * n + p}") for p in range(n)] for g in range(n)]
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    both, gold, pred = [c[k][k] for k in range(n)], [add(c[k]) for k in range(n)], [add([c[g][k] for g in range(n)]) for k in range(n)]
+    f1 = [F.try_divide(2.0 * both[k], gold[k] + pred[k]) for k in range(n)]
+    macro = add([F.coalesce(x, F.lit(0.0)) for x in f1]) / F.greatest(F.lit(1), add([x.isNotNull().cast("int") for x in f1]))
+    return F.try_divide(add(both), add(gold)), macro, both, gold
+
+
+def _intervals(values: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    quantiles = [F.percentile(x, F.array(F.lit(0.025), F.lit(0.975))).alias(x) for x in names]  # linear between order statistics
+    wide = values.groupBy(*by).agg(*quantiles) if by else values.agg(*quantiles)
+    cells = F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x)[0].alias("low"), F.col(x)[1].alias("high")) for x in names)))
+    return wide.select(*by, cells.alias("c")).select(*by, "c.*")
+
+
+METRICS = ("accuracy", "macro_f1", "ece", "brier", "tie_recall")
+
+
+def bootstrap_metrics(df: DataFrame, by: list[str], labels=PAIRWISE, tie: str = "Tie", resamples: int = RESAMPLES, seed: int = SEED, identity: str = "id") -> DataFrame:
+    """by, metric, point, low, high and n: 95 % percentile intervals of accuracy, macro-F1, ECE, Brier score and tie recall.
+
+    Resamples without a gold tie have no tie recall. Groups come back as strings.
+    """
+    gold_at = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("gold")).cast("int") - 1
+    k = len(labels)
+    rows = df.withColumn("_brier", S.brier(F.col("probs"), gold_at))
+    parts = _cells("predicted", labels) + [F.col("_brier")]
+    parts += [F.when(F.col("bin") == b, F.col("correct").cast("double") - F.col("confidence")).otherwise(0.0) for b in range(10)]
+    sums = _resampled(rows, by, parts, k * k + 11, resamples, seed, identity)
+    accuracy, macro, both, gold = _from_cells(0, k)
+    n = reduce(lambda a, b: a + b, gold)
+    ece = F.try_divide(reduce(lambda a, b: a + b, (F.abs(F.col(f"s{k * k + 1 + b}")) for b in range(10))), n)
+    recall = F.try_divide(both[labels.index(tie)], gold[labels.index(tie)]) if tie in labels else F.lit(None).cast("double")
+    values = sums.select(*by, accuracy.alias("accuracy"), macro.alias("macro_f1"), ece.alias("ece"), F.try_divide(F.col(f"s{k * k}"), n).alias("brier"), recall.alias("tie_recall"))
+    point = metric_bundle(df.select(*(F.col(c).cast("string").alias(c) if c in by else F.col(c) for c in df.columns)), by, labels, tie)
+    cells = F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("point")) for x in METRICS)))
+    long = point.select(*by, "n", cells.alias("c")).select(*by, "n", "c.*")
+    return long.join(_intervals(values, by, list(METRICS)), [*by, "metric"])
+
+
+def bootstrap_deltas(df: DataFrame, other: str, by: list[str], labels=PAIRWISE, resamples: int = RESAMPLES, seed: int = SEED, identity: str = "id") -> DataFrame:
+    """by, metric, delta, low and high: accuracy and macro-F1 of predicted less those of the column other, resampled in pairs."""
+    k = len(labels)
+    width = 2 * k * k
+    parts = _cells("predicted", labels) + _cells(other, labels)
+    first, second = _from_cells(0, k), _from_cells(k * k, k)
+    delta = [(first[i] - second[i]).alias(name) for i, name in enumerate(("accuracy", "macro_f1"))]
+    values = _resampled(df, by, parts, width, resamples, seed, identity).select(*by, *delta)
+    whole = df.groupBy(*(F.col(c).cast("string").alias(c) for c in by)).agg(*(F.sum(x.cast("double")).alias(f"s{i}") for i, x in enumerate(parts))).select(*by, *delta)
+    cells = F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("delta")) for x in ("accuracy", "macro_f1"))))
+    long = whole.select(*by, cells.alias("c")).select(*by, "c.*")
+    return long.join(_intervals(values, by, ["accuracy", "macro_f1"]), [*by, "metric"])

@@ -19,6 +19,10 @@ from ..schemas import PAIRWISE
 TEMPERATURES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
 TIE_PROBABILITIES = (0.05, 0.08, 0.10, 0.12, 0.15, 0.18, 0.20, 0.22, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50)
 AB_MARGINS = (0.02, 0.05, 0.08, 0.12, 0.16, 0.20, 0.25, 0.30, 0.35, 0.40, 0.50, 0.75, 1.00)
+BASE_MARGINS = (None, 0.05, 0.10, 0.25, 0.50, 1.00)
+DATASET_TIE_PROBABILITIES = (0.05, 0.08, 0.10, 0.12, 0.15, 0.18, 0.20, 0.25, 0.30, 0.35)
+DATASET_AB_MARGINS = (0.02, 0.05, 0.08, 0.12, 0.16, 0.20, 0.25, 0.30, 0.40, 0.50)
+DATASET_ROWS, DATASET_TIES = 20, 3
 REVIEW_ERROR_RECALL = 0.80
 
 
@@ -47,27 +51,35 @@ def best_temperature(search: DataFrame, by: list[str] | None = None) -> DataFram
     return search.groupBy(*by).agg(best, F.min("objective").alias("objective")) if by else search.agg(best, F.min("objective").alias("objective"))
 
 
-def tie_policy_search(df: DataFrame, by: list[str] | None = None, tie_probabilities=TIE_PROBABILITIES, margins=AB_MARGINS) -> DataFrame:
-    """by, min_tie (null: no policy), max_margin, n, accuracy, macro_f1, ece, tie_recall and objective of every candidate.
+def tie_policy_search(df: DataFrame, by: list[str] | None = None, tie_probabilities=TIE_PROBABILITIES, margins=AB_MARGINS, base_margins=BASE_MARGINS) -> DataFrame:
+    """by, min_tie (null: no policy), max_margin, max_base_margin, n, gold_ties, accuracy, macro_f1, ece and tie_recall of every candidate.
 
-    A candidate turns a row into a tie if its tie probability is at least min_tie and the two other
-    probabilities differ by max_margin at most. Rows are reduced to the levels of both.
+    A candidate turns a row into a tie if its tie probability is at least min_tie, the two other
+    probabilities differ by max_margin at most, and the column base_margin (where df has it) is
+    max_base_margin at most (null: any). Rows are reduced to the levels of all three.
     """
     by = by or []
+    has_base = "base_margin" in df.columns
+    base_margins = tuple(base_margins) if has_base else (None,)
+    finite = [c for c in base_margins if c is not None]
     p = [F.get("probs", F.lit(k)) for k in range(3)]
-    level = lambda value, cuts, ok: reduce(lambda a, b: a + b, (ok(value, F.lit(c)).cast("int") for c in cuts))
+    level = lambda value, cuts, ok: reduce(lambda a, b: a + b, (ok(value, F.lit(c)).cast("int") for c in cuts), F.lit(0))
     tie_level = level(p[2], tie_probabilities, lambda v, c: v >= c)
     margin_level = level(F.abs(p[0] - p[1]), margins, lambda v, c: v > c)  # margins that are too small for the row
+    base_level = level(F.col("base_margin"), finite, lambda v, c: v > c) if has_base else F.lit(0)
     base = S.argmax(F.col("probs"))
     conf = F.array_max("probs")
-    cells = df.select(*by, _gold_at(PAIRWISE).alias("g"), base.alias("base"), tie_level.alias("tl"), margin_level.alias("ml"), S.bin_of(conf).alias("base_bin"), S.bin_of(p[2]).alias("tie_bin"), conf.alias("conf"), p[2].alias("tie"))
-    cells = cells.groupBy(*by, "g", "base", "tl", "ml", "base_bin", "tie_bin").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.sum("tie").alias("tie"))
-    grid = [(None, None, 0, 0)] + [(t, m, i, j) for i, t in enumerate(tie_probabilities, 1) for j, m in enumerate(margins)]
-    grid_frame = df.sparkSession.createDataFrame(grid, "min_tie double, max_margin double, i int, j int")
+    cells = df.select(*by, _gold_at(PAIRWISE).alias("g"), base.alias("base"), tie_level.alias("tl"), margin_level.alias("ml"), base_level.alias("bl"), S.bin_of(conf).alias("base_bin"), S.bin_of(p[2]).alias("tie_bin"), conf.alias("conf"), p[2].alias("tie"))
+    cells = cells.groupBy(*by, "g", "base", "tl", "ml", "bl", "base_bin", "tie_bin").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.sum("tie").alias("tie"))
+    grid = [(None, None, None, 0, 0, 0)]
+    for i, t in enumerate(tie_probabilities, 1):
+        for j, m in enumerate(margins):
+            grid += [(t, m, x, i, j, len(finite) if x is None else finite.index(x)) for x in base_margins]
+    grid_frame = df.sparkSession.createDataFrame(grid, "min_tie double, max_margin double, max_base_margin double, i int, j int, k int")
     met = cells.crossJoin(F.broadcast(grid_frame))  # a table of levels with a fixed list of candidates
-    tied = F.col("min_tie").isNotNull() & (F.col("tl") >= F.col("i")) & (F.col("ml") <= F.col("j"))
+    tied = F.col("min_tie").isNotNull() & (F.col("tl") >= F.col("i")) & (F.col("ml") <= F.col("j")) & (F.col("bl") <= F.col("k"))
     met = met.withColumn("pred", F.when(tied, 2).otherwise(F.col("base"))).withColumn("bin", F.when(tied, F.col("tie_bin")).otherwise(F.col("base_bin"))).withColumn("c", F.when(tied, F.col("tie")).otherwise(F.col("conf")))
-    keys = [*by, "min_tie", "max_margin"]
+    keys = [*by, "min_tie", "max_margin", "max_base_margin"]
     hit = F.when(F.col("pred") == F.col("g"), F.col("n")).otherwise(0)
     sums = [F.sum("n").alias("n"), F.sum(hit).alias("hits"), F.sum("c").alias("c")]
     for k in range(3):
@@ -78,18 +90,50 @@ def tie_policy_search(df: DataFrame, by: list[str] | None = None, tie_probabilit
     f1 = [F.when(F.col(f"gold{k}") + F.col(f"pred{k}") > 0, 2.0 * F.col(f"both{k}") / (F.col(f"gold{k}") + F.col(f"pred{k}"))) for k in range(3)]
     macro = reduce(lambda a, b: a + b, (F.coalesce(x, F.lit(0.0)) for x in f1)) / reduce(lambda a, b: a + b, (x.isNotNull().cast("int") for x in f1))
     recall = F.try_divide(F.col("both2").cast("double"), F.col("gold2"))
-    out = total.select(*keys, "n", "accuracy", macro.alias("macro_f1"), "ece", recall.alias("tie_recall"))
-    return out.withColumn("objective", F.col("macro_f1") + 0.25 * F.col("accuracy") + 0.10 * F.coalesce("tie_recall", F.lit(0.0)) - 0.05 * F.col("ece"))
+    # Metrics have four places, as everywhere in reports and in the comparisons that choose among candidates.
+    out = total.select(*keys, "n", F.col("gold2").alias("gold_ties"), F.round("accuracy", 4).alias("accuracy"), F.round(macro, 4).alias("macro_f1"), F.round(F.round("ece", 9), 4).alias("ece"), F.round(recall, 4).alias("tie_recall"))
+    return out
 
 
-def best_tie_policy(search: DataFrame, f1_slack: float = 0.005, accuracy_slack: float = 0.010, ece_slack: float = 0.015) -> DataFrame:
-    """Among candidates within the slacks of no policy: the highest tie recall above its own, then f1, accuracy, ece, objective; without one the best objective."""
-    base = search.where("min_tie is null").select(F.col("macro_f1").alias("f0"), F.col("accuracy").alias("a0"), F.col("ece").alias("e0"), F.coalesce("tie_recall", F.lit(0.0)).alias("t0"))
-    rows = search.crossJoin(F.broadcast(base))  # one row
+def tie_objective(recall_weight: float = 0.10) -> Column:
+    recall = F.coalesce("tie_recall", F.lit(0.0))
+    return F.round(F.col("macro_f1") + 0.25 * F.col("accuracy") + recall_weight * recall - 0.05 * F.col("ece"), 6)
+
+
+def _chosen(search: DataFrame, by: list[str], f1_slack: float, accuracy_slack: float, ece_slack: float, recall_weight: float) -> DataFrame:
+    """search with objective, ok (within the slacks of no policy, and a higher tie recall) and place (1: chosen)."""
+    base = search.where("min_tie is null").select(*by, F.col("macro_f1").alias("f0"), F.col("accuracy").alias("a0"), F.col("ece").alias("e0"), F.coalesce("tie_recall", F.lit(0.0)).alias("t0"))
+    rows = search.join(F.broadcast(base), by) if by else search.crossJoin(F.broadcast(base))  # a row, or one for each dataset
     recall = F.coalesce(F.col("tie_recall"), F.lit(0.0))
-    ok = F.col("min_tie").isNotNull() & (F.col("macro_f1") >= F.col("f0") - f1_slack) & (F.col("accuracy") >= F.col("a0") - accuracy_slack) & (F.col("ece") <= F.col("e0") + ece_slack) & (recall > F.col("t0"))
-    order = [F.desc("ok"), F.desc(F.when(F.col("ok"), recall)), F.desc(F.when(F.col("ok"), F.round("macro_f1", 9))), F.desc(F.when(F.col("ok"), F.round("accuracy", 9))), F.when(F.col("ok"), F.round("ece", 9)), F.desc(F.round("objective", 9)), F.asc_nulls_first("min_tie"), F.asc("max_margin")]
-    return rows.withColumn("ok", ok).orderBy(*order).limit(1).drop("f0", "a0", "e0", "t0", "ok")
+    slack = lambda x: F.round(x, 9)
+    ok = F.col("min_tie").isNotNull() & (slack(F.col("macro_f1") - F.col("f0")) >= -f1_slack) & (slack(F.col("accuracy") - F.col("a0")) >= -accuracy_slack) & (slack(F.col("ece") - F.col("e0")) <= ece_slack) & (recall > F.col("t0"))
+    rows = rows.withColumn("ok", ok).withColumn("objective", tie_objective(recall_weight))
+    by_ok = lambda x: F.when(F.col("ok"), x)
+    order = [F.desc("ok"), F.desc(by_ok(recall)), F.desc(by_ok(F.col("macro_f1"))), F.desc(by_ok(F.col("accuracy"))), F.asc(by_ok(F.col("ece"))), F.desc("objective"), F.asc_nulls_first("min_tie"), F.asc_nulls_first("max_margin"), F.asc_nulls_first("max_base_margin")]
+    # The window holds the candidates of a search, a fixed number for each dataset.
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))).drop("f0", "a0", "e0", "t0")
+
+
+def best_tie_policy(search: DataFrame, f1_slack: float = 0.005, accuracy_slack: float = 0.010, ece_slack: float = 0.020) -> DataFrame:
+    """Among candidates within the slacks of no policy: the highest tie recall above its own, then f1, accuracy, ece, objective; without one the best objective."""
+    return _chosen(search, [], f1_slack, accuracy_slack, ece_slack, 0.10).where("place = 1").drop("ok", "place")
+
+
+def dataset_tie_policies(df: DataFrame, dataset: str = "dataset", rows: int = DATASET_ROWS, ties: int = DATASET_TIES) -> DataFrame:
+    """A policy for each dataset with enough rows and gold ties for which one raises tie recall within the slacks 0.010 (f1), 0.020 (accuracy) and 0.010 (ece)."""
+    search = tie_policy_search(df, [dataset], DATASET_TIE_PROBABILITIES, DATASET_AB_MARGINS).where((F.col("n") >= rows) & (F.col("gold_ties") >= ties))
+    return _chosen(search, [dataset], 0.010, 0.020, 0.010, 0.20).where("place = 1 and ok").drop("ok", "place")
+
+
+def with_dataset_policies(df: DataFrame, policies: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """predicted, confidence, risk_score and correct rewritten by the policy of each row's dataset; datasets without one stay."""
+    p = [F.get("probs", F.lit(k)) for k in range(3)]
+    own = F.broadcast(policies.select(dataset, "min_tie", "max_margin", "max_base_margin"))  # a row for each dataset
+    base = F.col("max_base_margin").isNull() | (F.col("base_margin") <= F.col("max_base_margin")) if "base_margin" in df.columns else F.lit(True)
+    tied = F.coalesce((p[2] >= F.col("min_tie")) & (F.abs(p[0] - p[1]) <= F.col("max_margin")) & base, F.lit(False))
+    out = df.join(own, dataset, "left").withColumn("_tied", tied)
+    out = out.withColumn("predicted", F.when(F.col("_tied"), "Tie").otherwise(F.col("predicted"))).withColumn("confidence", F.when(F.col("_tied"), p[2]).otherwise(F.col("confidence")))
+    return out.withColumn("risk_score", 1 - F.col("confidence")).withColumn("correct", F.col("gold") == F.col("predicted")).withColumn("bin", S.bin_of(F.col("confidence"))).select(*df.columns)
 
 
 def apply_tie_policy(df: DataFrame, min_tie: float | None, max_margin: float | None) -> DataFrame:

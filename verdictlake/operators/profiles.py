@@ -122,6 +122,12 @@ def with_support(df: DataFrame, answer: str, context: str, reference: str | None
         T.gap(T.alias_entities(answer), anchors["aliases"]).alias("entity_alias_gap"),
         F.size("_own").alias("sentences"),
         matched.alias("matched"),
+        # Where either side has no sentence, texts are compared as wholes.
+        F.when(
+            F.size(T.comparative_groups(answer)) > 0,
+            F.size(F.array_except(T.comparative_groups(answer), T.comparative_groups("_both"))) / F.size(T.comparative_groups(answer)),
+        ).otherwise(0.0).alias("groups_apart"),
+        ((T.has_negation(answer) != T.has_negation("_both")) & (T.coverage(T.token_set(answer), T.token_set("_both")) >= 0.15)).cast("double").alias("negation_apart"),
     )
     return rows.select(*df.columns, s.alias("_s"))
 
@@ -141,8 +147,8 @@ def evidence_profile(df: DataFrame, answer: str = "answer_a", context: str = "co
     rows = rows.select(
         *df.columns,
         *(F.col(f"_s.{c}").alias(c) for c in SIDES[:6]),
-        F.when(has & (F.size(compared) > 0), F.size(negated) / F.size(compared)).otherwise(0.0).alias("negation_mismatch"),
-        F.when(has & (F.size(comparing) > 0), departed / F.size(comparing)).otherwise(0.0).alias("comparative_mismatch"),
+        F.when(~has, F.col("_s.negation_apart")).when(F.size(compared) > 0, F.size(negated) / F.size(compared)).otherwise(0.0).alias("negation_mismatch"),
+        F.when(~has, F.col("_s.groups_apart")).when(F.size(comparing) > 0, departed / F.size(comparing)).otherwise(0.0).alias("comparative_mismatch"),
         F.when(has, F.array_max(scores)).otherwise(0.0).alias("sentence_max_support"),
         F.when(has, total / F.size(scores)).otherwise(0.0).alias("sentence_mean_support"),
         F.when(has, F.size(F.filter(scores, lambda x: x < 0.35)) / F.size(scores)).otherwise(none).alias("low_support_sentence_ratio"),
@@ -170,6 +176,36 @@ def evidence_profile(df: DataFrame, answer: str = "answer_a", context: str = "co
     return rows.withColumn("evidence_risk", F.least(F.lit(1.0), risk)).withColumn("reasons", F.array_sort(F.array_compact(F.array(*(F.when(ok, name) for name, ok, _ in parts)))))
 
 
+def pairwise_contradiction(label: Column, support_a: Column, support_b: Column) -> Column:
+    """How far a label contradicts the support of two answers (1 or 0.5, else 0), and why: struct of contradiction and reason."""
+    margin = support_a - support_b
+    against = ((label == "A>B") & (margin < -0.05)) | ((label == "B>A") & (margin > 0.05))
+    uneven = (label == "Tie") & (F.abs(margin) > 0.35)
+    return F.struct(
+        F.when(against, 1.0).when(uneven, 0.5).otherwise(0.0).alias("contradiction"),
+        F.when(against, "pairwise_support_contradiction").when(uneven, "pairwise_support_tie_imbalance").alias("reason"),
+    )
+
+
+def evidence_summary(profiles: DataFrame) -> DataFrame:
+    """section, key, n, supported_rate, review_rate, avg_evidence_risk and avg_claim_support: all profiles, by dataset, form, label, and for each reason.
+
+    profiles has dataset, form, label, claim_support_rate, evidence_risk, review_required and reasons.
+    supported_rate is the share of supported among factuality labels, null without one. One pass over the rows.
+    """
+    one = lambda section, key: F.struct(F.lit(section).alias("section"), F.coalesce(key.cast("string"), F.lit("none")).alias("key"))
+    fixed = F.array(one("overall", F.lit("all")), *(one(c, F.col(c)) for c in ("dataset", "form", "label")))
+    rows = profiles.select(F.explode(F.concat(fixed, F.transform("reasons", lambda r: one("reason", r)))).alias("s"), "label", "claim_support_rate", "evidence_risk", "review_required")
+    factual = F.col("label").isin("supported", "unsupported", "ambiguous")
+    return rows.groupBy("s.section", "s.key").agg(
+        F.count("*").alias("n"),
+        F.try_divide(F.sum((F.col("label") == "supported").cast("double")), F.sum(factual.cast("int"))).alias("supported_rate"),
+        F.avg(F.col("review_required").cast("double")).alias("review_rate"),
+        F.avg("evidence_risk").alias("avg_evidence_risk"),
+        F.avg("claim_support_rate").alias("avg_claim_support"),
+    )
+
+
 def pairwise_features(df: DataFrame) -> DataFrame:
     """id and numeric features of two answers against prompt and context."""
     a, b, p, c = (T.word_set(x) for x in ("answer_a", "answer_b", "prompt", "context"))

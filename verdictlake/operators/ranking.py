@@ -18,8 +18,8 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataF
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def risk_coverage(df: DataFrame, rates: tuple[float, ...] = (0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.75)) -> DataFrame:
-    """For each review rate: rows reviewed (highest risk first, ties by id), error capture, accuracy of the rest.
+def risk_coverage(df: DataFrame, rates: tuple[float, ...] = (0.05, 0.10, 0.20, 0.30, 0.40, 0.50, 0.75, 1.00)) -> DataFrame:
+    """For each review rate: rows reviewed (highest risk first, ties by id; one at least), error capture (null without errors), accuracy of the rest (null without one) and the last risk reviewed.
 
     Rows are ranked by a two-level count instead of one global window: errors and rows are counted
     for each distinct risk, cumulated over that table, and only the risk value at each cut is
@@ -35,7 +35,7 @@ def risk_coverage(df: DataFrame, rates: tuple[float, ...] = (0.05, 0.10, 0.15, 0
     cum = b.join(F.broadcast(totals), "bucket")  # at most 1001 rows
     cum = cum.select("risk_score", "n", "errors", (F.col("n0") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"), (F.col("e0") + F.coalesce(F.sum("errors").over(inside), F.lit(0))).alias("errors_before"))
     whole = df.agg(F.count("*").alias("total"), F.sum((~F.col("correct")).cast("long")).alias("all_errors"))
-    cuts = whole.select("total", "all_errors", F.explode(F.array(*(F.lit(r) for r in rates))).alias("review_rate")).withColumn("k", F.ceil(F.col("review_rate") * F.col("total") - 1e-9))
+    cuts = whole.select("total", "all_errors", F.explode(F.array(*(F.lit(r) for r in rates))).alias("review_rate")).where("total > 0").withColumn("k", F.least(F.col("total"), F.greatest(F.lit(1), F.bround(F.col("review_rate") * F.col("total"), 0).cast("long"))))
     cuts = F.broadcast(cuts)  # a row for each rate
     at = cum.join(cuts, (F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("n")))
     ranked = df.join(F.broadcast(at.select("risk_score").distinct()), "risk_score").withColumn("r", F.row_number().over(Window.partitionBy("risk_score").orderBy("id")))
@@ -47,8 +47,9 @@ def risk_coverage(df: DataFrame, rates: tuple[float, ...] = (0.05, 0.10, 0.15, 0
         "review_rate",
         F.col("k").cast("long").alias("reviewed"),
         F.col("captured").cast("long").alias("errors_captured"),
-        (F.col("captured") / F.greatest(F.lit(1), "all_errors")).alias("error_capture"),
-        F.when(kept > 0, (kept - (F.col("all_errors") - F.col("captured"))) / kept).otherwise(1.0).alias("auto_accept_accuracy"),
+        F.try_divide(F.col("captured").cast("double"), F.col("all_errors")).alias("error_capture"),
+        F.when(kept > 0, (kept - (F.col("all_errors") - F.col("captured"))) / kept).alias("auto_accept_accuracy"),
+        F.col("risk_score").alias("risk_threshold"),
     )
 
 

@@ -130,20 +130,29 @@ def paired_discordance(spark, sf_dir):
     return metrics.discordant(p, "correct", "other")
 
 
-@query("bootstrap_accuracy", None)
-def bootstrap_accuracy(spark, sf_dir):
-    return metrics.bootstrap_accuracy(predictions(spark, sf_dir).where("split = 'test'"), ["dataset"], resamples=200)
+@query("metric_intervals", None)
+def metric_intervals(spark, sf_dir):
+    """Resampling isn't expressed in SQL; tests hold the intervals against numpy's."""
+    return rounded(metrics.bootstrap_metrics(predictions(spark, sf_dir).where("split <> 'train'"), ["split"]))
 
 
-RATES = (0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.75)
+@query("paired_intervals", None)
+def paired_intervals(spark, sf_dir):
+    """The judge against a second system that never prefers the first answer, on test rows of each dataset."""
+    p = predictions(spark, sf_dir).where("split = 'test'")
+    other = F.when(F.get("probs", F.lit(1)) >= F.get("probs", F.lit(2)), "B>A").otherwise("Tie")
+    return rounded(metrics.bootstrap_deltas(p.withColumn("other", other), "other", ["dataset"]))
+
+
+RATES = (0.05, 0.10, 0.20, 0.30, 0.40, 0.50, 0.75, 1.00)
 
 
 @query(
     "risk_coverage",
-    f"""SELECT r AS review_rate, k AS reviewed, captured AS errors_captured, round(captured / greatest(1, errors), 6) AS error_capture,
-  round(CASE WHEN total > k THEN (total - k - (errors - captured)) / (total - k) ELSE 1 END, 6) AS auto_accept_accuracy
-FROM (SELECT r, ceil(r * total - 1e-9)::BIGINT AS k, total, errors FROM (SELECT unnest([{', '.join(map(str, RATES))}])::DOUBLE AS r), (SELECT count(*) AS total, count(*) FILTER (NOT correct) AS errors FROM pred)) c
-JOIN (SELECT i, sum((NOT correct)::INTEGER) OVER (ORDER BY i)::BIGINT AS captured FROM (SELECT correct, row_number() OVER (ORDER BY risk_score DESC, id) AS i FROM pred)) s ON s.i = c.k""",
+    f"""SELECT r AS review_rate, k AS reviewed, captured AS errors_captured, round(captured / nullif(errors, 0), 6) AS error_capture,
+  round(CASE WHEN total > k THEN (total - k - (errors - captured)) / (total - k) END, 6) AS auto_accept_accuracy, round(risk_score, 6) AS risk_threshold
+FROM (SELECT r, least(total, greatest(1, round_even(r * total, 0)))::BIGINT AS k, total, errors FROM (SELECT unnest([{', '.join(map(str, RATES))}])::DOUBLE AS r), (SELECT count(*) AS total, count(*) FILTER (NOT correct) AS errors FROM pred)) c
+JOIN (SELECT i, risk_score, sum((NOT correct)::INTEGER) OVER (ORDER BY i)::BIGINT AS captured FROM (SELECT correct, risk_score, row_number() OVER (ORDER BY risk_score DESC, id) AS i FROM pred)) s ON s.i = c.k""",
 )
 def risk_coverage(spark, sf_dir):
     return rounded(ranking.risk_coverage(predictions(spark, sf_dir), RATES))
@@ -189,50 +198,55 @@ def temperature_by_dataset(spark, sf_dir):
     return rounded(policy.best_temperature(policy.temperature_search(predictions(spark, sf_dir).where("split = 'dev'"), ["dataset"]), ["dataset"]))
 
 
-_TIE_GRID = f"""SELECT * FROM (SELECT NULL::DOUBLE AS min_tie, NULL::DOUBLE AS max_margin UNION ALL
-  SELECT a, b FROM (SELECT unnest([{', '.join(map(str, policy.TIE_PROBABILITIES))}])::DOUBLE AS a), (SELECT unnest([{', '.join(map(str, policy.AB_MARGINS))}])::DOUBLE AS b))"""
+def _list(values) -> str:
+    return "unnest([" + ", ".join("NULL" if v is None else str(v) for v in values) + "])::DOUBLE"
+
+
+def _grid_sql(ties, margins) -> str:
+    return f"""SELECT NULL::DOUBLE AS min_tie, NULL::DOUBLE AS max_margin, NULL::DOUBLE AS max_base_margin UNION ALL
+  SELECT a, b, c FROM (SELECT {_list(ties)} AS a), (SELECT {_list(margins)} AS b), (SELECT {_list(policy.BASE_MARGINS)} AS c)"""
 
 
-def _tie_sql(by: str) -> str:
+def _tie_sql(by: str, ties=policy.TIE_PROBABILITIES, margins=policy.AB_MARGINS) -> str:
     keys = f"{by}, " if by else ""
     counts = ", ".join(f"count(*) FILTER (gold = '{x}' AND q = '{x}') AS b{k}, count(*) FILTER (gold = '{x}') AS g{k}, count(*) FILTER (q = '{x}') AS p{k}" for k, x in enumerate(("A>B", "B>A", "Tie")))
     f1 = " + ".join(f"coalesce(2.0 * sum(b{k}) / nullif(sum(g{k}) + sum(p{k}), 0), 0)" for k in range(3))
     present = " + ".join(f"(sum(g{k}) + sum(p{k}) > 0)::INTEGER" for k in range(3))
-    return f"""SELECT *, round(macro_f1 + 0.25 * accuracy + 0.1 * coalesce(tie_recall, 0) - 0.05 * ece, 5) AS objective FROM (
-SELECT {keys}min_tie, max_margin, sum(n)::BIGINT AS n, sum(h) / sum(n) AS accuracy, ({f1}) / ({present}) AS macro_f1, sum(abs(h - c)) / sum(n) AS ece, sum(b2)::DOUBLE / nullif(sum(g2), 0) AS tie_recall
-FROM (SELECT {keys}min_tie, max_margin, least(9, floor(cc * 10)) AS b, count(*) AS n, sum(cc) AS c, count(*) FILTER (gold = q) AS h, {counts}
+    return f"""SELECT {keys}min_tie, max_margin, max_base_margin, sum(n)::BIGINT AS n, sum(g2)::BIGINT AS gold_ties, round(sum(h) / sum(n), 4) AS accuracy, round(({f1}) / ({present}), 4) AS macro_f1, round(round(sum(abs(h - c)) / sum(n), 9), 4) AS ece, round(sum(b2)::DOUBLE / nullif(sum(g2), 0), 4) AS tie_recall
+FROM (SELECT {keys}min_tie, max_margin, max_base_margin, least(9, floor(cc * 10)) AS b, count(*) AS n, sum(cc) AS c, count(*) FILTER (gold = q) AS h, {counts}
   FROM (SELECT *, CASE WHEN tied THEN 'Tie' ELSE predicted END AS q, CASE WHEN tied THEN pt ELSE confidence END AS cc
-    FROM (SELECT *, coalesce(pt >= min_tie AND abs(pa - pb) <= max_margin, false) AS tied FROM pred, ({_TIE_GRID}) WHERE split = 'dev')) GROUP BY ALL)
-GROUP BY {keys}min_tie, max_margin)"""
+    FROM (SELECT *, coalesce(pt >= min_tie AND abs(pa - pb) <= max_margin AND (max_base_margin IS NULL OR base_margin <= max_base_margin), false) AS tied FROM pred, ({_grid_sql(ties, margins)}) WHERE split = 'dev')) GROUP BY ALL)
+GROUP BY {keys}min_tie, max_margin, max_base_margin"""
 
 
-def _rounded_sql(sql: str, keys: str) -> str:
-    return f"SELECT {keys}min_tie, max_margin, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(ece, 6) AS ece, round(tie_recall, 6) AS tie_recall, objective FROM ({sql})"
+def _chosen_sql(search: str, by: str, f1: float, accuracy: float, ece: float, recall: float) -> str:
+    keys, match = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by or '1'} ORDER BY ok DESC, CASE WHEN ok THEN tie_recall END DESC NULLS LAST, CASE WHEN ok THEN macro_f1 END DESC NULLS LAST, CASE WHEN ok THEN accuracy END DESC NULLS LAST,
+    CASE WHEN ok THEN ece END NULLS FIRST, objective DESC, min_tie NULLS FIRST, max_margin NULLS FIRST, max_base_margin NULLS FIRST) AS place
+  FROM (SELECT s.*, round(macro_f1 + 0.25 * accuracy + {recall} * coalesce(tie_recall, 0) - 0.05 * ece, 6) AS objective,
+      min_tie IS NOT NULL AND round(macro_f1 - f0, 9) >= -{f1} AND round(accuracy - a0, 9) >= -{accuracy} AND round(ece - e0, 9) <= {ece} AND coalesce(tie_recall, 0) > t0 AS ok
+    FROM ({search}) s JOIN (SELECT {keys}macro_f1 AS f0, accuracy AS a0, ece AS e0, coalesce(tie_recall, 0) AS t0 FROM ({search}) WHERE min_tie IS NULL) z {match})) WHERE place = 1"""
 
 
-def _tie_rounded(df: DataFrame) -> DataFrame:
-    return rounded(df.withColumn("objective", F.round("objective", 5)))
+_SEARCH = "min_tie, max_margin, max_base_margin, n, gold_ties, accuracy, macro_f1, ece, tie_recall"
 
 
-@query("tie_policy_search", _rounded_sql(_tie_sql(""), ""))
+@query("tie_policy_search", f"SELECT {_SEARCH}, round(macro_f1 + 0.25 * accuracy + 0.1 * coalesce(tie_recall, 0) - 0.05 * ece, 6) AS objective FROM ({_tie_sql('')})")
 def tie_policy_search(spark, sf_dir):
-    return _tie_rounded(policy.tie_policy_search(predictions(spark, sf_dir).where("split = 'dev'")))
+    return policy.tie_policy_search(predictions(spark, sf_dir).where("split = 'dev'")).withColumn("objective", policy.tie_objective())
 
 
-@query("tie_policy_by_dataset", _rounded_sql(_tie_sql("dataset"), "dataset, "))
+_BY_DATASET = _tie_sql("dataset", policy.DATASET_TIE_PROBABILITIES, policy.DATASET_AB_MARGINS)
+
+
+@query("tie_policy_by_dataset", f"SELECT dataset, {_SEARCH}, objective FROM ({_chosen_sql(f'SELECT * FROM ({_BY_DATASET}) WHERE n >= 20 AND gold_ties >= 3', 'dataset', 0.01, 0.02, 0.01, 0.2)}) WHERE ok")
 def tie_policy_by_dataset(spark, sf_dir):
-    return _tie_rounded(policy.tie_policy_search(predictions(spark, sf_dir).where("split = 'dev'"), ["dataset"]))
+    return policy.dataset_tie_policies(predictions(spark, sf_dir).where("split = 'dev'"))
 
 
-@query(
-    "tie_policy_best",
-    f"""SELECT min_tie, max_margin, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(ece, 6) AS ece, round(tie_recall, 6) AS tie_recall, objective FROM (
-SELECT s.*, s.min_tie IS NOT NULL AND s.macro_f1 >= b.macro_f1 - 0.005 AND s.accuracy >= b.accuracy - 0.01 AND s.ece <= b.ece + 0.015 AND coalesce(s.tie_recall, 0) > coalesce(b.tie_recall, 0) AS ok
-FROM ({_tie_sql('')}) s, (SELECT * FROM ({_tie_sql('')}) WHERE min_tie IS NULL) b)
-ORDER BY ok DESC, CASE WHEN ok THEN coalesce(tie_recall, 0) END DESC, CASE WHEN ok THEN round(macro_f1, 9) END DESC, CASE WHEN ok THEN round(accuracy, 9) END DESC, CASE WHEN ok THEN round(ece, 9) END, round(objective, 9) DESC, min_tie NULLS FIRST, max_margin LIMIT 1""",
-)
+@query("tie_policy_best", f"SELECT {_SEARCH}, objective FROM ({_chosen_sql(_tie_sql(''), '', 0.005, 0.01, 0.02, 0.1)})")
 def tie_policy_best(spark, sf_dir):
-    return _tie_rounded(policy.best_tie_policy(policy.tie_policy_search(predictions(spark, sf_dir).where("split = 'dev'"))))
+    return policy.best_tie_policy(policy.tie_policy_search(predictions(spark, sf_dir).where("split = 'dev'")))
 
 
 @query(

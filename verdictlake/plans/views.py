@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, customer, dataset, split, gold, probs (A>B, B>A, Tie) and what follows from probs, one row for each order."""
+    """id, customer, dataset, split, gold, probs (A>B, B>A, Tie), base_margin and what follows from probs, one row for each order."""
     o = table(spark, sf_dir, "orders")
     status, key, cust = F.col("o_orderstatus"), F.col("o_orderkey"), F.col("o_custkey")
     a = (1 + cust % 7 + F.when(status == "O", 4).otherwise(0)).cast("double")
@@ -31,6 +31,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bucket < 70, "train").when(bucket < 85, "dev").otherwise("test").alias("split"),
         F.when(status == "O", "A>B").when(status == "F", "B>A").otherwise("Tie").alias("gold"),
         F.array(a / total, b / total, t / total).alias("probs"),
+        ((key * 7 + cust) % 21 / 20).alias("base_margin"),
     )
     return metrics.with_derived(rows)
 
@@ -39,15 +40,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"))
 
 
-def samples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """id, dataset, prompt, answer_a, answer_b, context, human_label, bias_type: the first user turn of a conversation, the reply to it, the reply of the next conversation, a document.
-
-    With whole the context is the whole document, which has no DuckDB twin; otherwise its first 400 characters, as in VIEWS_SQL.
-    """
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, dataset, prompt, answer_a, answer_b, context, human_label, bias_type: the first user turn of a conversation, the reply to it, the reply of the next conversation, a whole document as context."""
     m = messages(spark, sf_dir)
     prompt = m.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
     reply = m.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id")).alias("conv_id"), (F.col("text") if whole else F.substring("text", 1, 400)).alias("context"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id")).alias("conv_id"), F.col("text").alias("context"))
     other = reply.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("answer_b"))
     rows = prompt.join(reply.withColumnRenamed("answer", "answer_a"), "conv_id").join(other, "conv_id", "left").join(docs, "conv_id", "left")
     k = F.col("conv_id")
@@ -71,10 +69,11 @@ VIEWS_SQL = {
     CASE o_orderstatus WHEN 'O' THEN 'A>B' WHEN 'F' THEN 'B>A' ELSE 'Tie' END AS gold,
     (1 + o_custkey % 7 + CASE WHEN o_orderstatus = 'O' THEN 4 ELSE 0 END)::DOUBLE AS wa,
     (1 + o_orderkey % 5 + CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 0 END)::DOUBLE AS wb,
-    (1 + (o_orderkey + o_custkey) % 3 + CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END)::DOUBLE AS wt
+    (1 + (o_orderkey + o_custkey) % 3 + CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END)::DOUBLE AS wt,
+    ((o_orderkey * 7 + o_custkey) % 21) / 20.0::DOUBLE AS base_margin
   FROM orders
 ), pred1 AS (
-  SELECT id, customer, dataset, split, gold, wa / (wa + wb + wt) AS pa, wb / (wa + wb + wt) AS pb, wt / (wa + wb + wt) AS pt FROM pred0
+  SELECT id, customer, dataset, split, gold, base_margin, wa / (wa + wb + wt) AS pa, wb / (wa + wb + wt) AS pb, wt / (wa + wb + wt) AS pt FROM pred0
 ), pred2 AS (
   SELECT *, greatest(pa, pb, pt) AS confidence, CASE WHEN pa >= pb AND pa >= pt THEN 'A>B' WHEN pb >= pt THEN 'B>A' ELSE 'Tie' END AS predicted FROM pred1
 ), pred AS (
@@ -86,7 +85,7 @@ VIEWS_SQL = {
 ), reply AS (
   SELECT conv_id, arg_min(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id
 ), samples AS (
-  SELECT p.conv_id AS id, 'd' || (p.conv_id % 3)::VARCHAR AS dataset, prompt, r.answer AS answer_a, s.answer AS answer_b, substr(d.text, 1, 400) AS context,
+  SELECT p.conv_id AS id, 'd' || (p.conv_id % 3)::VARCHAR AS dataset, prompt, r.answer AS answer_a, s.answer AS answer_b, d.text AS context,
     CASE p.conv_id % 4 WHEN 0 THEN 'Tie' WHEN 1 THEN 'B>A' ELSE 'A>B' END AS human_label,
     CASE p.conv_id % 5 WHEN 0 THEN 'position' WHEN 1 THEN 'format' WHEN 2 THEN 'rubric_sensitivity' ELSE 'none' END AS bias_type,
     CASE WHEN p.conv_id % 6 = 0 THEN NULL WHEN p.conv_id % 6 < 3 THEN 'A>B' WHEN p.conv_id % 6 = 3 THEN 'Tie' ELSE 'B>A' END AS predicted

@@ -47,12 +47,18 @@ def pending(samples: DataFrame, scored: DataFrame, key: str = "id") -> DataFrame
     return samples.join(scored.select(key).distinct(), key, "left_anti")
 
 
-def retry_rounds(samples: DataFrame, scorers: list, key: str = "id") -> DataFrame:
-    """Scores with each scorer in turn what those before left invalid; scorers return key and valid beside their columns."""
-    done, left = None, samples
+def retry_rounds(samples: DataFrame, scorers: list, folder: str, key: str = "id") -> DataFrame:
+    """Scores with each scorer in turn what those before left invalid; scorers return key and valid beside their columns.
+
+    Each round is written to folder, so a scorer runs once for what it is given, however costly or
+    random it is.
+    """
+    spark, done, left = samples.sparkSession, None, samples
     for attempt, scorer in enumerate(scorers):
         scored = scorer(left).withColumn("attempt", F.lit(attempt))
-        ok = scored.where("valid")
+        path = f"{folder.rstrip('/')}/round-{attempt}"
+        scored.write.mode("overwrite").parquet(path)
+        ok = spark.read.schema(scored.schema).parquet(path).where("valid")
         done = ok if done is None else done.unionByName(ok)
         left = pending(left, ok, key)
     return done
