@@ -233,3 +233,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     many = many.repartition(key, lots).select(row, F.least(F.lit(LOT).cast("long"), F.col(rest) - F.col(lots)).alias(rest))
     left = few.unionByName(many).withColumn(repeat, F.explode(F.sequence(F.lit(1).cast("long"), F.col(rest))))
     return even.unionByName(left.select(F.col(f"{row}.*")))
+
+
+#: DuckDB SQL for sizes and targets: sources are stopped in the order of their stop by weight until the level of the rest is under the next one's.
+TARGETS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), o AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0::DOUBLE * source_size AS stop FROM s
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY stop / w, source NULLS LAST) AS k, (SELECT 1.5::DOUBLE * sum(source_size) FROM s) AS total,
+    coalesce(sum(stop) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+    sum(w) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM o
+), level AS (
+  SELECT arg_min((total - stopped) / open, k) AS x FROM r WHERE (total - stopped) / open <= stop / w
+)
+SELECT doc_id, d.source, size, source_size, round(least(stop, x * w), 3) AS target FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source, level
+"""

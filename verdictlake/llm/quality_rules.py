@@ -332,3 +332,25 @@ def judge(docs: DataFrame, language: str = "lang", below: float = LOWER, above:
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "lower", "upper"]
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*columns, "kept")
+
+
+#: DuckDB SQL for the base counts and the base's verdict.
+BASE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), c AS (
+  SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), w AS (
+  SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d)
+), v AS (
+  SELECT r, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS five FROM w WINDOW p AS (PARTITION BY r ORDER BY i)
+), twice AS (
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, five) AS n FROM v WHERE five IS NOT NULL) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed
+FROM c LEFT JOIN covered USING (r)
+"""

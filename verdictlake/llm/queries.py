@@ -62,6 +62,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_mixing aims at, which SQL can express: sizes, and the targets of sources."""
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4_quality_rules, which SQL can express."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_html_extract": op2_html_extract,
@@ -73,10 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_codes": op9_token_codes,
     "op10_language_id": op10_language_id,
+    "mixing_targets": mixing_targets,
+    "quality_base_counts": quality_base_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": sharding.oracle_sql(SHARDS),
     "op6_secret_scan": secret_scan.oracle_sql(),
     "op7_vector_dedup": vector_dedup.ORACLE_SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
+    "quality_base_counts": quality_rules.BASE_SQL,
 }
