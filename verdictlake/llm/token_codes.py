@@ -14,6 +14,7 @@ to whole 512-bit runs) and its rank directory (32-bit).
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,11 +35,13 @@ RUN = 512
 #: Tokens after which a file is closed, bytes of text that a range of documents should hold, most ranges (a number for each goes through one task).
 FILE_TOKENS, RANGE_BYTES, MOST_RANGES = 4_000_000, 16_000_000, 65_536
 #: Bytes of a worker's memo (twice: the last full one is kept), an entry's without its word and ids, and the bytes of the longest word kept.
-MEMO_BYTES, MEMO_ENTRY, MEMO_LONGEST = 80 << 20, 180, 64
+MEMO_BYTES, MEMO_ENTRY, MEMO_LONGEST = 120 << 20, 180, 64
 #: Bytes of text that are encoded together (one document at least).
 PART_BYTES = 2 << 20
 
 MARKS = tuple(bytes([b]) for b in b".,;:!?")
+#: Small letters that no normalisation changes and that make one pre-token; words of these are encoded so many at a time, side by side.
+_LETTERS, ABREAST = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch, 500
 
 
 def encode_codes(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,21 +152,34 @@ class WordEncoder:
         self.code = "H" if self.kind == "<u2" else "I"
         self.lowers = '"Lowercase"' in self.tokenizer.to_str()
         self.added = tuple(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        # Which tokens end a pre-token, for tokenizers that mark them.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
-        self.held, self.passing = 0, []
+        self.held = 0
 
     def _batch(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _remember(self, word: bytes, ids: bytes) -> None:
-        """An entry of the memo; what is long serves its own call alone."""
-        self.words[word] = ids
-        if len(word) > MEMO_LONGEST:
-            self.passing.append(word)
-        else:
-            self.held += MEMO_ENTRY + len(word) + len(ids)
+    def _abreast(self, words: list[bytes]) -> list[bytes]:
+        """_batch() of words of one pre-token each: many in one text, whose ids are parted where a pre-token ends."""
+        out, width = [], np.dtype(self.kind).itemsize
+        lots = [words[i : i + ABREAST] for i in range(0, len(words), ABREAST)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False)
+        for lot, x in zip(lots, found):
+            ids = np.array(x.ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(stops) != len(lot) or stops[-1] != ids.nbytes:
+                out += self._batch(lot)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        return out
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         # The tokenizer lower-cases after composing characters; without combining marks the order is the same.
@@ -173,33 +189,36 @@ class WordEncoder:
         cut = [t.replace(b"\n", b" ").split(b" ") for t in small]
         if self.held > MEMO_BYTES:
             self.old, self.words, self.held = self.words, {b"": b""}, 0
-        words, old, new, marked = self.words, self.old, set(), []
+        words, old, new, marked, added = self.words, self.old, set(), [], {}
+        known_before = old.get
         for word in set().union(*cut).difference(words):
-            if (known := old.get(word)) is not None:
-                self._remember(word, known)
+            if (known := known_before(word)) is not None:
+                added[word] = known
             elif word[-1:] in MARKS and word[-2:-1].isalpha():
                 # Letters and a mark after them are tokenized apart, so the letters' ids serve every mark.
                 stem, mark = word[:-1], word[-1:]
                 marked.append((word, stem, mark))
                 for part in (stem, mark):
-                    if part not in words:
-                        if (known := old.get(part)) is not None:
-                            self._remember(part, known)
+                    if part not in words and part not in added:
+                        if (known := known_before(part)) is not None:
+                            added[part] = known
                         else:
                             new.add(part)
             else:
                 new.add(word)
         if new:
-            parts = list(new)
-            for word, ids in zip(parts, self._batch(parts)):
-                self._remember(word, ids)
+            plain = [w for w in new if _LETTERS(w)]
+            odd = list(new.difference(plain))
+            added.update(zip(plain, self._abreast(plain)))
+            added.update(zip(odd, self._batch(odd)))
+        words.update(added)
         for word, stem, mark in marked:
-            self._remember(word, words[stem] + words[mark])
+            words[word] = added[word] = words[stem] + words[mark]
+        self.held += MEMO_ENTRY * len(added) + sum(map(len, added)) + sum(map(len, added.values()))
         take = words.__getitem__
         out = [b"".join(map(take, x)) for x in cut]
-        for word in self.passing:
-            words.pop(word, None)
-        self.passing.clear()
+        for word in [w for w in added if len(w) > MEMO_LONGEST]:  # what is long serves its own call alone
+            self.held -= MEMO_ENTRY + len(word) + len(words.pop(word))
         if whole:
             for k, ids in zip(sorted(whole), self._batch([texts[k] for k in sorted(whole)])):
                 out[k] = ids
