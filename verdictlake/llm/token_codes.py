@@ -39,7 +39,7 @@ MEMO_BYTES, MEMO_ENTRY, MEMO_LONGEST = 120 << 20, 180, 64
 #: Bytes of text that are encoded together (one document at least).
 PART_BYTES = 2 << 20
 
-MARKS = tuple(bytes([b]) for b in b".,;:!?")
+MARKS = frozenset(bytes([b]) for b in b".,;:!?")
 #: Small letters that no normalisation changes and that make one pre-token; words of these are encoded so many at a time, side by side.
 _LETTERS, ABREAST = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch, 500
 
