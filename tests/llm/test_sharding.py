@@ -50,3 +50,21 @@ def test_rows(spark, odd, none, tmp_path):
     assert s.assign(none, names).count() == 0
     s.write_shards(odd, str(tmp_path / "out"), names, size=101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+
+
+def test_clashing_names(spark, tmp_path):
+    names = s.shard_names(4)
+    owner = s.lookup_table(names, 101)
+    docs = spark.createDataFrame([(k, "a", "b", "c", "d", 900 + k) for k in range(40)], "doc_id long, _slot string, _owner string, _shard string, _file string, slot long")
+    for key, column in (("doc_id", lambda r: r["doc_id"]), ("slot", lambda r: 900 + r["doc_id"])):
+        for r in s.assign(docs, names, key=key, size=101).collect():
+            slot = s.number(str(column(r))) % 101
+            assert (r["slot"], r["shard"], r["_slot"], r["_owner"], r["_shard"], r["_file"]) == (slot, names[owner[slot]], "a", "b", "c", "d")
+    hot = spark.createDataFrame([(1, str(k)) for k in range(400)], "doc_id long, _file string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart, as large ones do
+    try:
+        s.write_shards(hot, str(tmp_path / "hot"), names, size=101)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "hot").glob("shard=*/*.parquet"))
+    assert len(files) > 1 and spark.read.parquet(str(tmp_path / "hot")).count() == 400

@@ -15,6 +15,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: The table's size (a prime, at least a hundred times the shards), which bounds what is broadcast.
 TABLE_SIZE = 2_039
 #: Tables beyond this are refused: the table is broadcast, about sixteen bytes a slot.
@@ -53,24 +55,33 @@ def shard_names(n: int) -> list[str]:
 def assign(docs: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
     """docs with ``slot`` and ``shard`` (a name in shards) added, replacing columns of these names; no row moves.
 
-    A null key is a key like any other (its text is ``null``). Repeated rows share their shard. All
-    rows and other columns are kept; an empty table gives none.
+    A null key is a key like any other (its text is ``null``), and a key named ``slot`` or ``shard`` is
+    read before it is replaced. Repeated rows share their shard. All rows and other columns are kept,
+    whatever their names; an empty table gives none.
     """
     spark = docs.sparkSession
+    here, at, owner, name = free_names(docs, "_here", "_slot", "_owner", "_shard")
     owners = json.dumps(lookup_table(shards, size))
-    table = spark.range(1).select(F.posexplode(F.from_json(F.lit(owners), "array<int>")).alias("_slot", "_owner"))
+    table = spark.range(1).select(F.posexplode(F.from_json(F.lit(owners), "array<int>")).alias(at, owner))
     names = F.from_json(F.lit(json.dumps(shards)), "array<string>")
-    table = table.select("_slot", F.get(names, F.col("_owner")).alias("_shard"))
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
+    table = table.select(at, F.get(names, F.col(owner)).alias(name))
+    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).cast("binary"))
     slot = (F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long") % size).cast("int")
-    placed = docs.drop("slot", "shard").withColumn("slot", slot)
-    return placed.join(F.broadcast(table), placed["slot"] == table["_slot"], "left").drop("_slot").withColumnRenamed("_shard", "shard")
+    placed = docs.withColumn(here, slot).drop("slot", "shard")
+    return placed.join(F.broadcast(table), F.col(here) == F.col(at), "left").drop(at).withColumnsRenamed({here: "slot", name: "shard"})
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, files_per_shard: int = 4) -> None:
-    """Writes docs as Parquet, one folder for each shard, each shard from several tasks so that no task holds a whole one."""
-    placed = assign(docs, shards, key, size).withColumn("_file", F.col("slot") % files_per_shard)
-    placed.repartition("shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    """Writes docs as Parquet, one folder for each shard, each shard from files_per_shard tasks.
+
+    Rows are dealt over a shard's files by a hash of the whole row (maps apart), so rows of one key that differ
+    spread over the files. Rows that are alike share a file. An empty table writes no folder of a shard.
+    """
+    placed = assign(docs, shards, key, size)
+    file, = free_names(placed, "_file")
+    hashed = [F.col(f"`{f.name}`") for f in placed.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed = placed.withColumn(file, F.pmod(F.xxhash64(*hashed), F.lit(files_per_shard)))
+    placed.repartition("shard", file).drop(file).write.partitionBy("shard").parquet(path)
 
 
 def oracle_sql(shards: int, size: int = TABLE_SIZE) -> str:
