@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, language_id, mixing, quality_rules, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
+from . import byte_bpe, html_extract, itemsets, language_id, mixing, quality_rules, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
 from .common import table
 
 #: Shards of op5_sharding.
@@ -62,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsets.digest(itemsets.closed_itemsets(table(spark, sf_dir, "sale_lines").where("flag <> 'returned'"), least=8, per=2000))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1_mixing aims at, which SQL can express: sizes, and the targets of sources."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_codes": op9_token_codes,
     "op10_language_id": op10_language_id,
+    "op11_itemsets": op11_itemsets,
     "mixing_targets": mixing_targets,
     "quality_base_counts": quality_base_counts,
 }
@@ -92,6 +97,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sharding": sharding.oracle_sql(SHARDS),
     "op6_secret_scan": secret_scan.oracle_sql(),
     "op7_vector_dedup": vector_dedup.ORACLE_SQL,
+    "op11_itemsets": itemsets.ORACLE_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "quality_base_counts": quality_rules.BASE_SQL,
 }
