@@ -9,7 +9,7 @@ from verdictlake.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_twin(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "sale_lines"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, itemsets, language_id, mixing, quality_rules, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
+from . import byte_bpe, html_extract, itemsets, language_id, mixing, phrases, quality_rules, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
 from .common import table
 
 #: Shards of op5_sharding.
@@ -66,6 +66,10 @@ def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.digest(itemsets.closed_itemsets(table(spark, sf_dir, "sale_lines").where("flag <> 'returned'"), least=8, per=2000))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1_mixing aims at, which SQL can express: sizes, and the targets of sources."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_codes": op9_token_codes,
     "op10_language_id": op10_language_id,
     "op11_itemsets": op11_itemsets,
+    "op13_phrases": op13_phrases,
     "mixing_targets": mixing_targets,
     "quality_base_counts": quality_base_counts,
 }
@@ -98,6 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_scan": secret_scan.oracle_sql(),
     "op7_vector_dedup": vector_dedup.ORACLE_SQL,
     "op11_itemsets": itemsets.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "quality_base_counts": quality_rules.BASE_SQL,
 }
