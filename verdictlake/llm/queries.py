@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, itemsets, language_id, mixing, phrases, quality_rules, secret_scan, sharding, simhash_dedup, token_codes, vector_dedup
+from . import byte_bpe, html_extract, itemsets, language_id, mixing, phrases, quality_rules, secret_scan, sharding, simhash_dedup, suffix_dedup, token_codes, vector_dedup
 from .common import table
 
 #: Shards of op5_sharding.
@@ -66,6 +66,10 @@ def op11_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.digest(itemsets.closed_itemsets(table(spark, sf_dir, "sale_lines").where("flag <> 'returned'"), least=8, per=2000))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_codes": op9_token_codes,
     "op10_language_id": op10_language_id,
     "op11_itemsets": op11_itemsets,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_phrases": op13_phrases,
     "mixing_targets": mixing_targets,
     "quality_base_counts": quality_base_counts,
