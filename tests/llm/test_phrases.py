@@ -32,7 +32,7 @@ def brute(rows, least, top):
     return sorted((lang, i + 1, p.decode(), -a, left, right, n, -s) for lang, x in out.items() for i, (s, a, p, left, right, n) in enumerate(sorted(x)[:top]))
 
 
-@pytest.mark.parametrize("block_keys,slots,fan", [(100_000, 8 << 20, 8), (7, 5, 2)])
+@pytest.mark.parametrize("block_keys,slots,fan", [(200_000, 2 << 20, 8), (7, 5, 2)])
 def test_brute_force(spark, monkeypatch, block_keys, slots, fan):
     monkeypatch.setattr(phrases, "SLOTS", slots)
     monkeypatch.setattr(phrases, "FAN", fan)

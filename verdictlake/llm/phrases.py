@@ -28,9 +28,9 @@ from ..session import map_batches, ship_package
 from .common import by_bytes, get, new_folder, put, text_bytes, written
 
 #: Bytes of text of a chunk, keys of a block, arrays that are summed at a time, and bytes of blocks that a worker keeps.
-CHUNK, BLOCK, FAN, KEPT = 4 << 20, 100_000, 8, 96 << 20
+CHUNK, BLOCK, FAN, KEPT = 3 << 20, 200_000, 8, 40 << 20
 #: Slots that a mapper counts before it hands its arrays on.
-SLOTS = 8 << 20
+SLOTS = 2 << 20
 #: Piece ends become a line end, A-Z are lower-cased; no UTF-8 text holds the byte that then marks an end.
 _LOWER = bytes.maketrans(b".,;:!?\x0b\x0c\r" + bytes(range(65, 91)), b"\n" * 9 + bytes(range(97, 123)))
 _END = b"\xff"
