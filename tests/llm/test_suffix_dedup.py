@@ -39,7 +39,7 @@ def corpus(rng, length):
     return texts
 
 
-@pytest.mark.parametrize("seed,length,k,shard_bytes", [(1, 400, 64, 3 << 20), (2, 40, 8, 5000), (3, 40, 16, 300), (4, 24, 8, 200)])
+@pytest.mark.parametrize("seed,length,k,shard_bytes", [(1, 400, 64, 1 << 20), (2, 40, 8, 5000), (3, 40, 16, 300), (4, 24, 8, 200)])
 def test_brute_force(spark, monkeypatch, seed, length, k, shard_bytes):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     texts = corpus(random.Random(seed), length)

@@ -26,7 +26,7 @@ from .common import by_bytes, new_folder, shared_folder, text_bytes, written
 from .induced_sort import Spill, suffix_array
 
 #: Bytes of a repeated string, of a gram, of a shard, and of texts that are looked at together; strings of a piece at most.
-LENGTH, K, SHARD_BYTES, TOGETHER, PIECE = 400, 64, 3 << 20, 1 << 20, 1 << 16
+LENGTH, K, SHARD_BYTES, TOGETHER, PIECE = 400, 64, 1 << 20, 1 << 20, 1 << 16
 #: Tuples of a queue that a task holds before it writes them to files in the shared folder.
 HELD = 8 << 20
 
