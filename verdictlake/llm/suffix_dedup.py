@@ -6,8 +6,8 @@ one place only hold nothing that repeats and go no further; equal pieces go on o
 their gram into shards of about SHARD_BYTES. A shard's pieces are put one after the other, and its suffix
 array with common prefixes is made by external induced sorting (induced_sort.py): neighbours that share LENGTH
 bytes repeat. A gram with more bytes of pieces than a shard should hold has its pieces dealt over
-several shards; each hands on a 128-bit digest for every string of its pieces, once for those that repeat within,
-and digests that meet from two shards repeat, too.
+several shards; each hands on a 128-bit digest for every string of its pieces, once for those that repeat within, packed by
+buckets of digests, and digests that meet from two shards repeat, too.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches, ship_package
-from .common import by_bytes, new_folder, shared_folder, text_bytes, written
+from .common import by_bytes, new_folder, text_bytes, written
 from .induced_sort import Spill, suffix_array
 
 #: Bytes of a repeated string, of a gram, of a shard, and of texts that are looked at together; strings of a piece at most.
 LENGTH, K, SHARD_BYTES, TOGETHER, PIECE = 400, 64, 1 << 20, 1 << 20, 1 << 16
+#: Strings of split grams that one task compares by their digests.
+BUCKET = 100_000
 #: Tuples of a queue that a task holds before it writes them to files in the shared folder.
 HELD = 8 << 20
 
@@ -133,7 +135,27 @@ def repeats_of(parts: list[bytes], length: int, spill: Spill | None = None) -> t
     return repeated, leading, sizes
 
 
-def _sort(length: int, folder: str):
+#: A string of a split gram: its digest, the digest of its piece, its place there.
+_STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("sd", "V16"), ("at", "<i8")])
+_RANGES = [("sd", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("bucket", pa.int64()), ("strings", pa.binary())]
+
+
+def _ranges(sds: list[bytes], own: np.ndarray, offset: np.ndarray, hit: np.ndarray) -> dict[str, list]:
+    """The runs of hits: own ascends, and so does offset within equal own."""
+    own, offset = own[hit], offset[hit]
+    fresh = np.append(True, (own[1:] != own[:-1]) | (np.diff(offset) != 1)) if len(own) else np.zeros(0, bool)
+    edge = np.flatnonzero(fresh)
+    stop = np.append(edge[1:], len(own)) - 1 if len(edge) else edge
+    return {"sd": [sds[k] for k in own[edge].tolist()], "low": offset[edge].tolist(), "high": (offset[stop] + 1).tolist()}
+
+
+def _table(ranges: dict[str, list], buckets: list[int] = (), strings: list[bytes] = ()) -> pa.Table:
+    none = [None] * len(buckets)
+    columns = [*(ranges[c] + none for c in ("sd", "low", "high")), [-1] * len(ranges["sd"]) + list(buckets), [None] * len(ranges["sd"]) + list(strings)]
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, _RANGES)], names=[n for n, _ in _RANGES])
+
+
+def _sort(length: int, folder: str, buckets: int):
     def sort(table: pa.Table) -> pa.Table:
         salted = table.column("salt")[0].as_py() >= 0
         sds, parts = table.column("sd").to_pylist(), table.column("piece").to_pylist()
@@ -147,23 +169,35 @@ def _sort(length: int, folder: str):
         first = np.cumsum(counts) - counts
         at = np.arange(counts.sum()) - np.repeat(first - begin, counts)  # all strings
         own = np.repeat(np.arange(len(parts)), counts)
-        hit = repeated[at]
-        edge = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (own[1:] != own[:-1])))
-        stop = np.flatnonzero(hit & np.append(~hit[1:] | (own[1:] != own[:-1]), True))
-        low, high = at[edge] - begin[own[edge]], at[stop] - begin[own[stop]] + 1
-        out = [[sds[k] for k in own[edge].tolist()], low, high, np.zeros(len(low), np.int64), np.zeros(len(low), np.int64), [0] * len(low)]
-        if salted:
-            told = np.flatnonzero(~hit | leading[at])
-            data = b"\0".join(parts)
-            h = [string_hashes(data, length, seed)[at[told]].view(np.int64) for seed in (1, 2)]
-            offset = at[told] - begin[own[told]]
-            out = [x + y if isinstance(x, list) else np.append(x, y) for x, y in zip(out, [[sds[k] for k in own[told].tolist()], offset, offset + 1, *h, [1] * len(told)])]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=["sd", "low", "high", "h1", "h2", "open"])
+        hit, offset = repeated[at], at - begin[own]
+        found = _ranges(sds, own, offset, hit)
+        if not salted:
+            return _table(found)
+        told = np.flatnonzero(~hit | leading[at])  # one string of each kind
+        data, out = b"\0".join(parts), np.empty(len(told), _STRING)
+        out["h1"], out["h2"] = (string_hashes(data, length, seed)[at[told]] for seed in (1, 2))
+        out["sd"], out["at"] = np.array(sds, "V16")[own[told]], offset[told]
+        bucket = (out["h1"] % np.uint64(buckets)).astype(np.int64)
+        out = out[np.argsort(bucket, kind="stable")]
+        used, sizes = np.unique(bucket, return_counts=True)
+        return _table(found, used.tolist(), [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])])
 
     return sort
 
 
+def _meet(table: pa.Table) -> pa.Table:
+    """Strings of one bucket that came from more than one shard."""
+    rows = np.concatenate([np.frombuffer(b, _STRING) for b in table.column("strings").to_pylist()])
+    rows = rows[np.lexsort((rows["h2"], rows["h1"]))]
+    same = (rows["h1"][1:] == rows["h1"][:-1]) & (rows["h2"][1:] == rows["h2"][:-1])
+    rows = rows[np.append(False, same) | np.append(same, False)]
+    sds = sorted({s.tobytes() for s in rows["sd"]})
+    place = {s: k for k, s in enumerate(sds)}
+    own = np.array([place[s.tobytes()] for s in rows["sd"]], np.int64)
+    order = np.lexsort((rows["at"], own))
+    return _table(_ranges(sds, own[order], rows["at"][order], np.ones(len(rows), bool)))
+
+
 def union(ranges: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -219,11 +253,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, k: int = K, shard_byte
     touched = found.select("td").distinct().join(sent, "td", "left")
     texts = written(once.join(touched, "td").select("td", "text", F.coalesce("wanted", F.array().cast(sent.schema["wanted"].dataType)).alias("wanted")), "texts")
     strings = map_batches(texts.where(F.size("wanted") > 0).select("text", "wanted"), _send(length), "shard long, salt int, sd binary, piece binary")
-    sorted_ = strings.groupBy("shard", "salt").applyInArrow(_sort(length, new_folder(spark, "queues")), "sd binary, low long, high long, h1 long, h2 long, open int")
-    sorted_ = written(sorted_, "repeats")
-    opened = sorted_.where("open = 1")
-    met = opened.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    hits = sorted_.where("open = 0").select("sd", "low", "high").unionByName(opened.join(met, ["h1", "h2"], "left_semi").select("sd", "low", "high"))
+    kinds = "sd binary, low long, high long, bucket long, strings binary"
+    many = reps.join(hot, "gram", "left_semi").agg(F.sum("number")).first()[0] or 0
+    sorted_ = written(strings.groupBy("shard", "salt").applyInArrow(_sort(length, new_folder(spark, "queues"), -(-many // BUCKET) or 1), kinds), "repeats")
+    met = sorted_.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, kinds)
+    hits = sorted_.where("bucket < 0").unionByName(met).select("sd", "low", "high")
     hits = hits.unionByName(reps.where("often").select("sd", F.lit(0).cast("long").alias("low"), F.col("number").alias("high")))
     ranges = found.select("td", "first", "sd").join(hits, "sd").select("td", F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + F.lit(length - 1)).alias("high")).alias("r"))
     ranges = ranges.groupBy("td").agg(F.collect_list("r").alias("ranges"))
