@@ -137,24 +137,6 @@ def test_rules(spark):
     assert counts == {"blank": 3}
 
 
-def test_fits(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 2))
-    y = (x @ np.array([2.0, -1.0]) > 0).astype(int)
-    df = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(x, y)], "x array<double>, y int")
-    best = fit.fit_softmax(df, "x", "y", 2, [{"lr": 0.01}, {"lr": 0.5}]).orderBy("loss").first()
-    p = df.select("y", fit.apply_softmax("x", best.weights, 2).alias("p")).collect()
-    assert best.trial == 1 and np.mean([np.argmax(r.p) == r.y for r in p]) > 0.95
-
-    preds, rows = predictions(spark, 600, seed=4)
-    preds = preds.withColumn("g", F.when(F.col("gold") == "A>B", 0).when(F.col("gold") == "B>A", 1).otherwise(2))
-    assert {r.k for r in fit.fit_platt(preds, "probs", "g", 3).collect()} == {0, 1, 2}
-    knots = fit.fit_isotonic(preds, "probs", "g", 3).where("k = 0").orderBy("x").collect()
-    assert all(a.y <= b.y + 1e-12 for a, b in zip(knots, knots[1:])) and abs(np.mean([k.y for k in knots]) - np.mean([r[2] == "A>B" for r in rows])) < 0.02
-    v = fit.fit_vector_scaling(preds, "probs", "g", 3).first()
-    assert len(v.scale) == 3 and len(v.bias) == 3
-
-
 def test_sources_and_sinks(spark, tmp_path):
     wrapped = {"dataset_info": {"n": 2}, "samples": [{"id": "1", "dataset": "d", "prompt": "p   q", "metadata": {"k": "v"}}, {"id": "2", "dataset": "d", "prompt": None, "metadata": {}}]}
     (tmp_path / "w.json").write_text(json.dumps(wrapped, ensure_ascii=False, indent=1), encoding="utf-8")

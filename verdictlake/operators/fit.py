@@ -1,19 +1,10 @@
-"""Iterative fits: softmax classifier, Platt, isotonic and vector scaling.
-
-Each fit is one grouped map over a frame of bounded size (a group is a trial or a class of a
-development split), its result a small parameter frame that applies to any number of rows as a
-column expression.
-"""
+"""Scaling of feature columns, and fitted softmax weights as column expressions; heads.py and calibration.py hold the fits."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
 
 def standardise(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """columns scaled by mean and population deviation of the rows where train holds (a deviation of nearly 0 counts as 1)."""
@@ -22,39 +13,6 @@ def standardise(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     return scaled.select(*(c for c in df.columns if c not in columns), *(((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") < 1e-8, 1.0).otherwise(F.col(f"s_{c}"))).alias(c) for c in columns))
 
 
-def fit_softmax(df: DataFrame, features: str, label: str, classes: int, trials: list[dict], seed: int = 7, epochs: int = 60, batch: int = 256) -> DataFrame:
-    """trial, loss, weights (classes x (features + 1), row after row): mini-batch gradient descent for each trial's lr and l2, in parallel.
-
-    df is a training split that fits into a task's memory; every trial reads it once.
-    """
-    spark = df.sparkSession
-    ship_package(spark)
-    grid = spark.createDataFrame([(i, float(t.get("lr", 0.1)), float(t.get("l2", 0.0))) for i, t in enumerate(trials)], "trial int, lr double, l2 double")
-    rows = df.select(F.col(features).alias("x"), F.col(label).cast("int").alias("y"), F.coalesce(F.col("weight"), F.lit(1.0)).alias("w") if "weight" in df.columns else F.lit(1.0).alias("w"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(group["x"].tolist(), float)
-        order = np.lexsort((*x.T, group["y"].to_numpy()))  # the same start whatever order the rows came in
-        x, y, w = np.column_stack([x, np.ones(len(x))])[order], group["y"].to_numpy(int)[order], group["w"].to_numpy(float)[order]
-        lr, l2 = group["lr"].iloc[0], group["l2"].iloc[0]
-        rng, theta, hot = np.random.default_rng(seed), np.zeros((classes, x.shape[1])), np.eye(classes)[y]
-        for _ in range(epochs):
-            perm = rng.permutation(len(x))
-            for start in range(0, len(x), batch):
-                k = perm[start : start + batch]
-                theta -= lr * (((_softmax(x[k] @ theta.T) - hot[k]) * w[k, None]).T @ x[k] / max(w[k].sum(), 1e-12) + l2 * theta)
-        p = _softmax(x @ theta.T)
-        loss = float(-(w * np.log(p[np.arange(len(y)), y] + 1e-12)).sum() / w.sum())
-        return pd.DataFrame({"trial": [group["trial"].iloc[0]], "loss": [loss], "weights": [theta.ravel().tolist()]})
-
-    return rows.crossJoin(F.broadcast(grid)).groupBy("trial").applyInPandas(fit, "trial int, loss double, weights array<double>")
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
 def apply_softmax(features: str, weights: list[float], classes: int) -> Column:
     """Class probabilities of a feature array by fitted weights, as a column expression."""
     from ..functions import scores as S
@@ -62,81 +20,7 @@ def apply_softmax(features: str, weights: list[float], classes: int) -> Column:
     width = len(weights) // classes
     z = []
     for k in range(classes):
-        row = F.array(*(F.lit(float(v)) for v in weights[k * width : (k + 1) * width]))
+        row = F.array(*(F.lit(float(v)) for v in weights[k * width : (k + 1) * width - 1])).cast("array<double>")
         dot = F.aggregate(F.zip_with(F.col(features), row, lambda a, b: a.cast("double") * b), F.lit(float(weights[(k + 1) * width - 1])), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
         z.append(dot)
     return S.softmax(F.array(*z))
-
-
-def _classes(df: DataFrame, probs: str, gold: str, classes: int) -> DataFrame:
-    """k, p, hit for each row and class."""
-    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.get(probs, F.lit(k)).alias("p"), (F.col(gold) == k).cast("double").alias("hit")) for k in range(classes)))
-    return df.select(F.explode(cells).alias("c")).select("c.*")
-
-
-def fit_platt(df: DataFrame, probs: str, gold: str, classes: int, rounds: int = 50) -> DataFrame:
-    """k, a, b: one-vs-rest logistic scaling of the log-odds of each class by Newton's method."""
-    ship_package(df.sparkSession)
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        p = np.clip(g["p"].to_numpy(), 1e-12, 1 - 1e-12)
-        x, y, a, b = np.log(p / (1 - p)), g["hit"].to_numpy(), 1.0, 0.0
-        for _ in range(rounds):
-            q = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
-            w = np.maximum(q * (1 - q), 1e-12)
-            grad = np.array([((q - y) * x).sum(), (q - y).sum()])
-            hess = np.array([[(w * x * x).sum() + 1e-6, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-            step = np.linalg.solve(hess, grad)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-9:
-                break
-        return pd.DataFrame({"k": [g["k"].iloc[0]], "a": [a], "b": [b]})
-
-    return _classes(df, probs, gold, classes).groupBy("k").applyInPandas(fit, "k int, a double, b double")
-
-
-def fit_isotonic(df: DataFrame, probs: str, gold: str, classes: int) -> DataFrame:
-    """k, x, y: knots of each class's isotonic regression; equal probabilities are merged before the rows meet."""
-    ship_package(df.sparkSession)
-    merged = _classes(df, probs, gold, classes).groupBy("k", "p").agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("p")
-        blocks: list[list[float]] = []  # mean, weight, knots
-        for hit, n in zip(g["hit"], g["n"]):
-            blocks.append([hit / n, n, 1])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                m, w, c = blocks.pop()
-                last = blocks[-1]
-                last[0], last[1], last[2] = (last[0] * last[1] + m * w) / (last[1] + w), last[1] + w, last[2] + c
-        y = [m for m, _, c in blocks for _ in range(int(c))]
-        return pd.DataFrame({"k": g["k"].iloc[0], "x": g["p"].to_numpy(), "y": y})
-
-    return merged.groupBy("k").applyInPandas(fit, "k int, x double, y double")
-
-
-def fit_vector_scaling(df: DataFrame, probs: str, gold: str, classes: int, rounds: int = 400, lr: float = 0.05, patience: int = 40) -> DataFrame:
-    """One row, scale and bias (arrays): log-probabilities scaled class by class, stopped early on a held-out tenth."""
-    ship_package(df.sparkSession)
-    rows = df.select(F.lit(0).alias("g"), F.xxhash64("id").alias("h"), F.col(probs).alias("p"), F.col(gold).cast("int").alias("y"))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("h")
-        x, y = np.log(np.maximum(np.array(g["p"].tolist()), 1e-12)), g["y"].to_numpy()
-        held = np.arange(len(y)) % 10 == 0
-        w, b, best, since = np.ones(classes), np.zeros(classes), (np.inf, np.ones(classes), np.zeros(classes)), 0
-        hot = np.eye(classes)[y]
-        for _ in range(rounds):
-            q = _softmax(x[held] * w + b) if held.any() else _softmax(x * w + b)
-            loss = -np.log(q[np.arange(len(q)), y[held] if held.any() else y] + 1e-12).mean()
-            if loss < best[0] - 1e-7:
-                best, since = (loss, w.copy(), b.copy()), 0
-            else:
-                since += 1
-                if since > patience:
-                    break
-            d = (_softmax(x[~held] * w + b) - hot[~held]) / max(1, (~held).sum())
-            w, b = w - lr * (d * x[~held]).sum(0), b - lr * d.sum(0)
-        return pd.DataFrame({"scale": [best[1].tolist()], "bias": [best[2].tolist()]})
-
-    return rows.groupBy("g").applyInPandas(fit, "scale array<double>, bias array<double>")
