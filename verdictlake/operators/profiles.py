@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from . import evidence
 
 
 def _risk(risk: float, reason: str | None) -> Column:
@@ -71,91 +72,14 @@ def bias_summary(profiles: DataFrame) -> DataFrame:
 SIDES = ("context_support", "claim_support_rate", "numeric_evidence_gap", "date_evidence_gap", "entity_evidence_gap", "entity_alias_gap", "negation_mismatch", "comparative_mismatch", "sentence_max_support", "sentence_mean_support", "low_support_sentence_ratio", "low_support_anchor_ratio", "max_low_support_anchor_gap", "anchored_severity", "local_hallucination_risk")
 
 
-def _described_sentence(s: Column) -> Column:
-    return F.struct(T.token_set(s).alias("tokens"), T.numbers(s).alias("numbers"), T.has_negation(s).alias("negated"), T.comparative_groups(s).alias("groups"))
-
-
-def _departure(s: Column, anchors: Column) -> Column:
-    """The largest share of a sentence's numbers, dates or names that the evidence lacks."""
-    return F.greatest(T.gap(T.numbers(s), anchors["numbers"]), T.gap(T.dates(s), anchors["dates"]), T.gap(T.entities(s), anchors["entities"]), T.gap(T.alias_entities(s), anchors["aliases"]))
-
-
-def _best(x: Column, evidence: Column) -> Column:
-    """The first evidence sentence that supports a sentence most."""
-    own = x["tokens"]
-    met = F.transform(
-        evidence,
-        lambda e: F.struct(T.support_of_sets(own, x["long"], x["numbers"], e["tokens"], e["numbers"]).alias("score"), e["negated"].alias("negated"), e["groups"].alias("groups")),
-    )
-    worst = F.struct(F.lit(-1.0).alias("score"), F.lit(False).alias("negated"), F.array().cast("array<string>").alias("groups"))
-    return F.aggregate(met, worst, lambda a, e: F.when(e["score"] > a["score"], e).otherwise(a))
-
-
-def with_support(df: DataFrame, answer: str, context: str, reference: str | None = None) -> DataFrame:
-    """df with _s: how far an answer is supported by its evidence and where it departs from it, and its sentences matched with the evidence's.
-
-    Built in steps, so that what a text gives is worked out once a row and not once a sentence.
-    """
-    blocks = [F.col(context), *([F.col(reference)] if reference else [])]
-    both = F.concat_ws(" ", *(T.normalize(b) for b in blocks))
-    ctx = T.support(F.col(answer), F.col(context))
-    ref = T.support(F.col(answer), F.col(reference)) if reference else F.lit(0.0)
-    rows = df.withColumn("_both", both).withColumn("_ctx", ctx).withColumn("_ref", ref)
-    rows = rows.withColumn("_anchors", F.struct(T.numbers("_both").alias("numbers"), T.dates("_both").alias("dates"), T.entities("_both").alias("entities"), T.alias_entities("_both").alias("aliases")))
-    rows = rows.withColumn("_own", T.sentences(answer)).withColumn("_other", F.transform(T.sentences("_both"), _described_sentence))
-    anchors = F.col("_anchors")
-    mine = F.transform(
-        "_own",
-        lambda s: F.struct(
-            T.token_set(s).alias("tokens"), T.long_tokens(T.token_set(s)).alias("long"), T.numbers(s).alias("numbers"), T.has_negation(s).alias("negated"), T.comparative_groups(s).alias("groups"), _departure(s, anchors).alias("gap")
-        ),
-    )
-    rows = rows.withColumn("_mine", mine)
-    matched = F.when(F.size("_other") > 0, F.transform("_mine", lambda x: F.struct(x["negated"].alias("negated"), x["groups"].alias("groups"), x["gap"].alias("gap"), _best(x, F.col("_other")).alias("best"))))
-    claim = F.greatest(T.support(F.col(answer), F.col("_both")), 0.65 * F.col("_ctx") + 0.35 * F.col("_ref"))
-    s = F.struct(
-        F.col("_ctx").alias("context_support"),
-        F.least(F.lit(1.0), claim).alias("claim_support_rate"),
-        T.gap(T.numbers(answer), anchors["numbers"]).alias("numeric_evidence_gap"),
-        T.gap(T.dates(answer), anchors["dates"]).alias("date_evidence_gap"),
-        T.gap(T.entities(answer), anchors["entities"]).alias("entity_evidence_gap"),
-        T.gap(T.alias_entities(answer), anchors["aliases"]).alias("entity_alias_gap"),
-        F.size("_own").alias("sentences"),
-        matched.alias("matched"),
-        # Where either side has no sentence, texts are compared as wholes.
-        F.when(
-            F.size(T.comparative_groups(answer)) > 0,
-            F.size(F.array_except(T.comparative_groups(answer), T.comparative_groups("_both"))) / F.size(T.comparative_groups(answer)),
-        ).otherwise(0.0).alias("groups_apart"),
-        ((T.has_negation(answer) != T.has_negation("_both")) & (T.coverage(T.token_set(answer), T.token_set("_both")) >= 0.15)).cast("double").alias("negation_apart"),
-    )
-    return rows.select(*df.columns, s.alias("_s"))
+#: Measures of evidence.measures under the names that single profiles have.
+_NAMES = {"low_support_anchor_ratio": "low_support_anchor_sentence_ratio", "anchored_severity": "anchored_hallucination_severity"}
 
 
 def evidence_profile(df: DataFrame, answer: str = "answer_a", context: str = "context", reference: str | None = None) -> DataFrame:
     """df with the measures of one answer as columns; evidence_risk and sorted reasons after them."""
-    rows = with_support(df, answer, context, reference)
-    m = F.col("_s.matched")
-    scores = F.transform(m, lambda x: x["best"]["score"])
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x)
-    none = F.when(F.col("_s.sentences") > 0, 1.0).otherwise(0.0)
-    has = F.coalesce(F.size(m) > 0, F.lit(False))
-    compared = F.filter(m, lambda x: x["best"]["score"] >= 0.20)
-    negated = F.filter(compared, lambda x: x["negated"] != x["best"]["negated"])
-    comparing = F.filter(compared, lambda x: F.size(x["groups"]) > 0)
-    departed = F.aggregate(F.transform(comparing, lambda x: F.size(F.array_except(x["groups"], x["best"]["groups"])) / F.size(x["groups"])), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.select(
-        *df.columns,
-        *(F.col(f"_s.{c}").alias(c) for c in SIDES[:6]),
-        F.when(~has, F.col("_s.negation_apart")).when(F.size(compared) > 0, F.size(negated) / F.size(compared)).otherwise(0.0).alias("negation_mismatch"),
-        F.when(~has, F.col("_s.groups_apart")).when(F.size(comparing) > 0, departed / F.size(comparing)).otherwise(0.0).alias("comparative_mismatch"),
-        F.when(has, F.array_max(scores)).otherwise(0.0).alias("sentence_max_support"),
-        F.when(has, total / F.size(scores)).otherwise(0.0).alias("sentence_mean_support"),
-        F.when(has, F.size(F.filter(scores, lambda x: x < 0.35)) / F.size(scores)).otherwise(none).alias("low_support_sentence_ratio"),
-        F.when(has, F.size(F.filter(m, lambda x: (x["best"]["score"] < 0.35) & (x["gap"] > 0))) / F.size(scores)).otherwise(0.0).alias("low_support_anchor_ratio"),
-        F.when(has, F.coalesce(F.array_max(F.transform(F.filter(m, lambda x: x["best"]["score"] < 0.5), lambda x: x["gap"])), F.lit(0.0))).otherwise(0.0).alias("max_low_support_anchor_gap"),
-        F.when(has, F.aggregate(m, F.lit(0.0), lambda s, x: s + (1 - x["best"]["score"]) * x["gap"]) / F.size(scores)).otherwise(0.0).alias("anchored_severity"),
-    )
+    rows = evidence.measures(df, {"_m": answer}, context, reference)
+    rows = rows.select(*df.columns, *(F.col(f"_m.{_NAMES.get(c, c)}").alias(c) for c in SIDES[:-1]))
     local = F.greatest(*(F.col(c) for c in ("low_support_sentence_ratio", "entity_evidence_gap", "entity_alias_gap", "date_evidence_gap", "numeric_evidence_gap", "negation_mismatch", "comparative_mismatch")))
     rows = rows.withColumn("local_hallucination_risk", local)
     parts = [
