@@ -262,7 +262,8 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
             rows, _ = _phrases(width, keys, ids, words, pairs)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
 
-    candidates = written(map_batches(chunks.select("keys", "ids"), seen, fields).distinct(), "candidates")
+    # A chunk names a phrase once, so little would be saved by merging before the shuffle, which holds a task's phrases in memory.
+    candidates = written(map_batches(chunks.select("keys", "ids"), seen, fields).repartition(*names).distinct(), "candidates")
     n = candidates.count()
     table = _stored(candidates, width, n, block_keys)
 
