@@ -102,3 +102,31 @@ def test_rows_that_are_alike(spark):
     plan, mixed = mixing.plan_mix(docs), mixing.mix(docs)
     want = {(r[0], r[1]): r[2] for r in plan.groupBy("doc_id", "source").sum("copies").collect() if r[2]}
     assert {(r[0], r[1]): r[2] for r in mixed.groupBy("doc_id", "source").count().collect()} == want and mixed.columns == docs.columns
+
+
+def test_long_documents_are_searched_whatever_their_size():
+    for lengths, target, want in (([40_000_000, 41_000_000, 43_000_000, 44_500_000], 84_000_000, 84_000_000), ([10**9, 2 * 10**9 + 7, 5 * 10**9 + 1], 6 * 10**9, 6 * 10**9 + 1)):
+        lengths = np.array(lengths)
+        copies, more = mixing.fit_source(lengths, np.ones(len(lengths), np.int64), target)
+        assert copies == 0 and int((more * lengths).sum()) == want
+    rng = random.Random(11)
+    for _ in range(30):
+        lengths = np.array(sorted(rng.sample(range(10**6, 10**8), 8)))
+        counts = np.array([rng.randint(1, 3) for _ in lengths])
+        goal = rng.randint(1, int((lengths * counts).sum()) - 1)
+        sums = [sum(a * b for a, b in zip(x, lengths.tolist())) for x in itertools.product(*[range(c + 1) for c in counts])]
+        taken = mixing.sparse_knapsack(lengths, counts, goal, 1 << 22)
+        assert (taken <= counts).all() and abs(int((taken * lengths).sum()) - goal) == min(abs(s - goal) for s in sums)
+    assert mixing.sparse_knapsack(lengths, counts, goal, 5) is None
+
+
+def test_a_cut_through_rows_that_are_alike(spark):
+    rows = [(7, "a b c d e", "x")] * 3000 + [(k, "v w x y z", "x") for k in range(100, 700)] + [(1, "z " * 9000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs, total_share=0.7)
+    taken = plan.where("source = 'x'").selectExpr("sum(copies * size)", "max(target)", "count(*)").first()
+    assert taken[2] == 3600 and abs(taken[0] - taken[1]) <= 5
+    count = lambda p: sorted(map(tuple, p.groupBy("doc_id", "source", "copies").count().collect()))
+    assert count(plan) == count(mixing.plan_mix(docs.repartition(7), total_share=0.7))
+    alike = plan.where("doc_id = 7").groupBy("copies").count().collect()
+    assert sum(r["count"] for r in alike) == 3000

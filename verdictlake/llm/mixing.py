@@ -19,8 +19,9 @@ from .common import WORD, free_names, written
 
 #: Words that the dynamic programme spends at most: so many, or sixteen documents of a source's mean length up to MOST_SUMS.
 KNAPSACK_WORDS, MOST_SUMS = 1 << 16, 1 << 24
-#: Sums and steps (sums times pieces) up to which the documents of a source are searched as a whole if the share missed its target.
-EXACT_SUMS, EXACT_STEPS = 1 << 25, 1 << 32
+#: Sums and steps (sums times pieces) up to which the documents of a source are searched as a whole if the share missed its target,
+#: and sums that differ up to which they are searched whatever the sums are: of few documents, however long.
+EXACT_SUMS, EXACT_STEPS, FEW_SUMS = 1 << 25, 1 << 32, 1 << 22
 #: Copies of one row that a task makes at a time.
 LOT = 1_000
 #: Documents of one source and length that one hash range should hold.
@@ -106,6 +107,26 @@ def few_long(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
     return taken
 
 
+def sparse_knapsack(lengths: np.ndarray, counts: np.ndarray, goal: int, most: int) -> np.ndarray | None:
+    """knapsack() over the set of sums that differ, whatever their size; None if there are more than ``most`` of them over all pieces."""
+    span = goal + min(goal, int(lengths.max(initial=0)))
+    pieces, sums, held = _pieces(lengths, counts), [np.zeros(1, np.int64)], 1
+    for k, n in pieces:
+        now = sums[-1]
+        more = now + n * int(lengths[k])
+        sums.append(np.union1d(now, more[more <= span]))
+        held += len(sums[-1])
+        if held > most:
+            return None
+    last = sums[-1]
+    taken, at = np.zeros(len(lengths), np.int64), int(last[np.abs(last - goal).argmin()])
+    for (k, n), before in zip(reversed(pieces), reversed(sums[:-1])):
+        if (place := np.searchsorted(before, at)) == len(before) or before[place] != at:  # not reached without this piece
+            taken[k] += n
+            at -= n * int(lengths[k])
+    return taken
+
+
 def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
     """Whole copies of all documents, and how many documents of each length are taken once more."""
     size = int((lengths * counts).sum())
@@ -136,8 +157,10 @@ def fit_source(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
         share += more
     if int((share * lengths).sum()) != goal:  # few documents, or long ones: others than those of the share may come nearer
         sums = goal + min(goal, int(lengths.max()))
-        if sums <= EXACT_SUMS and sums * len(_pieces(lengths, counts)) <= EXACT_STEPS:
-            share = knapsack(lengths, counts, goal)
+        found = sparse_knapsack(lengths, counts, goal, FEW_SUMS)
+        if found is None and sums <= EXACT_SUMS and sums * len(_pieces(lengths, counts)) <= EXACT_STEPS:
+            found = knapsack(lengths, counts, goal)
+        share = share if found is None else found
     return copies, share
 
 
@@ -159,7 +182,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
     """
     spark = docs.sparkSession
     key = F.xxhash64("doc_id", "text", "source")
-    rows = written(docs.select("doc_id", "source", key.alias("key"), word_count().alias("size")), "sizes")
+    rows = written(docs.select("doc_id", "source", key.alias("key"), word_count().alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     histogram = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     totals = {r["source"]: r["words"] for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     target = budgets(totals, total_share * sum(totals.values()), weights, repeats)
@@ -179,31 +202,37 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
     fitted = written(
         grouped.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, copies int, more long"), "fit"
     )
-    # Which documents of a length: those lowest by a seeded hash. Hash ranges are counted first, so that only the range with the cut is ranked.
+    # Which documents of a length: those lowest by a seeded hash. Hash ranges are counted first, so that only in the range with the cut rows are ranked, and there rows that are alike count as one.
     draw = F.xxhash64("key", F.lit(seed)) / F.lit(2.0**64) + 0.5
     ranges = F.ceil(F.col("n") / RANGE_DOCUMENTS)
     joined = rows.alias("r").join(fitted.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.size") == F.col("f.size")))
-    drawn = joined.select("r.doc_id", "r.source", "r.key", "r.size", "f.n", "f.source_size", "f.target", "f.copies", "f.more", draw.alias("draw"))
+    drawn = joined.select("r.doc_id", "r.source", "r.key", "r.size", "r.row", "f.n", "f.source_size", "f.target", "f.copies", "f.more", draw.alias("draw"))
     drawn = drawn.withColumn("range", F.floor(F.col("draw") * ranges).cast("long"))
     cut = F.col("more").between(F.lit(1), F.col("n") - 1)
-    in_group = Window.partitionBy("source", "size").orderBy("range")
-    counted = (
-        drawn.where(cut)
-        .groupBy("source", "size", "range", "more")
-        .agg(F.count("*").alias("here"))
-        .withColumn("before", F.sum("here").over(in_group.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("take", F.least(F.col("here"), F.greatest(F.lit(0), F.col("more") - F.coalesce("before", F.lit(0)))))
-        .select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("range").alias("c_range"), "here", "take")
-    )
+    keys = written(drawn.where(cut).groupBy("source", "size", "range", "more", "draw", "key").agg(F.count("*").alias("alike")), "keys")
+    before = lambda window: F.coalesce(F.sum("here").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = lambda wanted, window: F.least(F.col("here"), F.greatest(F.lit(0), F.col(wanted) - before(window)))
+    counted = keys.groupBy("source", "size", "range", "more").agg(F.sum("alike").alias("here")).withColumn("take", take("more", Window.partitionBy("source", "size").orderBy("range")))
+    counted = counted.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("range").alias("c_range"), "here", "take")
     on = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("range") == F.col("c_range"))
-    placed = drawn.where(cut).join(counted, on)
-    whole = placed.where("take = here or take = 0").withColumn("extra", (F.col("take") > 0).cast("int"))
-    ranked = placed.where("take > 0 and take < here").withColumn(
-        "extra", (F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("draw", "key")) <= F.col("take")).cast("int")
-    )
+    placed = keys.join(counted, on)
+    whole = placed.where("take = here or take = 0").withColumn("own", F.when(F.col("take") > 0, F.col("alike")).otherwise(F.lit(0).cast("long")))
+    ranked = placed.where("take > 0 and take < here").withColumn("here", F.col("alike")).withColumn("own", take("take", Window.partitionBy("source", "size", "range").orderBy("draw", "key")))
+    owned = whole.select("key", "size", "source", "alike", "own").unionByName(ranked.select("key", "size", "source", "alike", "own"))
+    owned = owned.select(F.col("key").alias("o_key"), F.col("size").alias("o_size"), F.col("source").alias("o_source"), "alike", "own")
+    dealt = drawn.where(cut).join(owned, (F.col("key") == F.col("o_key")) & (F.col("size") == F.col("o_size")) & F.col("source").eqNullSafe(F.col("o_source")))
+    settled = dealt.where("own = 0 or own = alike").withColumn("extra", (F.col("own") > 0).cast("int"))
+    # The rows of the one key that the cut goes through are alike: any of them are taken, lot by lot, so that no task has them all.
+    lot = F.pmod(F.xxhash64("row"), F.ceil(F.sqrt("alike")))
+    split = dealt.where("own > 0 and own < alike").withColumn("lot", lot)
+    lots = split.groupBy("o_key", "o_size", "o_source", "lot", "own").agg(F.count("*").alias("here"))
+    lots = lots.withColumn("of_lot", take("own", Window.partitionBy("o_key", "o_size", "o_source").orderBy("lot")))
+    lots = lots.select(F.col("o_key").alias("l_key"), F.col("o_size").alias("l_size"), F.col("o_source").alias("l_source"), F.col("lot").alias("l_lot"), "of_lot")
+    parted = split.join(lots, (F.col("key") == F.col("l_key")) & (F.col("size") == F.col("l_size")) & F.col("source").eqNullSafe(F.col("l_source")) & (F.col("lot") == F.col("l_lot")))
+    parted = parted.withColumn("extra", (F.row_number().over(Window.partitionBy("key", "size", "source", "lot").orderBy("row")) <= F.col("of_lot")).cast("int"))
     simple = drawn.where(~cut).withColumn("extra", (F.col("more") >= F.col("n")).cast("int"))
     columns = ["doc_id", "source", "key", "size", "source_size", "target", (F.col("copies") + F.col("extra")).alias("copies")]
-    return simple.select(*columns).unionByName(whole.select(*columns)).unionByName(ranked.select(*columns))
+    return simple.select(*columns).unionByName(settled.select(*columns)).unionByName(parted.select(*columns))
 
 
 def _orderable(docs: DataFrame) -> bool:
