@@ -74,6 +74,8 @@ def test_redaction_takes_whole_keys(spark):
         ("k = '" + begin + "\\n" + "\\n".join(lines[:9]) + "\\n" + end + "\\n' and more", "k = '[SECRET]\\n' and more"),
         (f"a {begin} and {begin}\n{body}\n{end} b", "a [SECRET] and [SECRET] b"),
         (f"a {begin} in prose only", "a [SECRET] in prose only"),
+        (f"before {begin}\n" + f"{body}\n" * 20 + "prose goes on.", "before [SECRET]\nprose goes on."),
+        (f"before {begin}\n" + "-a-b" * 40 + f"\n{body}\n{end} after", "before [SECRET] after"),
     ]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in s.redact(docs).collect()}

@@ -88,3 +88,9 @@ def test_near_copies_against_exact_similarity(spark):
     first = {min(i for i in groups if groups[i] == g) for g in set(groups.values())}
     assert kept >= {i for i in first} and len(kept) <= len(first) + 2
     assert kept == {r["doc_id"] for r in s.without_near_copies(docs.repartition(7), tile=4096).collect()}
+
+
+def test_rows_whose_columns_run_together_stay_apart(spark):
+    rows = [(1, "a\x1f1b one two three four five six", "en", "s"), (2, "a", "b one two three four five six", "en\x1f1s"), (2, "a", "b one two three four five six", "en\x1f1s"), (3, None, "null", None), (3, "null", None, None)]
+    docs = spark.createDataFrame([(1, *r[1:]) for r in rows[:3]] + [tuple(r) for r in rows[3:]], "doc_id long, text string, lang string, source string")
+    assert s.without_near_copies(docs).count() == 4

@@ -69,9 +69,10 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-# What redact() takes out: of a private key the whole block, up to its END line or, without one, as far as base64 lines go.
-_BODY = r"(?:[\s\\]*(?:Proc-Type|DEK-Info):[^\n\\]*){0,2}(?:[\s\\]*[A-Za-z0-9+/=]{16,}){1,1000}(?:\s*[A-Za-z0-9+/]+={1,2}|\r?\n[A-Za-z0-9+/]{1,15}(?=\s*\n|\s*$))?"
-KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,16}-----END [A-Z ]*PRIVATE KEY-----|" + _BODY + ")?"
+# What redact() takes out: of a private key the whole block, up to its END line or, without one, as far as base64 lines go, however many.
+# Repeats are possessive: they take what they can in a loop, without a step of the stack for each line.
+_BODY = r"(?:[\s\\]*(?:Proc-Type|DEK-Info):[^\n\\]*){0,2}(?:[\s\\]*+[A-Za-z0-9+/=]{16,}+)++(?:\s*[A-Za-z0-9+/]+={1,2}|\r?\n[A-Za-z0-9+/]{1,15}(?=\s*\n|\s*$))?"
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|" + _BODY + ")?"
 REDACTED = tuple(Rule(r.kind, KEY_BLOCK) if r.kind == "private_key" else r for r in RULES)
 
 Clauses = frozenset  # of frozensets of trigrams: an OR of ANDs; a clause without trigrams asks for nothing

@@ -240,9 +240,9 @@ def _wide_compare(radius: int, similarity: float):
 
 
 def _row_digest(docs: DataFrame):
-    """A digest of all columns of a row, the same for rows that are alike."""
-    parts = [F.when(F.col(f"`{c}`").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(f"`{c}`").cast("string"))) for c in docs.columns]
-    return F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
+    """A digest of all columns of a row, the same for rows that are alike; columns are hashed one by one, so no text can stand for two columns."""
+    each = [F.coalesce(F.md5(F.col(f"`{c}`").cast("string").cast("binary")), F.lit("null")) for c in docs.columns]
+    return F.md5(F.concat_ws(",", *each).cast("binary"))
 
 
 def wide_links(distinct: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
