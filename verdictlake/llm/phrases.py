@@ -28,7 +28,9 @@ from ..session import map_batches, ship_package
 from .common import by_bytes, get, new_folder, put, text_bytes, written
 
 #: Bytes of text of a chunk, keys of a block, arrays that are summed at a time, and bytes of blocks that a worker keeps.
-CHUNK, BLOCK, FAN, KEPT = 3 << 20, 200_000, 8, 40 << 20
+CHUNK, BLOCK, FAN, KEPT = 3 << 20, 200_000, 8, 32 << 20
+#: Bytes of texts of all languages that wait for their chunk in a task.
+HELD = 4 * CHUNK
 #: Slots that a mapper counts before it hands its arrays on.
 SLOTS = 2 << 20
 #: Piece ends become a line end, A-Z are lower-cased; no UTF-8 text holds the byte that then marks an end.
@@ -44,30 +46,44 @@ def words_of(text: bytes) -> list[bytes]:
 def _encode(seed: int):
     lists = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
+    def chunk(lang: str, parts: list[bytes]) -> pa.RecordBatch:
+        words = words_of(b"".join(parts))
+        places = {_END: 0}
+        for w in words:
+            if w not in places:
+                places[w] = len(places)
+        ids = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+        del words
+        counts = np.bincount(ids, minlength=len(places))[1:]
+        del places[_END]
+        start = xxhash.xxh64(lang.encode() + _END, seed)
+        keys = np.zeros(len(places), np.uint64)
+        for k, w in enumerate(places):
+            x = start.copy()
+            x.update(w)
+            keys[k] = x.intdigest()
+        columns = [[[w.decode() for w in places]], [keys.view(np.int64)], [counts]]
+        arrays = [pa.array(c, t) for c, t in zip(columns, lists)]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), *arrays, pa.array([ids.tobytes()], pa.binary())], names=["lang", "words", "keys", "counts", "ids"])
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _kept.clear()
+        texts: dict[str, list[bytes]] = {}
+        held: dict[str, int] = {}
         for whole in batches:
-            for batch in by_bytes(whole, 1, CHUNK):
-                texts: dict[str, list[bytes]] = {}
+            for batch in by_bytes(whole, 1, CHUNK // 4):
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     texts.setdefault(lang, []).extend((text, b"\n"))
-                for lang, parts in texts.items():
-                    words = words_of(b"".join(parts))
-                    places = {_END: 0}
-                    for w in words:
-                        if w not in places:
-                            places[w] = len(places)
-                    ids = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-                    counts = np.bincount(ids, minlength=len(places))[1:]
-                    del places[_END]
-                    start = xxhash.xxh64(lang.encode() + _END, seed)
-                    keys = np.zeros(len(places), np.uint64)
-                    for k, w in enumerate(places):
-                        x = start.copy()
-                        x.update(w)
-                        keys[k] = x.intdigest()
-                    columns = [[[w.decode() for w in places]], [keys.view(np.int64)], [counts]]
-                    arrays = [pa.array(c, t) for c, t in zip(columns, lists)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), *arrays, pa.array([ids.tobytes()], pa.binary())], names=["lang", "words", "keys", "counts", "ids"])
+                    held[lang] = held.get(lang, 0) + len(text)
+                for lang in [x for x, n in held.items() if n >= CHUNK]:
+                    del held[lang]
+                    yield chunk(lang, texts.pop(lang))
+                if sum(held.values()) > HELD:  # many languages: the largest goes first
+                    lang = max(held, key=held.get)
+                    del held[lang]
+                    yield chunk(lang, texts.pop(lang))
+        for lang in list(texts):
+            yield chunk(lang, texts.pop(lang))
 
     return encoded
 
@@ -150,6 +166,9 @@ _kept: OrderedDict[str, PerfectHash] = OrderedDict()
 def _block(folder: str, block: int) -> PerfectHash:
     """A block's file; a worker keeps up to KEPT bytes of those it read last."""
     uri = f"{folder}/{block}.npz"
+    for other in [x for x in _kept if not x.startswith(folder)]:  # one table at a time is looked up often
+        if len(_kept) > 8:
+            del _kept[other]
     if uri in _kept:
         _kept.move_to_end(uri)
         return _kept[uri]
