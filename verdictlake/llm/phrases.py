@@ -99,8 +99,9 @@ def _hash(keys: np.ndarray, level: int) -> np.ndarray:
     return x
 
 
-def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return (_hash(keys, 0) >> np.uint64(24)).astype(np.int64) % blocks
+def place_of(keys: np.ndarray) -> np.ndarray:
+    """A place from 0 to 2 ** 31 - 1, of which blocks are ranges."""
+    return (_hash(keys, 0) >> np.uint64(33)).astype(np.int64)
 
 
 class PerfectHash:
@@ -189,7 +190,7 @@ class Table:
         """(block, its hash, places of keys that may be in it)."""
         if not self.blocks or not len(keys):
             return
-        at = block_of(keys, self.blocks)
+        at = place_of(keys) * self.blocks >> 31
         order = np.argsort(at, kind="stable")
         ends = np.searchsorted(at[order], np.arange(self.blocks + 1))
         for block in np.flatnonzero(np.diff(ends)).tolist():
@@ -210,15 +211,11 @@ class Table:
 
 
 def _stored(rows: DataFrame, width: int, n: int, block_keys: int, *more: str) -> Table:
-    """Rows (w0, w1, ... and the columns named in more) as a table of perfect hashes, made by one task a block."""
+    """Rows (w0, w1, ..., place and the columns named in more) as a table of perfect hashes, made by one task a block."""
     spark, names = rows.sparkSession, [f"w{k}" for k in range(width)]
     blocks = -(-n // block_keys)
     folder = new_folder(spark, "phrases")
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of(_keys(batch, width), blocks))], names=[*names, *more, "block"])
-
     def build(table: pa.Table) -> pa.Table:
         block, keys = table.column("block")[0].as_py(), _keys(table, width)
         out = PerfectHash.build(keys)
@@ -230,8 +227,7 @@ def _stored(rows: DataFrame, width: int, n: int, block_keys: int, *more: str) ->
         return pa.table({"block": pa.array([block], pa.int64())})
 
     if blocks:
-        columns = [f"{c} long" for c in (*names, *more, "block")]
-        dealt = map_batches(rows.select(*names, *more), numbered, ", ".join(columns))
+        dealt = rows.select(*names, *more, F.shiftright(F.col("place") * F.lit(blocks), 31).cast("long").alias("block"))
         dealt.groupBy("block").applyInArrow(build, "block long").agg(F.count("*")).first()
     return Table(folder, blocks, width)
 
@@ -279,10 +275,11 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids in _chunks(batches):
             rows, _ = _phrases(width, keys, ids, words, pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*rows.T, place_of(rows))], names=[*names, "place"])
 
     # A chunk names a phrase once, so little would be saved by merging before the shuffle, which holds a task's phrases in memory.
-    candidates = written(map_batches(chunks.select("keys", "ids"), seen, fields).repartition(*names).distinct(), "candidates")
+    parts = max(chunks.count(), 1)
+    candidates = written(map_batches(chunks.select("keys", "ids"), seen, f"{fields}, place long").repartition(parts, "place").distinct(), "candidates")
     n = candidates.count()
     table = _stored(candidates, width, n, block_keys)
 
@@ -316,8 +313,8 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
             for block, slots, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 slots, counts = np.frombuffer(slots, np.int32), np.frombuffer(counts, np.int64)
                 rows = _block(table.folder, block).keys[slots[counts >= least]]
-                columns = [*(np.ascontiguousarray(c) for c in rows.T), counts[counts >= least]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "f"])
+                columns = [*(np.ascontiguousarray(c) for c in rows.T), place_of(rows), counts[counts >= least]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "place", "f"])
 
     if not n:
         return candidates.withColumn("f", F.lit(0).cast("long"))
@@ -331,7 +328,7 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
             map_batches(tree.select("block", "arrays", "part"), _with_part(summed), f"{_SUMS}, part int"), "sums")
         if parts < 1:
             break
-    return written(map_batches(sums, often, f"{fields}, f long"), "often")
+    return written(map_batches(sums, often, f"{fields}, place long, f long"), "often")
 
 
 _SUMS = "block long, slots binary, counts binary"
@@ -376,8 +373,13 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, block_keys:
     ship_package(docs.sparkSession)
     chunks, words = _words(docs)
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = written(words.where(F.col("f") >= least), "frequent")
-    of_words = _stored(frequent.select("w0", "f"), 1, frequent.count(), block_keys, "f")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place_of(_keys(batch, 1)))], names=["w0", "lang", "word", "f", "place"])
+
+    frequent = written(map_batches(words.where(F.col("f") >= least).select("w0", "lang", "word", "f"), placed, "w0 long, lang string, word string, f long, place long"), "frequent")
+    of_words = _stored(frequent.select("w0", "place", "f"), 1, frequent.count(), block_keys, "f")
     pairs = _counted(chunks, 2, of_words, None, least, block_keys)
     of_pairs = _stored(pairs, 2, pairs.count(), block_keys, "f")
     triples = _counted(chunks, 3, of_words, of_pairs, least, block_keys)
