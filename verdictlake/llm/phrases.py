@@ -324,11 +324,11 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
     while True:
         parts = -1 if parts is None else parts // FAN
         tree = sums.groupBy("block", F.expr(f"part div {FAN}").cast("int").alias("part")).agg(F.collect_list(F.struct("slots", "counts")).alias("arrays"))
-        sums = map_batches(tree.select("block", "arrays"), summed, _SUMS) if parts < 1 else written(
-            map_batches(tree.select("block", "arrays", "part"), _with_part(summed), f"{_SUMS}, part int"), "sums")
+        # Written each time: two Python steps in one stage would take two workers a core, which stay.
+        sums = written(map_batches(tree.select("block", "arrays", "part"), _with_part(summed), f"{_SUMS}, part int"), "sums")
         if parts < 1:
             break
-    return written(map_batches(sums, often, f"{fields}, place long, f long"), "often")
+    return written(map_batches(sums.select("block", "slots", "counts"), often, f"{fields}, place long, f long"), "often")
 
 
 _SUMS = "block long, slots binary, counts binary"
