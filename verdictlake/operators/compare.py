@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .ranking import joined
 
 
 def deltas(metrics: DataFrame, system: str, baseline: str, columns: list[str]) -> DataFrame:
@@ -37,7 +38,7 @@ def error_taxonomy(df: DataFrame, by: list[str]) -> DataFrame:
     """by, gold, predicted, n and the share among the gold label's rows; correct rows left out."""
     counts = df.groupBy(*by, "gold", "predicted").agg(F.count("*").alias("n"))
     total = df.groupBy(*by, "gold").agg(F.count("*").alias("of"))
-    return counts.where("gold <> predicted").join(total, [*by, "gold"]).select(*by, "gold", "predicted", "n", (F.col("n") / F.col("of")).alias("share"))
+    return joined(counts.where("gold <> predicted"), total, [*by, "gold"]).select(*by, "gold", "predicted", "n", (F.col("n") / F.col("of")).alias("share"))
 
 
 def unpivot_metrics(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..schemas import PAIRWISE
 from ..session import map_batches
+from .ranking import joined
 
 
 def with_derived(df: DataFrame, labels=PAIRWISE) -> DataFrame:
@@ -100,14 +101,14 @@ def summary_by_sets(df: DataFrame, sets: list[str]) -> DataFrame:
 
 
 def kappa(df: DataFrame, first: str, second: str, by: list[str]) -> DataFrame:
-    """Cohen's kappa of two label columns, from their joint counts; 1 where chance agreement is complete."""
+    """Cohen's kappa of two label columns, from their joint counts; 1 where chance agreement is complete. Null is a label and a group like others."""
     joint = df.groupBy(*by, F.col(first).alias("x"), F.col(second).alias("y")).agg(F.count("*").alias("c"))
-    n = joint.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)).alias("agree"))
+    n = joint.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("x").eqNullSafe(F.col("y")), F.col("c")).otherwise(0)).alias("agree"))
     xs = joint.groupBy(*by, F.col("x").alias("label")).agg(F.sum("c").alias("nx"))
     ys = joint.groupBy(*by, F.col("y").alias("label")).agg(F.sum("c").alias("ny"))
-    chance = xs.join(ys, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("nx").cast("double") * F.col("ny")).alias("chance"))
+    chance = joined(xs, ys, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("nx").cast("double") * F.col("ny")).alias("chance"))
     po, pe = F.col("agree") / F.col("n"), F.coalesce(F.col("chance"), F.lit(0.0)) / (F.col("n").cast("double") * F.col("n"))
-    return n.join(chance, by, "left").select(*by, "n", po.alias("agreement"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
+    return (joined(n, chance, by, "left") if by else n.crossJoin(chance)).select(*by, "n", po.alias("agreement"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
 def seed_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

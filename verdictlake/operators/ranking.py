@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
+
+
+def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df.join(other, keys, how) for inner and left joins in which a null key meets a null key."""
+    renamed = other.select(*(F.col(k).alias(f"_other_{k}") if k in keys else F.col(k) for k in other.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return df.join(renamed, on, how).drop(*(f"_other_{k}" for k in keys))
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
@@ -54,15 +62,41 @@ def risk_coverage(df: DataFrame, rates: tuple[float, ...] = (0.05, 0.10, 0.20, 0
 
 
 def deduplicate(df: DataFrame, keys: list[str], ordinal: str) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key in the order of ordinal, and the removed rows with the one that stayed in ``kept_by``.
+    """The first row of each key in the order of ordinal, and the removed rows with the one that stayed in ``kept_by``. Null is a key like others.
 
     The first ordinal of a key is aggregated before the shuffle, so a key that a third of the rows share costs one row a task.
     """
     first = df.groupBy(*keys).agg(F.min(ordinal).alias("kept_by"))
-    marked = df.join(first, keys)
+    marked = joined(df, first, keys)
     return marked.where(F.col(ordinal) == F.col("kept_by")).drop("kept_by"), marked.where(F.col(ordinal) > F.col("kept_by"))
 
 
+def deduplicate_either(df: DataFrame, first: list, second: list, ordinal: str, names: tuple[str, str] = ("duplicate_id", "duplicate_content")) -> tuple[DataFrame, DataFrame]:
+    """Rows that share neither key with an earlier row that stays, and the others with ``reasons`` (names of the keys that they share with one).
+
+    first and second are lists of columns or names, ordinal tells rows apart and orders them; nulls are values like
+    others. What one pass in order would do is done in rounds: a row stays if it is the first one open in both its groups, rows that
+    share a key with it go, and the rest stay open. Firsts are aggregated before the shuffle, and every round settles at least the chains' heads.
+    """
+    part = lambda c: F.col(c) if isinstance(c, str) else c
+    key = lambda parts: F.sha2(F.to_json(F.struct(*(F.coalesce(F.concat(F.lit("="), part(c).cast("string")), F.lit("-")).alias(f"k{i}") for i, c in enumerate(parts)))).cast("binary"), 256)
+    rows = stored(df.select(F.col(ordinal).alias("o"), key(first).alias("a"), key(second).alias("b")), "rows")
+    open_, stay = rows, None
+    while True:
+        heads = open_.join(open_.groupBy("a").agg(F.min("o").alias("x")), "a").join(open_.groupBy("b").agg(F.min("o").alias("y")), "b")
+        new = stored(heads.where("o = x and o = y").select("o", "a", "b"), "kept")
+        stay = new if stay is None else stay.unionByName(new)
+        open_ = stored(open_.join(new.select("a"), "a", "left_anti").join(new.select("b"), "b", "left_anti").select("o", "a", "b"), "open")
+        if not open_.limit(1).count():
+            break
+    told = rows.join(stay.select("a", F.col("o").alias("by_a")), "a", "left").join(stay.select("b", F.col("o").alias("by_b")), "b", "left")
+    early = lambda c: F.coalesce(F.col(c) < F.col("o"), F.lit(False))
+    reasons = F.array_compact(F.array(*(F.when(early(c), n) for c, n in zip(("by_a", "by_b"), names))))
+    told = told.select(F.col("o").alias("_o"), reasons.alias("reasons"))
+    marked = df.join(told, F.col(ordinal) == F.col("_o")).drop("_o")
+    return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
+
+
 def duplicate_counts(df: DataFrame, keys: dict[str, list]) -> DataFrame:
     """name, rows, distinct keys and duplicates of each set of key expressions."""
     out = None
@@ -111,7 +145,7 @@ def stratified_draw(df: DataFrame, stratum: str, identity: str, total: int) -> D
     """Exactly total rows (all if there are fewer), strata in proportion, within a stratum by the hash of the identity."""
     takes = F.broadcast(largest_remainder(df, stratum, total))  # a row for each stratum
     w = Window.partitionBy(stratum).orderBy(T.stable_sha1(identity), identity)
-    return df.withColumn("rank", F.row_number().over(w)).join(takes, stratum).where(F.col("rank") <= F.col("take")).drop("n", "take")
+    return joined(df.withColumn("rank", F.row_number().over(w)), takes, [stratum]).where(F.col("rank") <= F.col("take")).drop("n", "take")
 
 
 def round_robin(df: DataFrame, label: str, identity: str, n: int) -> DataFrame:

@@ -80,6 +80,25 @@ def content_dedup_kept(spark, sf_dir):
     return ranking.deduplicate(d, ["content"], "doc_id")[0].select("doc_id", "content")
 
 
+@query(
+    "dedup_either",
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, coalesce(source, '-') || n_chars AS a, md5(coalesce(text, '')) AS b FROM documents
+), pass AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen_a, []::VARCHAR[] AS seen_b, NULL::BIGINT AS doc_id, NULL::VARCHAR AS reasons
+  UNION ALL
+  SELECT i, CASE WHEN same_a OR same_b THEN seen_a ELSE list_append(seen_a, a) END, CASE WHEN same_a OR same_b THEN seen_b ELSE list_append(seen_b, b) END, doc_id,
+    concat_ws(';', CASE WHEN same_a THEN 'duplicate_id' END, CASE WHEN same_b THEN 'duplicate_content' END)
+  FROM (SELECT o.*, p.seen_a, p.seen_b, list_contains(p.seen_a, o.a) AS same_a, list_contains(p.seen_b, o.b) AS same_b FROM pass p JOIN o ON o.i = p.i + 1)
+)
+SELECT doc_id, reasons FROM pass WHERE reasons <> ''""",
+)
+def dedup_either(spark, sf_dir):
+    """Documents that an earlier one which stays matches in source and length, or in text."""
+    d = table(spark, sf_dir, "documents")
+    gone = ranking.deduplicate_either(d, ["source", "n_chars"], [F.md5(F.coalesce("text", F.lit("")).cast("binary"))], "doc_id")[1]
+    return gone.select("doc_id", F.array_join("reasons", ";").alias("reasons"))
+
+
 @query(
     "content_dedup_removed",
     "SELECT doc_id, content, kept_by FROM (SELECT doc_id, md5(coalesce(text, '')) AS content, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS kept_by FROM documents) WHERE doc_id > kept_by",
