@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import map_batches, ship_package
-from .common import by_bytes, get, new_folder, put, text_bytes, written
+from .common import arrow_rows, by_bytes, get, new_folder, put, text_bytes, written
 
 #: Bytes of text of a chunk, keys of a block, arrays that are summed at a time, and bytes of blocks that a worker keeps.
-CHUNK, BLOCK, FAN, KEPT = 3 << 20, 200_000, 8, 32 << 20
+CHUNK, BLOCK, FAN, KEPT = 2 << 20, 200_000, 8, 32 << 20
+#: Chunks, and texts, that a worker gets at a time.
+CHUNKS_AT_ONCE, TEXTS_AT_ONCE = 2, 1000
 #: Bytes of texts of all languages that wait for their chunk in a task.
 HELD = 4 * CHUNK
 #: Slots that a mapper counts before it hands its arrays on.
@@ -278,8 +280,10 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*rows.T, place_of(rows))], names=[*names, "place"])
 
     # A chunk names a phrase once, so little would be saved by merging before the shuffle, which holds a task's phrases in memory.
-    parts = max(chunks.count(), 1)
-    candidates = written(map_batches(chunks.select("keys", "ids"), seen, f"{fields}, place long").repartition(parts, "place").distinct(), "candidates")
+    spark = chunks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
+    with arrow_rows(spark, CHUNKS_AT_ONCE):
+        candidates = written(map_batches(chunks.select("keys", "ids"), seen, f"{fields}, place long").repartition(parts, "place").distinct(), "candidates")
     n = candidates.count()
     table = _stored(candidates, width, n, block_keys)
 
@@ -319,7 +323,8 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
     if not n:
         return candidates.withColumn("f", F.lit(0).cast("long"))
     sums = map_batches(chunks.select("keys", "ids"), counted, _SUMS)
-    sums = written(sums.withColumn("part", F.spark_partition_id()), "sums")
+    with arrow_rows(spark, CHUNKS_AT_ONCE):
+        sums = written(sums.withColumn("part", F.spark_partition_id()), "sums")
     parts = sums.agg(F.max("part")).first()[0]
     while True:
         parts = -1 if parts is None else parts // FAN
@@ -354,7 +359,8 @@ def _words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The chunks, and (key, lang, word, f) of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_bytes().alias("_text"))
     for seed in range(64):
-        chunks = written(map_batches(texts, _encode(seed), "lang string, words array<string>, keys array<long>, counts array<long>, ids binary"), "chunks")
+        with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+            chunks = written(map_batches(texts, _encode(seed), "lang string, words array<string>, keys array<long>, counts array<long>, ids binary"), "chunks")
         each = chunks.select("lang", F.explode(F.arrays_zip("words", "keys", "counts")).alias("x")).select("lang", "x.words", "x.keys", "x.counts")
         told = F.struct("lang", F.col("words").alias("word"))
         words = written(each.groupBy(F.col("keys").alias("w0")).agg(F.min(told).alias("told"), F.max(told).alias("other"), F.sum("counts").alias("f")), "words")
