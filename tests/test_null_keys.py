@@ -38,3 +38,15 @@ def test_null_keys_stay_in_every_operator(spark):
     both = df.select("k", "label", F.col("label").alias("again"))
     assert {r.k: (r.n, r.agreement) for r in metrics.kappa(both, "label", "again", ["k"]).collect()} == {None: (2, 1.0), "a": (2, 1.0), "b": (1, 1.0)}
     assert metrics.kappa(both, "label", "again", []).first().agreement == 1.0
+
+
+def test_hash_ranks_equal_a_sort(spark):
+    import hashlib
+
+    rows = [(i, None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string").repartition(6)
+    got = {r.id: (r["rank"], r.group_size) for r in ranking.hash_ranked(df, ["g"], "id").collect()}
+    for g in {g for _, g in rows}:
+        own = sorted((i for i, x in rows if x == g), key=lambda i: (hashlib.sha1(str(i).encode()).hexdigest(), i))
+        assert [got[i] for i in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
+    assert ranking.hash_ranked(df.where("false"), ["g"], "id").count() == 0

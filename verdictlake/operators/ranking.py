@@ -20,6 +20,23 @@ def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
     return df.join(renamed, on, how).drop(*(f"_other_{k}" for k in keys))
 
 
+def hash_ranked(df: DataFrame, group: list[str], identity: str, rank: str = "rank", size: str = "group_size") -> DataFrame:
+    """df with each row's rank in its group by the hash of identity (ties by identity), from 1, and the group's size.
+
+    A group of n rows is counted in sqrt(n) ranges of the hash, the counts are added up over the ranges, and rows are ranked
+    within their range: no task holds a group. identity tells rows apart; null is a group like others.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").alias(size))
+    rows = joined(df, sizes, group).withColumn("_h", T.stable_sha1(identity))
+    part = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    rows = rows.withColumn("_range", F.floor(part * F.ceil(F.sqrt(size))).cast("long"))
+    counts = rows.groupBy(*group, "_range").agg(F.count("*").alias("_here"))
+    before = F.sum("_here").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_here")
+    within = F.row_number().over(Window.partitionBy(*group, "_range").orderBy("_h", identity))
+    return joined(rows, counts, [*group, "_range"]).withColumn(rank, F.col("_before") + within).drop("_h", "_range", "_before")
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group in the given order, with their rank. Spark limits groups before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -123,9 +140,7 @@ def group_splits(df: DataFrame, group: str, stratum: str, train: float = 0.70, d
     """
     counts = df.groupBy(group, stratum).agg(F.count("*").alias("c"))
     dominant = counts.groupBy(group).agg(F.min(F.struct((-F.col("c")).alias("c"), F.col(stratum).alias("s"))).alias("m")).select(group, F.col("m.s").alias("stratum"))
-    order = dominant.withColumn("h", T.stable_sha1(group))
-    w = Window.partitionBy("stratum")
-    placed = order.withColumn("k", F.row_number().over(w.orderBy("h", group)) - 1).withColumn("n", F.count("*").over(w))
+    placed = hash_ranked(dominant, ["stratum"], group, "k", "n").withColumn("k", F.col("k") - 1)
     cut1, cut2 = F.floor(F.col("n") * train + 0.5), F.floor(F.col("n") * (train + dev) + 0.5)
     return placed.select(group, "stratum", F.when(F.col("k") < cut1, "train").when(F.col("k") < cut2, "dev").otherwise("test").alias("split"))
 
@@ -144,8 +159,8 @@ def largest_remainder(df: DataFrame, stratum: str, total: int) -> DataFrame:
 def stratified_draw(df: DataFrame, stratum: str, identity: str, total: int) -> DataFrame:
     """Exactly total rows (all if there are fewer), strata in proportion, within a stratum by the hash of the identity."""
     takes = F.broadcast(largest_remainder(df, stratum, total))  # a row for each stratum
-    w = Window.partitionBy(stratum).orderBy(T.stable_sha1(identity), identity)
-    return joined(df.withColumn("rank", F.row_number().over(w)), takes, [stratum]).where(F.col("rank") <= F.col("take")).drop("n", "take")
+    ranked = hash_ranked(df, [stratum], identity).drop("group_size")
+    return joined(ranked, takes, [stratum]).where(F.col("rank") <= F.col("take")).drop("n", "take")
 
 
 def round_robin(df: DataFrame, label: str, identity: str, n: int) -> DataFrame:

@@ -79,5 +79,7 @@ def corpus(frames: list[DataFrame], quotas: dict[str, int] | None = None) -> Dat
         limits = F.coalesce(*(F.when(F.col("language") == k, n) for k, n in quotas.items()), F.lit(0))
         from pyspark.sql import Window
 
-        kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy("language").orderBy("id"))).where(F.col("_r") <= limits).drop("_r")
+        # The largest quota as a fixed number: Spark then limits every task's rows of a language before they meet.
+        ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy("language").orderBy("id"))).where(F.col("_r") <= max(quotas.values()))
+        kept = ranked.where(F.col("_r") <= limits).drop("_r")
     return ranking.hash_splits(kept, ["source", "group_key"], 1000, 700, 850)
