@@ -28,7 +28,9 @@ from ..session import map_batches, ship_package
 from .common import arrow_rows, by_bytes, get, new_folder, put, text_bytes, written
 
 #: Bytes of text of a chunk, keys of a block, arrays that are summed at a time, and bytes of blocks that a worker keeps.
-CHUNK, BLOCK, FAN, KEPT = 2 << 20, 200_000, 8, 32 << 20
+CHUNK, BLOCK, FAN, KEPT = 3 << 20, 200_000, 8, 32 << 20
+#: Phrases that a task merges before it sends them on.
+PHRASES = 1_500_000
 #: Chunks, and texts, that a worker gets at a time.
 CHUNKS_AT_ONCE, TEXTS_AT_ONCE = 2, 1000
 #: Bytes of texts of all languages that wait for their chunk in a task.
@@ -102,8 +104,21 @@ def _hash(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 def place_of(keys: np.ndarray) -> np.ndarray:
-    """A place from 0 to 2 ** 31 - 1, of which blocks are ranges."""
-    return (_hash(keys, 0) >> np.uint64(33)).astype(np.int64)
+    """A place from 0 to 2 ** 31 - 1, of which blocks are ranges: the keys, which are hashes, turned by 21 bits each and mixed."""
+    x = np.zeros(len(keys), np.uint64)
+    for k, column in enumerate(keys.T):
+        w = column.view(np.uint64)
+        x ^= (w << np.uint64(21 * k)) | (w >> np.uint64(64 - 21 * k)) if k else w
+    return (x >> np.uint64(33)).astype(np.int64)
+
+
+def place(width: int):
+    """place_of() as a column."""
+    turned = lambda w, n: F.shiftleft(w, n).bitwiseOR(F.shiftrightunsigned(w, 64 - n)) if n else w
+    x = F.col("w0")
+    for k in range(1, width):
+        x = x.bitwiseXOR(turned(F.col(f"w{k}"), 21 * k))
+    return F.shiftrightunsigned(x, 33)
 
 
 class PerfectHash:
@@ -213,7 +228,7 @@ class Table:
 
 
 def _stored(rows: DataFrame, width: int, n: int, block_keys: int, *more: str) -> Table:
-    """Rows (w0, w1, ..., place and the columns named in more) as a table of perfect hashes, made by one task a block."""
+    """Rows (w0, w1, ... and the columns named in more) as a table of perfect hashes, made by one task a block."""
     spark, names = rows.sparkSession, [f"w{k}" for k in range(width)]
     blocks = -(-n // block_keys)
     folder = new_folder(spark, "phrases")
@@ -229,7 +244,7 @@ def _stored(rows: DataFrame, width: int, n: int, block_keys: int, *more: str) ->
         return pa.table({"block": pa.array([block], pa.int64())})
 
     if blocks:
-        dealt = rows.select(*names, *more, F.shiftright(F.col("place") * F.lit(blocks), 31).cast("long").alias("block"))
+        dealt = rows.select(*names, *more, F.shiftright(place(width) * F.lit(blocks), 31).cast("long").alias("block"))
         dealt.groupBy("block").applyInArrow(build, "block long").agg(F.count("*")).first()
     return Table(folder, blocks, width)
 
@@ -263,6 +278,14 @@ def _phrases(width: int, keys: np.ndarray, ids: np.ndarray, words: Table, pairs:
     return np.column_stack([rows[unique3 // n], keys[unique3 % n - 1]]).reshape(-1, 3), counts
 
 
+def _different(found: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Rows of keys, each once."""
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort(rows.T)]
+    rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))] if len(rows) else rows
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -275,15 +298,20 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
     fields = ", ".join(f"{c} long" for c in names)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for keys, ids in _chunks(batches):
-            rows, _ = _phrases(width, keys, ids, words, pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*rows.T, place_of(rows))], names=[*names, "place"])
+            found.append(_phrases(width, keys, ids, words, pairs)[0])
+            held += len(found[-1])
+            if held >= PHRASES:
+                yield _different(found, names)
+                found, held = [], 0
+        if found:
+            yield _different(found, names)
 
-    # A chunk names a phrase once, so little would be saved by merging before the shuffle, which holds a task's phrases in memory.
     spark = chunks.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
-    with arrow_rows(spark, CHUNKS_AT_ONCE):
-        candidates = written(map_batches(chunks.select("keys", "ids"), seen, f"{fields}, place long").repartition(parts, "place").distinct(), "candidates")
+    with arrow_rows(spark, CHUNKS_AT_ONCE):  # merged in the mapper and after the shuffle: not in between, where a task's phrases would be held again
+        candidates = written(map_batches(chunks.select("keys", "ids"), seen, fields).repartition(parts, *names).distinct(), "candidates")
     n = candidates.count()
     table = _stored(candidates, width, n, block_keys)
 
@@ -317,8 +345,8 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
             for block, slots, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 slots, counts = np.frombuffer(slots, np.int32), np.frombuffer(counts, np.int64)
                 rows = _block(table.folder, block).keys[slots[counts >= least]]
-                columns = [*(np.ascontiguousarray(c) for c in rows.T), place_of(rows), counts[counts >= least]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "place", "f"])
+                columns = [*(np.ascontiguousarray(c) for c in rows.T), counts[counts >= least]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "f"])
 
     if not n:
         return candidates.withColumn("f", F.lit(0).cast("long"))
@@ -333,7 +361,7 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
         sums = written(map_batches(tree.select("block", "arrays", "part"), _with_part(summed), f"{_SUMS}, part int"), "sums")
         if parts < 1:
             break
-    return written(map_batches(sums.select("block", "slots", "counts"), often, f"{fields}, place long, f long"), "often")
+    return written(map_batches(sums.select("block", "slots", "counts"), often, f"{fields}, f long"), "often")
 
 
 _SUMS = "block long, slots binary, counts binary"
@@ -379,13 +407,8 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, block_keys:
     ship_package(docs.sparkSession)
     chunks, words = _words(docs)
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place_of(_keys(batch, 1)))], names=["w0", "lang", "word", "f", "place"])
-
-    frequent = written(map_batches(words.where(F.col("f") >= least).select("w0", "lang", "word", "f"), placed, "w0 long, lang string, word string, f long, place long"), "frequent")
-    of_words = _stored(frequent.select("w0", "place", "f"), 1, frequent.count(), block_keys, "f")
+    frequent = written(words.where(F.col("f") >= least), "frequent")
+    of_words = _stored(frequent.select("w0", "f"), 1, frequent.count(), block_keys, "f")
     pairs = _counted(chunks, 2, of_words, None, least, block_keys)
     of_pairs = _stored(pairs, 2, pairs.count(), block_keys, "f")
     triples = _counted(chunks, 3, of_words, of_pairs, least, block_keys)
