@@ -2,7 +2,7 @@
 
 Texts are cut once; chunks of about CHUNK bytes keep the keys of their words and 4-byte places in
 that list. Candidates are Apriori-safe: pairs of words that are both frequent, triples of which both
-pairs are. They are dealt by hash into blocks of about BLOCK keys, and a task makes of each block a
+pairs are, and only those whose hash's place has enough occurrences of all phrases there. They are dealt by hash into blocks of about BLOCK keys, and a task makes of each block a
 minimal perfect hash (levels of bits, where keys that share a place go on to the next level) with
 the keys stored by slot, which tells candidates from others. Mappers look their phrases up, add
 them into numpy arrays by slot, and hand on what is not zero; the arrays of a block are summed in
@@ -292,15 +292,99 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield batch.column(0)[k].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(1)[k].as_buffer(), np.int32)
 
 
+_places: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+class Filter:
+    """Places of which the phrases occur often enough together, in a file for each range; phrases elsewhere can't."""
+
+    def __init__(self, folder: str, ranges: int):
+        self.folder, self.ranges = folder, ranges
+
+    def passes(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), bool)
+        if not len(rows):
+            return out
+        place = place_of(rows)
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order] * self.ranges >> 31, np.arange(self.ranges + 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            at, often = order[ends[k] : ends[k + 1]], self._range(k)
+            if len(often):
+                where = np.minimum(np.searchsorted(often, place[at]), len(often) - 1)
+                out[at] = often[where] == place[at]
+        return out
+
+    def _range(self, k: int) -> np.ndarray:
+        uri = f"{self.folder}/{k}"
+        if uri not in _places:
+            try:
+                _places[uri] = np.frombuffer(get(uri), np.uint32)
+            except FileNotFoundError:  # no phrase fell into this range
+                _places[uri] = np.zeros(0, np.uint32)
+            held = sum(x.nbytes for x in _places.values())
+            while held > KEPT and len(_places) > 1:
+                held -= _places.popitem(last=False)[1].nbytes
+        return _places[uri]
+
+
+def _filtered(chunks: DataFrame, width: int, words: Table, pairs: Table | None, least: int, ranges: int) -> Filter:
+    """What phrases of one place count together bounds each of them, so places below ``least`` leave no candidate. Counts travel packed, cut at least."""
+    spark = chunks.sparkSession
+    folder, kind = new_folder(spark, "places"), np.dtype(np.uint8 if least < 256 else np.uint32)
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        place, counts = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(place, kind="stable")
+        place, counts = place[order], np.minimum(counts[order], least).astype(kind)
+        at = np.searchsorted(place * ranges >> 31, np.arange(ranges + 1))
+        used = np.flatnonzero(np.diff(at))
+        place = place.astype(np.uint32)
+        columns = [[x[at[k] : at[k + 1]].tobytes() for k in used] for x in (place, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "places", "counts"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for keys, ids in _chunks(batches):
+            rows, counts = _phrases(width, keys, ids, words, pairs)
+            found.append((place_of(rows), counts))
+            held += len(rows)
+            if held >= PHRASES:
+                yield packed(found)
+                found, held = [], 0
+        if held:
+            yield packed(found)
+
+    def often(table: pa.Table) -> pa.Table:
+        k = table.column("range")[0].as_py()
+        place = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("places").to_pylist()])
+        counts = np.concatenate([np.frombuffer(b, kind) for b in table.column("counts").to_pylist()])
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        put(f"{folder}/{k}", place[start[np.add.reduceat(counts[order].astype(np.int64), start) >= least]].tobytes())
+        return pa.table({"range": pa.array([k], pa.int64())})
+
+    with arrow_rows(spark, CHUNKS_AT_ONCE):
+        sent = map_batches(chunks.select("keys", "ids"), hashed, "range long, places binary, counts binary")
+        sent.groupBy("range").applyInArrow(often, "range long").agg(F.count("*")).first()
+    return Filter(folder, ranges)
+
+
 def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, least: int, block_keys: int) -> DataFrame:
     """(w0, w1, ..., f) of all phrases of width words that occur at least ``least`` times."""
     names = [f"w{k}" for k in range(width)]
     fields = ", ".join(f"{c} long" for c in names)
 
+    spark = chunks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
+    able = _filtered(chunks, width, words, pairs, least, parts)
+
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for keys, ids in _chunks(batches):
-            found.append(_phrases(width, keys, ids, words, pairs)[0])
+            rows, _ = _phrases(width, keys, ids, words, pairs)
+            found.append(rows[able.passes(rows)])
             held += len(found[-1])
             if held >= PHRASES:
                 yield _different(found, names)
@@ -308,8 +392,6 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
         if found:
             yield _different(found, names)
 
-    spark = chunks.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
     with arrow_rows(spark, CHUNKS_AT_ONCE):  # merged in the mapper and after the shuffle: not in between, where a task's phrases would be held again
         candidates = written(map_batches(chunks.select("keys", "ids"), seen, fields).repartition(parts, *names).distinct(), "candidates")
     n = candidates.count()
@@ -319,6 +401,8 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
         sums: dict[int, np.ndarray] = {}
         for keys, ids in _chunks(batches):
             rows, counts = _phrases(width, keys, ids, words, pairs)
+            fit = able.passes(rows)
+            rows, counts = rows[fit], counts[fit]
             for block, found, at in table.each_block(rows):
                 slots = found.lookup(rows[at])
                 own = sums.setdefault(block, np.zeros(len(found.keys), np.int64))
