@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -22,10 +23,13 @@ def test_stages_against_their_operators(spark, small):
 
     second = c.STAGES[1][1](spark, first, small)
     fps = {i: simhash_dedup.wide_fingerprint((texts[i]["text"] or "").encode()) for i in want}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[i]["text"] or "")) for i in want}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
 
     def near(i, j):
-        (_, n, x), (_, m, y) = fps[i], fps[j]
-        return int(np.bitwise_count(x ^ y).sum()) <= simhash_dedup.WIDE_RADIUS and min(n, m) >= 0.8 * max(n, m)
+        (_, _, x), (_, _, y) = fps[i], fps[j]
+        a, b = shingles[i], shingles[j]
+        return int(np.bitwise_count(x ^ y).sum()) <= simhash_dedup.WIDE_RADIUS and len(a & b) >= 0.8 * len(a | b)
 
     label = {i: i for i in want}
     links = {i: [j for j in want if near(i, j)] for i in want}

@@ -94,3 +94,40 @@ def test_rows_whose_columns_run_together_stay_apart(spark):
     rows = [(1, "a\x1f1b one two three four five six", "en", "s"), (2, "a", "b one two three four five six", "en\x1f1s"), (2, "a", "b one two three four five six", "en\x1f1s"), (3, None, "null", None), (3, "null", None, None)]
     docs = spark.createDataFrame([(1, *r[1:]) for r in rows[:3]] + [tuple(r) for r in rows[3:]], "doc_id long, text string, lang string, source string")
     assert s.without_near_copies(docs).count() == 4
+
+
+def test_near_copies_are_those_of_the_shingles(spark):
+    """Copies of every similarity around 0.8, in chains, against a plain comparison of all pairs; many blocks and one."""
+    rng, texts = random.Random(31), []
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    for _ in range(110):
+        text = [word() for _ in range(rng.randint(20, 300))]
+        texts.append(text)
+        for _ in range(rng.randint(1, 4)):
+            text = list(rng.choice([text, texts[-1]]))
+            for _ in range(max(1, int(len(text) * rng.uniform(0.005, 0.04)))):
+                text[rng.randrange(len(text))] = word()
+            texts.append(text)
+    texts += [[], ["one"], ["one", "two"], ["One"]]
+    sets = [{tuple(w.lower() for w in t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    near = np.zeros((len(texts), len(texts)), bool)
+    prints = [s.wide_fingerprint(" ".join(t).encode())[2] for t in texts]
+    sure = missed = 0
+    for i in range(len(texts)):
+        for j in range(i + 1):
+            union = len(sets[i] | sets[j])
+            if union == 0 or len(sets[i] & sets[j]) / union >= 0.8:
+                found = int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= s.WIDE_RADIUS
+                near[i, j] = near[j, i] = found
+                sure, missed = sure + (i != j), missed + (not found)
+    assert sure > 80 and missed <= sure // 50
+    label = np.arange(len(texts))
+    while True:
+        after = np.where(near, label[None, :], len(texts)).min(1)
+        if (after == label).all():
+            break
+        label = after
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for block in (s.BLOCK, 4000):
+        kept = {r["doc_id"] for r in s.without_near_copies(docs, block=block).collect()}
+        assert kept == {i for i in range(len(texts)) if label[i] == i}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_batches
-from .common import free_names, text_bytes, written
+from .common import arrow_rows, free_names, text_bytes, written
 from .components import components, forest
 
 #: Fingerprints that a tile should hold, and cells of a comparison that are held at a time.
@@ -157,12 +157,14 @@ def hexadecimal(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-# Near copies of a given similarity: the same comparison over wider fingerprints, whose distance tells a similarity of 0.8 from chance.
+# Near copies of a given similarity: the same comparison over wider fingerprints finds what may be near, the shingles themselves decide.
 
 #: Words of a fingerprint, and bits that may differ: documents that share 0.8 of all their shingles differ in 39 of 256 on average, with a deviation of 6.
-WORDS, WIDE_RADIUS = 4, 46
+WORDS, WIDE_RADIUS = 4, 54
 #: Population counts that a band of tiles covers.
 BAND = 32
+#: Bytes of shingles' hashes in a block of texts that are compared by their shingles, a text at least.
+BLOCK = 2 << 20
 _ITEM = np.dtype([("same", "S16"), ("n", "<u4"), ("fp", "<u8", (WORDS,))])
 
 
@@ -178,19 +180,34 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(text: bytes, shingle_words: int = 5, seed: int = 42) -> tuple[bytes, int, np.ndarray]:
-    """A digest of the lower-cased words, the number of different shingles, and the fingerprint; zeros without words."""
+def shingle_hashes(text: bytes, shingle_words: int = 5, seed: int = 42) -> tuple[bytes, np.ndarray]:
+    """A digest of the lower-cased words, and the sorted hashes of the different shingles; none without words."""
     words = text.lower().split()
-    same = xxhash.xxh3_128_digest(b" ".join(words))
+    same, digest = xxhash.xxh3_128_digest(b" ".join(words)), xxhash.xxh64_intdigest
     if not words:
-        return same, 0, np.zeros(WORDS, "<u8")
+        return same, np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))) if len(words) > shingle_words else [b" ".join(words)]
-    n, counts, digest = max(1, len(words) - shingle_words + 1), np.zeros(64 * WORDS, np.int64), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
-    for start in range(0, n, 16384):
+    return same, np.unique(np.fromiter((digest(s, seed) for s in shingles), np.uint64, max(1, len(words) - shingle_words + 1)))
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    counts = np.zeros(64 * WORDS, np.int64)
+    for start in range(0, len(hashes), 16384):
         bits = np.unpackbits(_spread(hashes[start : start + 16384]).view(np.uint8), bitorder="little")
         counts += bits.reshape(-1, 64 * WORDS).sum(0, dtype=np.uint16)
-    return same, len(np.unique(hashes)), np.packbits(2 * counts > n, bitorder="little").view("<u8")
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: bytes, shingle_words: int = 5, seed: int = 42) -> tuple[bytes, int, np.ndarray]:
+    """A digest of the lower-cased words, the number of different shingles, and their fingerprint; zeros without words."""
+    same, hashes = shingle_hashes(text, shingle_words, seed)
+    return same, len(hashes), _wide(hashes)
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of two texts' shingles that both have, by their sorted hashes; 1 if neither has any."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / union if (union := len(x) + len(y) - both) else 1.0
 
 
 def _kind(n: int, ones: int, similarity: float) -> int:
@@ -271,11 +288,96 @@ def wide_links(distinct: DataFrame, radius: int, similarity: float, tile: int) -
     return map_batches(pairs.unionByName(within), _wide_compare(radius, similarity), "a binary, b binary")
 
 
-def without_near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = WIDE_RADIUS, shingle_words: int = 5, tile: int = TILE) -> DataFrame:
+def _verify_hubs(similarity: float):
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, hubs = batch.column("grams"), batch.column("hub")
+            near = [jaccard(np.frombuffer(g.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)) >= similarity for g, h in zip(grams, hubs)]
+            columns = [batch.column(c) for c in ("root", "same", "item", "grams")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(near, pa.bool_())], names=["root", "same", "item", "grams", "settled"])
+
+    return verified
+
+
+def _verify_blocks(radius: int, similarity: float):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                here, there = (batch.column(c)[k].values for c in ("residents", "visitors"))
+                x, y = (np.frombuffer(b"".join(t.field("item").to_pylist()), _ITEM) for t in (here, there))
+                settled, own = here.field("settled").to_pylist(), [np.frombuffer(g.as_buffer(), np.uint64) for g in here.field("grams")]
+                other = [np.frombuffer(g.as_buffer(), np.uint64) for g in there.field("grams")]
+                # Residents, visitors, and a node for the texts that are settled; a visitor among the residents is the same node.
+                place = {name: i for i, name in enumerate(x["same"].tolist())}
+                seat = [place.setdefault(name, len(place)) for name in y["same"].tolist()]
+                parent = list(range(len(place) + 1))
+
+                def root(i: int) -> int:
+                    while parent[i] != i:
+                        parent[i] = i = parent[parent[i]]
+                    return i
+
+                for i, known in enumerate(settled):
+                    if known:
+                        parent[i] = len(place)
+                found = []
+                for i, j in zip(*(at.tolist() for at in wide_near(x, y, radius, similarity))):
+                    p, q = root(i), root(seat[j])
+                    if p != q and jaccard(own[i], other[j]) >= similarity:
+                        parent[p] = q
+                        found.append((i, j))
+                if found:
+                    raw = [t.field("same").take([f[e] for f in found]) for e, t in enumerate((here, there))]
+                    yield pa.RecordBatch.from_arrays(raw, names=["a", "b"])
+
+    return links
+
+
+def verified_links(texts: DataFrame, radius: int, similarity: float, shingle_words: int, block: int) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of texts of one root that are near by fingerprint and share the similarity by shingles.
+
+    texts (root, _text) holds each text once, roots being components of near fingerprints. Texts are first held against
+    the root's own text. What isn't settled by that is compared, block by block, with all texts of its root, so a root whose texts are all near
+    its own costs one comparison a text; a root with s bytes of hashes that are not settled sends them s / block times.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, items, grams = [], [], []
+            for t in batch.column(1):
+                name, hashes = shingle_hashes(t.as_py(), shingle_words)
+                same.append(name)
+                items.append(np.array((name, len(hashes), _wide(hashes)), _ITEM).tobytes())
+                grams.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (same, items, grams))], names=["root", "same", "item", "grams"])
+
+    spark, columns = texts.sparkSession, "root binary, same binary, item binary, grams binary"
+    with arrow_rows(spark, 256):
+        sets = written(map_batches(texts, hashed, columns), "sets")
+    hubs = sets.where("same = root")
+    met = sets.where("same <> root").join(hubs.select("root", F.col("grams").alias("hub")), "root")
+    with arrow_rows(spark, 64):
+        held = written(map_batches(met, _verify_hubs(similarity), columns + ", settled boolean"), "held")
+    opened = held.where("not settled").select("root").distinct()
+    live = held.unionByName(hubs.withColumn("settled", F.lit(True))).join(opened, "root", "left_semi")
+    blocks = live.groupBy("root").agg(F.ceil(F.sum(F.length("grams")) / F.lit(block)).cast("int").alias("blocks"))
+    dealt = live.join(blocks, "root").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    residents = dealt.groupBy("root", "block").agg(F.collect_list(F.struct("same", "item", "grams", "settled")).alias("residents"))
+    visitors = dealt.where("not settled").groupBy("root", "block", "blocks").agg(F.collect_list(F.struct("same", "item", "grams")).alias("visitors"))
+    visitors = visitors.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "visitors")
+    with arrow_rows(spark, 2):
+        rest = written(map_batches(residents.join(visitors, ["root", "block"]).select("residents", "visitors"), _verify_blocks(radius, similarity), "a binary, b binary"), "rest")
+    return held.where("settled").select(F.col("root").alias("a"), F.col("same").alias("b")).unionByName(rest)
+
+
+def without_near_copies(
+    docs: DataFrame, similarity: float = 0.8, radius: int = WIDE_RADIUS, shingle_words: int = 5, tile: int = TILE, block: int = BLOCK
+) -> DataFrame:
     """docs (doc_id, text and others) with one row of each group of near copies, the one with the smallest doc_id.
 
-    Texts are near copies if the fingerprints of their shingles differ in radius bits at most, which
-    stands for the similarity, and the numbers of their shingles allow it; groups are what such
+    Texts are near copies if they share the similarity of their different shingles, counted exactly, and the
+    fingerprints of these differ in radius bits at most, by which pairs are found (of pairs with a similarity of just 0.8
+    a radius of 54 misses one in two hundred); groups are what such
     links connect, links through other texts included. Equal words (in small case) always link, so
     null, empty and blank texts are one group. Groups go by row, not by doc_id: rows of one doc_id, and
     rows without, stay if their texts differ. Null doc_ids come after others, ties fall by a digest
@@ -296,7 +398,10 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, radius: int =
     prints = map_batches(docs.select(digest.alias("row"), F.col("doc_id").cast("long"), text_bytes().alias("_text")), hashed, "row string, doc_id long, kind int, item binary")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")
     distinct = written(prints.groupBy("item", "kind").agg(best), "prints")
-    roots = components(wide_links(distinct.select("item", "kind"), radius, similarity, tile), "a", "b").withColumnRenamed("node", "same")
+    may = components(wide_links(distinct.select("item", "kind"), radius, similarity, tile), "a", "b").withColumnRenamed("node", "same")
+    rows = distinct.select(F.substring("item", 1, 16).alias("same"), F.col("best.row").alias(row)).join(may, "same").select(row, F.col("root").alias("_root"))
+    texts = docs.select(digest.alias(row), text_bytes().alias("_text")).join(rows, row).dropDuplicates([row]).select(F.col("_root").alias("root"), "_text")
+    roots = components(verified_links(texts, radius, similarity, shingle_words, block), "a", "b").withColumnRenamed("node", "same")
     grouped = distinct.select(F.substring("item", 1, 16).alias("same"), "best").join(roots, "same", "left")
     kept = grouped.groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return docs.withColumn(row, digest).join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
