@@ -47,17 +47,19 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: computed once, kept when executors are lost.
-
-    In local mode a folder is chosen where none is set; a cluster has to name one. The owner of the folder removes what is in it.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """An unused path in the folder of spark.checkpoint.dir; in local mode a folder is chosen where none is set, a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "verdictlake")
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the folder of spark.checkpoint.dir: computed once, kept when executors are lost. The owner of the folder removes what is in it."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
