@@ -48,11 +48,11 @@ def checked_write(df: DataFrame, path: str, rules: Rules, key: str, counts: list
     """Writes df as Parquet to a new folder, path, in one pass that checks every row and observes counts (named aggregates); returns the counts.
 
     A broken row fails the job, and nothing is committed. A gate that the counts don't pass raises GateError with the names of all
-    such gates; the table is there then, and is the caller's to remove. Counts are taken right before the write, in its own
-    stage, where a task that runs again counts once. An empty table gives counts of no rows.
+    such gates; the table is there then, and is the caller's to remove. Counts are taken in the stage that writes, where a task that runs again counts once. An empty table gives counts of no rows.
     """
     seen = Observation(f"checked-{uuid.uuid4().hex}")
-    checked(df, rules, key).observe(seen, *counts).write.parquet(path)
+    # Observed first: a filter isn't pushed below, so the rules read columns and don't repeat what these are made of.
+    checked(df.observe(seen, *counts), rules, key).write.parquet(path)
     found = seen.get
     if failed := [name for name, passed in gates if not passed(found)]:
         raise GateError(failed)
