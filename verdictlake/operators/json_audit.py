@@ -23,7 +23,8 @@ def json_values(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     path is $ for the whole, with .key and [index] for what lies in it; shape has [*] for every index. type is object, array,
     string, integer, number, boolean or null; malformed for a text that is no JSON or repeats a key in an object, missing for a null
     text (both at $). value is the text of a string or another plain value. A level of the nesting is one stored table, so the
-    number of passes is the depth of the data; each pass reads only objects and arrays of the one before.
+    number of passes is the depth of the data; each pass reads only objects and arrays of the one before. keep must not hold
+    path, shape, type or value; other columns are ignored, whatever their names. An empty table gives none.
     """
     source = F.col(f"`{column}`").cast("string")
     whole = df.select(*(F.col(f"`{c}`") for c in keep), source.isNull().alias("_missing"), F.try_parse_json(source).alias("_v"))
