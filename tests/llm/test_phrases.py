@@ -47,6 +47,34 @@ def test_brute_force(spark, monkeypatch, block_keys, slots, fan):
         assert sorted(map(tuple, got)) == brute(rows, least, top)
 
 
+def apart(rng):
+    """Rows of which each fourth has words of its own, so that phrases are missing in the first partitions."""
+    words = [[f"{c}{k}" for k in range(6)] for c in "abcd"]
+    return [(" ".join(rng.choice(words[i // 50]) for _ in range(40)), "en") for i in range(200)]
+
+
+@pytest.mark.parametrize("digest", [0, 3])
+def test_phrases_of_one_digest(spark, monkeypatch, digest):
+    monkeypatch.setattr(phrases, "DIGEST", digest)
+    rows = apart(random.Random(4))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "text string, lang string")
+    got = phrases.collocations(docs, 10, 2000, 50).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10, 2000)
+
+
+def test_each_candidate_is_sent_once(spark):
+    rows = [(" ".join(f"w{k}" for k in range(30)), "en")] * 200 + apart(random.Random(5))
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    chunks, words = phrases._words(docs)
+    assert chunks.select("part").distinct().count() == 8
+    frequent = words.where("f >= 10")
+    of_words = phrases._stored(frequent.select("w0", "f"), 1, frequent.count(), 1000, "f")
+    able = phrases._filtered(chunks, 2, of_words, None, 10, 5)
+    sent = phrases._sent(chunks, 2, of_words, None, able).collect()
+    often = phrases._counted(chunks, 2, of_words, None, 10, 1000).select("w0", "w1").collect()
+    assert set(often) == set(sent) and len(sent) == len(often) > 29  # all eight parts hold all phrases
+
+
 def test_small_and_empty(spark, none, odd):
     assert phrases.collocations(none).count() == 0
     rows = [(r["text"], r["lang"]) for r in odd.collect()]

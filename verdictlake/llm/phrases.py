@@ -2,7 +2,9 @@
 
 Texts are cut once; chunks of about CHUNK bytes keep the keys of their words and 4-byte places in
 that list. Candidates are Apriori-safe: pairs of words that are both frequent, triples of which both
-pairs are, and only those whose hash's place has enough occurrences of all phrases there. They are dealt by hash into blocks of about BLOCK keys, and a task makes of each block a
+pairs are, and only those whose digest has enough occurrences of all phrases there. Of all parts of the texts
+that hold a digest one sends its candidates, so that about as many are sent as there are; a phrase that shares its digest
+with another one, which alone was sent, is counted by its keys. Candidates are dealt by hash into blocks of about BLOCK keys, and a task makes of each block a
 minimal perfect hash (levels of bits, where keys that share a place go on to the next level) with
 the keys stored by slot, which tells candidates from others. Mappers look their phrases up, add
 them into numpy arrays by slot, and hand on what is not zero; the arrays of a block are summed in
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +31,15 @@ from ..session import map_batches, ship_package
 from .common import arrow_rows, by_bytes, get, new_folder, put, text_bytes, written
 
 #: Bytes of text of a chunk, keys of a block, arrays that are summed at a time, and bytes of blocks that a worker keeps.
-CHUNK, BLOCK, FAN, KEPT = 3 << 20, 200_000, 8, 32 << 20
+CHUNK, BLOCK, FAN, KEPT = 2 << 20, 200_000, 8, 32 << 20
 #: Phrases that a task merges before it sends them on.
-PHRASES = 1_500_000
+PHRASES = 1_000_000
 #: Chunks, and texts, that a worker gets at a time.
 CHUNKS_AT_ONCE, TEXTS_AT_ONCE = 2, 1000
 #: Bytes of texts of all languages that wait for their chunk in a task.
 HELD = 4 * CHUNK
+#: Bits of a phrase's hash that tell phrases of one range apart.
+DIGEST = (1 << 32) - 1
 #: Slots that a mapper counts before it hands its arrays on.
 SLOTS = 2 << 20
 #: Piece ends become a line end, A-Z are lower-cased; no UTF-8 text holds the byte that then marks an end.
@@ -68,7 +73,8 @@ def _encode(seed: int):
             keys[k] = x.intdigest()
         columns = [[[w.decode() for w in places]], [keys.view(np.int64)], [counts]]
         arrays = [pa.array(c, t) for c, t in zip(columns, lists)]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), *arrays, pa.array([ids.tobytes()], pa.binary())], names=["lang", "words", "keys", "counts", "ids"])
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([lang]), *arrays, pa.array([ids.tobytes()], pa.binary()), part], names=["lang", "words", "keys", "counts", "ids", "part"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _kept.clear()
@@ -103,13 +109,24 @@ def _hash(keys: np.ndarray, level: int) -> np.ndarray:
     return x
 
 
-def place_of(keys: np.ndarray) -> np.ndarray:
-    """A place from 0 to 2 ** 31 - 1, of which blocks are ranges: the keys, which are hashes, turned by 21 bits each and mixed."""
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """The keys, which are hashes, turned by 21 bits each and mixed."""
     x = np.zeros(len(keys), np.uint64)
     for k, column in enumerate(keys.T):
         w = column.view(np.uint64)
         x ^= (w << np.uint64(21 * k)) | (w >> np.uint64(64 - 21 * k)) if k else w
-    return (x >> np.uint64(33)).astype(np.int64)
+    return x
+
+
+def place_of(keys: np.ndarray) -> np.ndarray:
+    """A place from 0 to 2 ** 31 - 1, of which blocks are ranges."""
+    return (_mixed(keys) >> np.uint64(33)).astype(np.int64)
+
+
+def digests_of(keys: np.ndarray, ranges: int, mask: int) -> np.ndarray:
+    """The range of each row's place, and below it 32 bits of its hash or what mask leaves of them."""
+    x = _mixed(keys)
+    return ((x >> np.uint64(33)).astype(np.int64) * ranges >> 31 << 32) | (x & np.uint64(mask)).astype(np.int64)
 
 
 def place(width: int):
@@ -286,42 +303,46 @@ def _different(found: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.column(0)[k].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(1)[k].as_buffer(), np.int32)
+            yield batch.column(0)[k].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(1)[k].as_buffer(), np.int32), batch.column(2)[k].as_py()
 
 
 _places: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
 class Filter:
-    """Places of which the phrases occur often enough together, in a file for each range; phrases elsewhere can't."""
+    """Digests of which the phrases occur often enough together, in a file for each range, and the part of the texts that sends them, in another; other phrases can't."""
 
-    def __init__(self, folder: str, ranges: int):
-        self.folder, self.ranges = folder, ranges
+    def __init__(self, folder: str, ranges: int, mask: int):
+        self.folder, self.ranges, self.mask = folder, ranges, mask
 
-    def passes(self, rows: np.ndarray) -> np.ndarray:
+    def passes(self, rows: np.ndarray, part: int | None = None) -> np.ndarray:
+        """Whether each row has such a digest; with a part, one that this part sends."""
         out = np.zeros(len(rows), bool)
         if not len(rows):
             return out
-        place = place_of(rows)
-        order = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[order] * self.ranges >> 31, np.arange(self.ranges + 1))
+        digests = digests_of(rows, self.ranges, self.mask)
+        order = np.argsort(digests, kind="stable")
+        digests = digests[order]
+        ends = np.searchsorted(digests, np.arange(self.ranges + 1) << 32)
+        low = digests.astype(np.uint32)
         for k in np.flatnonzero(np.diff(ends)).tolist():
-            at, often = order[ends[k] : ends[k + 1]], self._range(k)
+            own, often = slice(ends[k], ends[k + 1]), self._file(f"{k}", np.uint32)
             if len(often):
-                where = np.minimum(np.searchsorted(often, place[at]), len(often) - 1)
-                out[at] = often[where] == place[at]
+                where = np.minimum(np.searchsorted(often, low[own]), len(often) - 1)
+                hit = often[where] == low[own]
+                out[order[own]] = hit if part is None else hit & (self._file(f"{k}-parts", np.int32)[where] == part)
         return out
 
-    def _range(self, k: int) -> np.ndarray:
-        uri = f"{self.folder}/{k}"
+    def _file(self, name: str, kind: type) -> np.ndarray:
+        uri = f"{self.folder}/{name}"
         if uri not in _places:
             try:
-                _places[uri] = np.frombuffer(get(uri), np.uint32)
+                _places[uri] = np.frombuffer(get(uri), kind)
             except FileNotFoundError:  # no phrase fell into this range
-                _places[uri] = np.zeros(0, np.uint32)
+                _places[uri] = np.zeros(0, kind)
             held = sum(x.nbytes for x in _places.values())
             while held > KEPT and len(_places) > 1:
                 held -= _places.popitem(last=False)[1].nbytes
@@ -329,62 +350,63 @@ class Filter:
 
 
 def _filtered(chunks: DataFrame, width: int, words: Table, pairs: Table | None, least: int, ranges: int) -> Filter:
-    """What phrases of one place count together bounds each of them, so places below ``least`` leave no candidate. Counts travel packed, cut at least."""
+    """What phrases of one digest count together bounds each of them, so digests below ``least`` leave no candidate. Counts travel packed, cut at least."""
     spark = chunks.sparkSession
-    folder, kind = new_folder(spark, "places"), np.dtype(np.uint8 if least < 256 else np.uint32)
-
-    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        place, counts = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(place, kind="stable")
-        place, counts = place[order], np.minimum(counts[order], least).astype(kind)
-        at = np.searchsorted(place * ranges >> 31, np.arange(ranges + 1))
+    folder, kind, mask = new_folder(spark, "places"), np.dtype(np.uint8 if least < 256 else np.uint32), DIGEST
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
+        digests, counts = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(digests, kind="stable")
+        digests, counts = digests[order], counts[order]
+        start = np.flatnonzero(np.append(True, digests[1:] != digests[:-1])[: len(digests)])
+        counts = np.minimum(np.add.reduceat(counts, start), least).astype(kind) if len(start) else counts.astype(kind)
+        digests = digests[start]
+        at = np.searchsorted(digests, np.arange(ranges + 1) << 32)
         used = np.flatnonzero(np.diff(at))
-        place = place.astype(np.uint32)
-        columns = [[x[at[k] : at[k + 1]].tobytes() for k in used] for x in (place, counts)]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "places", "counts"])
+        columns = [[x[at[k] : at[k + 1]].tobytes() for k in used] for x in (digests.astype(np.uint32), counts)]
+        names = ["range", "places", "counts", "part"]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(c, pa.binary()) for c in columns), pa.array([part] * len(used), pa.int32())], names=names)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
-        for keys, ids in _chunks(batches):
-            rows, counts = _phrases(width, keys, ids, words, pairs)
-            found.append((place_of(rows), counts))
-            held += len(rows)
-            if held >= PHRASES:
-                yield packed(found)
+        found, held, last = [], 0, None
+        for keys, ids, part in _chunks(batches):
+            if found and (held >= PHRASES or part != last):
+                yield packed(found, last)
                 found, held = [], 0
-        if held:
-            yield packed(found)
+            rows, counts = _phrases(width, keys, ids, words, pairs)
+            found.append((digests_of(rows, ranges, mask), counts))
+            held, last = held + len(rows), part
+        if found:
+            yield packed(found, last)
 
     def often(table: pa.Table) -> pa.Table:
         k = table.column("range")[0].as_py()
-        place = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("places").to_pylist()])
+        each = [np.frombuffer(b, np.uint32) for b in table.column("places").to_pylist()]
+        place, part = np.concatenate(each), np.repeat(table.column("part").to_numpy(), [len(x) for x in each])
         counts = np.concatenate([np.frombuffer(b, kind) for b in table.column("counts").to_pylist()])
         order = np.argsort(place, kind="stable")
         place = place[order]
         start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        put(f"{folder}/{k}", place[start[np.add.reduceat(counts[order].astype(np.int64), start) >= least]].tobytes())
+        enough = np.add.reduceat(counts[order].astype(np.int64), start) >= least
+        put(f"{folder}/{k}-parts", np.minimum.reduceat(part[order], start)[enough].astype(np.int32).tobytes())
+        put(f"{folder}/{k}", place[start[enough]].tobytes())
         return pa.table({"range": pa.array([k], pa.int64())})
 
     with arrow_rows(spark, CHUNKS_AT_ONCE):
-        sent = map_batches(chunks.select("keys", "ids"), hashed, "range long, places binary, counts binary")
+        sent = map_batches(chunks.select("keys", "ids", "part"), hashed, "range long, places binary, counts binary, part int")
         sent.groupBy("range").applyInArrow(often, "range long").agg(F.count("*")).first()
-    return Filter(folder, ranges)
+    return Filter(folder, ranges, mask)
 
 
-def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, least: int, block_keys: int) -> DataFrame:
-    """(w0, w1, ..., f) of all phrases of width words that occur at least ``least`` times."""
+def _sent(chunks: DataFrame, width: int, words: Table, pairs: Table | None, able: Filter) -> DataFrame:
+    """(w0, w1, ...) of candidates, each from the part of the texts that sends its digest; it comes again only from further tasks with that part."""
     names = [f"w{k}" for k in range(width)]
-    fields = ", ".join(f"{c} long" for c in names)
-
-    spark = chunks.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
-    able = _filtered(chunks, width, words, pairs, least, parts)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for keys, ids in _chunks(batches):
+        for keys, ids, part in _chunks(batches):
             rows, _ = _phrases(width, keys, ids, words, pairs)
-            found.append(rows[able.passes(rows)])
+            found.append(rows[able.passes(rows, part)])
             held += len(found[-1])
             if held >= PHRASES:
                 yield _different(found, names)
@@ -392,21 +414,38 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
         if found:
             yield _different(found, names)
 
+    return map_batches(chunks.select("keys", "ids", "part"), seen, ", ".join(f"{c} long" for c in names))
+
+
+def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, least: int, block_keys: int) -> DataFrame:
+    """(w0, w1, ..., f) of all phrases of width words that occur at least ``least`` times."""
+    names = [f"w{k}" for k in range(width)]
+    fields = ", ".join(f"{c} long" for c in names)
+
+    spark = chunks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
+    able = _filtered(chunks, width, words, pairs, least, parts)
+
     with arrow_rows(spark, CHUNKS_AT_ONCE):  # merged in the mapper and after the shuffle: not in between, where a task's phrases would be held again
-        candidates = written(map_batches(chunks.select("keys", "ids"), seen, fields).repartition(parts, *names).distinct(), "candidates")
+        candidates = written(_sent(chunks, width, words, pairs, able).repartition(parts, *names).distinct(), "candidates")
     n = candidates.count()
     table = _stored(candidates, width, n, block_keys)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for keys, ids in _chunks(batches):
+        for keys, ids, _ in _chunks(batches):
             rows, counts = _phrases(width, keys, ids, words, pairs)
             fit = able.passes(rows)
             rows, counts = rows[fit], counts[fit]
+            stored = np.zeros(len(rows), bool)
             for block, found, at in table.each_block(rows):
                 slots = found.lookup(rows[at])
+                at, slots = at[slots >= 0], slots[slots >= 0]
+                stored[at] = True
                 own = sums.setdefault(block, np.zeros(len(found.keys), np.int64))
                 own += np.bincount(slots, weights=counts[at], minlength=len(own)).astype(np.int64)  # sums under 2 ** 53 are exact
+            if not stored.all():  # another phrase of its digest was sent
+                yield _array_row(-1, np.ascontiguousarray(rows[~stored]), counts[~stored].astype(np.int64))
             if sum(map(len, sums.values())) > SLOTS:
                 yield _arrays(sums)
                 sums = {}
@@ -432,11 +471,18 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
                 columns = [*(np.ascontiguousarray(c) for c in rows.T), counts[counts >= least]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "f"])
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                columns = [*(np.ascontiguousarray(c) for c in np.frombuffer(keys, np.int64).reshape(-1, width).T), np.frombuffer(counts, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "f"])
+
     if not n:
         return candidates.withColumn("f", F.lit(0).cast("long"))
-    sums = map_batches(chunks.select("keys", "ids"), counted, _SUMS)
+    sums = map_batches(chunks.select("keys", "ids", "part"), counted, _SUMS)
     with arrow_rows(spark, CHUNKS_AT_ONCE):
         sums = written(sums.withColumn("part", F.spark_partition_id()), "sums")
+    rest, sums = sums.where("block < 0").select("slots", "counts"), sums.where("block >= 0")
     parts = sums.agg(F.max("part")).first()[0]
     while True:
         parts = -1 if parts is None else parts // FAN
@@ -445,7 +491,11 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
         sums = written(map_batches(tree.select("block", "arrays", "part"), _with_part(summed), f"{_SUMS}, part int"), "sums")
         if parts < 1:
             break
-    return written(map_batches(sums.select("block", "slots", "counts"), often, f"{fields}, f long"), "often")
+    found = written(map_batches(sums.select("block", "slots", "counts"), often, f"{fields}, f long"), "often")
+    if not rest.limit(1).count():
+        return found
+    more = map_batches(rest, unpacked, f"{fields}, f long").groupBy(*names).agg(F.sum("f").alias("f"))
+    return found.unionByName(written(more.where(F.col("f") >= least), "often"))
 
 
 _SUMS = "block long, slots binary, counts binary"
@@ -467,12 +517,17 @@ def _arrays(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in slots], pa.binary()), pa.array(counts, pa.binary())], names=["block", "slots", "counts"])
 
 
+def _array_row(block: int, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, slots.tobytes(), counts.tobytes()), kinds)], names=["block", "slots", "counts"])
+
+
 def _words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The chunks, and (key, lang, word, f) of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_bytes().alias("_text"))
     for seed in range(64):
         with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
-            chunks = written(map_batches(texts, _encode(seed), "lang string, words array<string>, keys array<long>, counts array<long>, ids binary"), "chunks")
+            chunks = written(map_batches(texts, _encode(seed), "lang string, words array<string>, keys array<long>, counts array<long>, ids binary, part int"), "chunks")
         each = chunks.select("lang", F.explode(F.arrays_zip("words", "keys", "counts")).alias("x")).select("lang", "x.words", "x.keys", "x.counts")
         told = F.struct("lang", F.col("words").alias("word"))
         words = written(each.groupBy(F.col("keys").alias("w0")).agg(F.min(told).alias("told"), F.max(told).alias("other"), F.sum("counts").alias("f")), "words")
