@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,17 +40,23 @@ def argmax(p: Column) -> Column:
     return F.array_position(p, F.array_max(p)).cast("int") - 1
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed a single time: what a lambda names again would be computed again for each of its items."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shares(values: Column) -> Column:
+    """values over their sum."""
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return once(values, lambda e: once(total(e), lambda t: F.transform(e, lambda x: x / t)))
+
+
 def temperature(p: Column, t: Column) -> Column:
-    scaled = F.transform(p, lambda x: F.exp(F.ln(F.greatest(x, F.lit(1e-12))) / t))
-    total = F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(scaled, lambda x: x / total)
+    return _shares(once(t, lambda u: F.transform(p, lambda x: F.exp(F.ln(F.greatest(x, F.lit(1e-12))) / u))))
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    return _shares(once(scores, lambda z: once(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))))
 
 
 def brier(p: Column, gold: Column) -> Column:
