@@ -2,7 +2,7 @@
 
 Rows are packed once into parts of about PART rows, dealt by a hash. In a round every part goes
 through EPOCHS epochs of mini-batches for all settings of the grid together (the settings of a batch size are the
-columns of one matrix product), from the same weights; the parts' weights are averaged by rows, in a tree,
+rows of one matrix product, and a task of their own while parts are few), from the same weights; the parts' weights are averaged by rows, in a tree,
 and start the next round. A split of up to PART rows is thus plain mini-batch descent. What
 travels is the weights: settings x classes x features, whatever the number of rows. Scoring reduces rows to
 (setting, bin, gold, predicted) counts in one pass for the whole grid.
@@ -28,6 +28,9 @@ from .fit import apply_softmax
 #: Rows of a part, epochs between two averages, sums of averages that reach the driver, and the seed of weights and orders.
 PART, EPOCHS, FAN, SEED = 50_000, 20, 32, 20260518
 
+#: Below so many parts for each core, the settings of each batch size are work of their own.
+PARTS_A_CORE = 4
+
 # The settings of the grids, and the gates of a dataset's own temperature.
 LEARNING_RATES, BATCHES, L2S, EPOCH_COUNTS = (0.08, 0.04, 0.02, 0.01), (16, 32, 64), (0.0, 1e-4, 1e-3, 5e-3), (80, 140)
 UNSUPPORTED_WEIGHTS, RAGTRUTH_WEIGHTS = (1.5, 2.0, 2.25, 2.5), (1.25, 1.5, 1.75)
@@ -106,27 +109,67 @@ def start(settings: int, width: int, classes: int, seed: int = SEED) -> np.ndarr
     return np.repeat(np.append(first, np.zeros((1, classes)), 0)[:, None, :], settings, 1)
 
 
+def _softmax(z: np.ndarray) -> None:
+    """Turns scores of all classes but the first, less the first one's, into probabilities, in place; the first axis is the class."""
+    p = np.exp(z)
+    total = np.add.reduce(p, 0)
+    total += 1
+    if np.maximum.reduce(total, None) < np.inf:
+        np.reciprocal(total, out=total)
+        np.multiply(p, total, out=z)
+    else:  # far apart: less the largest score
+        top = np.maximum(z.max(0), 0)
+        np.exp(z - top, out=z)
+        z /= z.sum(0) + np.exp(-top)
+
+
+@np.errstate(over="ignore")
 def descend(theta: np.ndarray, x: np.ndarray, y: np.ndarray, weights: np.ndarray, settings: list[Setting], epochs: range, seed: tuple[int, ...]) -> np.ndarray:
-    """theta after the epochs over one part, for all settings that have them; weights has a column for each setting."""
+    """theta after the epochs over one part, for all settings that have them; weights has a column for each setting.
+
+    Gradients of a row add up to 0 over the classes, so the weights' sum over the classes only decays, and what is stepped
+    are the classes' differences from the first one. They lie by class, setting and feature: every step is a few passes over whole
+    arrays. Where all rows weigh 1, the labels' side of the gradient is the same for all settings and is summed for all batches at once.
+    """
     theta, n, classes = theta.copy(), len(x), theta.shape[2]
-    x, hot = np.append(x, np.ones((n, 1)), 1), np.eye(classes)[y]
+    x, hot, even = np.append(x, np.ones((n, 1)), 1), np.eye(classes)[y][:, 1:], bool((weights == 1).all())
+    width = x.shape[1]
     for epoch in epochs:
         order = np.random.default_rng((*seed, epoch)).permutation(n)
-        xs, hots, ws = x[order], hot[order], weights[order]
+        xs, hots, ws = x[order], hot[order], None if even else weights[order]
         for batch in sorted({s.batch for s in settings}):
             own = [k for k, s in enumerate(settings) if s.batch == batch and s.epochs > epoch]
-            if not own:
+            if not own or not n:
                 continue
-            rate = np.repeat([settings[k].learning_rate for k in own], classes)
-            decay = np.repeat([settings[k].l2 for k in own], classes) * np.append(np.ones(x.shape[1] - 1), 0)[:, None]
-            flat, w = theta[:, own, :].reshape(x.shape[1], -1), ws[:, own]
-            for at in range(0, n, batch):
-                xb, wb = xs[at : at + batch], w[at : at + batch]
-                z = (xb @ flat).reshape(len(xb), len(own), classes)
-                z = np.exp(z - z.max(2, keepdims=True))
-                g = (z / z.sum(2, keepdims=True) - hots[at : at + batch, None, :]) * (wb / np.maximum(wb.sum(0), 1e-12))[:, :, None]
-                flat -= rate * (xb.T @ g.reshape(len(xb), -1) + decay * flat)
-            theta[:, own, :] = flat.reshape(x.shape[1], len(own), classes)
+            rate = np.array([settings[k].learning_rate for k in own])[:, None]
+            keep = 1 - rate * np.array([settings[k].l2 for k in own])[:, None] * np.append(np.ones(width - 1), 0)
+            flat = np.ascontiguousarray(theta[:, own, :].transpose(2, 1, 0))  # classes, settings, features
+            total, flat = flat.sum(0), flat[1:] - flat[0]
+            rows, starts = flat.reshape(-1, width), range(0, n, batch)
+            if even:
+                said = np.stack([np.add.reduceat(xs * hots[:, c : c + 1], starts) for c in range(classes - 1)], 1)[:, :, None, :]
+            full = rate / batch
+            for k, at in enumerate(starts):
+                xb = xs[at : at + batch]
+                z = rows @ xb.T
+                each = z.reshape(classes - 1, len(own), len(xb))
+                _softmax(each)
+                if even:
+                    g = (z @ xb).reshape(flat.shape)
+                    g -= said[k]
+                    step = full if len(xb) == batch else rate / len(xb)
+                else:
+                    wb = ws[at : at + batch, own].T
+                    each -= hots[at : at + batch].T[:, None, :]
+                    each *= wb / np.maximum(wb.sum(1, keepdims=True), 1e-12)
+                    g = (z @ xb).reshape(flat.shape)
+                    step = rate
+                g += np.add.reduce(g, 0)
+                g *= step
+                flat *= keep
+                flat -= g
+            first = (total * keep ** len(starts) - flat.sum(0)) / classes
+            theta[:, own, :] = np.concatenate([first[None], flat + first]).transpose(2, 1, 0)
     return theta
 
 
@@ -142,28 +185,36 @@ def fit(parts: DataFrame, settings: list[Setting], width: int, labels: tuple[str
     theta = start(len(settings), width, len(labels), seed)
     by_label, by_source = _factors(settings, labels, sources)
     last = max((s.epochs for s in settings), default=0)
+    works, number = [[k for k, s in enumerate(settings) if s.batch == batch] for batch in sorted({s.batch for s in settings})], parts.count()
+    if number >= PARTS_A_CORE * parts.sparkSession.sparkContext.defaultParallelism:
+        works = [list(range(len(settings)))]
+    parts = parts.withColumn("work", F.explode(F.array(*(F.lit(k) for k in range(len(works))))))
+    if len(works) > 1:  # a file for each
+        parts = stored(parts.repartition(max(1, number * len(works))), "packed")
 
     def total(table: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(b, float) for b in table.column("theta").to_pylist())
-        return pa.table({"rows": [sum(table.column("rows").to_pylist())], "theta": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table({"work": pa.array([table.column("work")[0].as_py()], pa.int32()), "rows": [sum(table.column("rows").to_pylist())], "theta": pa.array([sums.tobytes()], pa.binary())})
 
     for begin in range(0, last, every):
-        now, epochs = theta, range(begin, min(last, begin + every))
+        now, epochs = theta.copy(), range(begin, min(last, begin + every))
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, n, x, y, s in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                    y, s = np.frombuffer(y, np.int32), np.frombuffer(s, np.int32)
-                    weights = by_label[y] * by_source[s]
+                for part, n, x, y, s, work in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                    y, s, own = np.frombuffer(y, np.int32), np.frombuffer(s, np.int32), works[work]
+                    weights = by_label[:, own][y] * by_source[:, own][s]
                     weights[:, weights.sum(0) <= 0] = 1.0
-                    out = descend(now, np.frombuffer(x).reshape(n, width), y, weights, settings, epochs, (seed, part))
-                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([(out * n).tobytes()], pa.binary())], names=["part", "rows", "theta"])
+                    out = descend(now[:, own], np.frombuffer(x).reshape(n, width), y, weights, [settings[k] for k in own], epochs, (seed, part))
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([(out * n).tobytes()], pa.binary()), pa.array([work], pa.int32())], names=["part", "rows", "theta", "work"])
 
-        each = map_batches(parts, step, "part long, rows long, theta binary")
-        sums = each.groupBy(F.pmod("part", F.lit(FAN))).applyInArrow(total, "rows long, theta binary").collect()  # FAN rows at most
+        each = map_batches(parts.select("part", "rows", "x", "y", "s", "work"), step, "part long, rows long, theta binary, work int")
+        sums = each.groupBy("work", F.pmod("part", F.lit(FAN))).applyInArrow(total, "work int, rows long, theta binary").collect()  # FAN rows at most for each of works
         if not sums:
             return theta
-        theta = (sum(np.frombuffer(r.theta, float) for r in sums) / sum(r.rows for r in sums)).reshape(theta.shape)
+        for k, own in enumerate(works):
+            found = [r for r in sums if r.work == k]
+            theta[:, own] = (sum(np.frombuffer(r.theta, float) for r in found) / sum(r.rows for r in found)).reshape(theta[:, own].shape)
     return theta
 
 
@@ -292,7 +343,7 @@ def train(df: DataFrame, labels: tuple[str, ...] = PAIRWISE, settings: list[Sett
         tie = policy.best_tie_policy(policy.tie_policy_search(decided)).first()
         if tie:
             head = replace(head, min_tie=tie.min_tie, max_margin=tie.max_margin, max_base_margin=tie.max_base_margin)
-    review = policy.review_threshold(head.apply(dev, x)).first()
+    review = policy.review_threshold(stored(head.apply(dev, x).select("risk_score", "correct"), "dev")).first()
     if review and review.threshold is not None:
         head = replace(head, review_threshold=review.threshold)
     return head, trials.withColumn("chosen", F.col("setting") == best)
