@@ -8,7 +8,8 @@ with another one, which alone was sent, is counted by its keys. Candidates are d
 minimal perfect hash (levels of bits, where keys that share a place go on to the next level) with
 the keys stored by slot, which tells candidates from others. Mappers look their phrases up, add
 them into numpy arrays by slot, and hand on what is not zero; the arrays of a block are summed in
-a tree of FAN at a time. The counts of parts (words, pairs) are read by slot where a candidate is cut.
+a tree of FAN at a time. What is frequent in a chunk is looked up once and kept as bits in a file for each chunk, and
+phrases of several chunks are looked up together, so that blocks are read for each of them as seldom as memory allows. The counts of parts (words, pairs) are read by slot where a candidate is cut.
 
 Word keys are 64-bit hashes of language and word. Two words of one key would be seen when words
 are counted, and another seed is taken then, so counts are exact.
@@ -16,7 +17,8 @@ are counted, and another seed is taken then, so counts are exact.
 
 from __future__ import annotations
 
-import io
+import json
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -41,7 +43,9 @@ HELD = 4 * CHUNK
 #: Bits of a phrase's hash that tell phrases of one range apart.
 DIGEST = (1 << 32) - 1
 #: Slots that a mapper counts before it hands its arrays on.
-SLOTS = 2 << 20
+SLOTS = 4 << 20
+#: Words of a chunk of which three places fit into 63 bits.
+WORDS = 2_000_000
 #: Piece ends become a line end, A-Z are lower-cased; no UTF-8 text holds the byte that then marks an end.
 _LOWER = bytes.maketrans(b".,;:!?\x0b\x0c\r" + bytes(range(65, 91)), b"\n" * 9 + bytes(range(97, 123)))
 _END = b"\xff"
@@ -184,15 +188,20 @@ class PerfectHash:
         return slots
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, keys=self.keys, **{f"level{k}": b for k, b in enumerate(self.levels)}, **{f"more_{k}": v for k, v in self.more.items()})
-        return out.getvalue()
+        """A line of names, types and shapes, then the arrays' bytes one after the other, read without a copy."""
+        arrays = {"keys": self.keys, **{f"level{k}": b for k, b in enumerate(self.levels)}, **{f"more_{k}": v for k, v in self.more.items()}}
+        head = json.dumps([[name, a.dtype.str, a.shape] for name, a in arrays.items()]).encode()
+        head += b" " * (-(len(head) + 1) % 64) + b"\n"
+        return head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
-        with np.load(io.BytesIO(data)) as x:
-            levels = [x[f"level{k}"] for k in range(sum(n.startswith("level") for n in x.files))]
-            return cls(levels, x["keys"], {n[5:]: x[n] for n in x.files if n.startswith("more_")})
+        at = data.index(b"\n") + 1
+        found = {}
+        for name, kind, shape in json.loads(data[:at]):
+            found[name] = np.frombuffer(data, kind, math.prod(shape), at).reshape(shape)
+            at += found[name].nbytes
+        return cls([a for name, a in found.items() if name.startswith("level")], found["keys"], {name[5:]: a for name, a in found.items() if name.startswith("more_")})
 
 
 _kept: OrderedDict[str, PerfectHash] = OrderedDict()
@@ -200,7 +209,7 @@ _kept: OrderedDict[str, PerfectHash] = OrderedDict()
 
 def _block(folder: str, block: int) -> PerfectHash:
     """A block's file; a worker keeps up to KEPT bytes of those it read last."""
-    uri = f"{folder}/{block}.npz"
+    uri = f"{folder}/{block}.hash"
     for other in [x for x in _kept if not x.startswith(folder)]:  # one table at a time is looked up often
         if len(_kept) > 8:
             del _kept[other]
@@ -219,6 +228,7 @@ class Table:
 
     def __init__(self, folder: str, blocks: int, width: int):
         self.folder, self.blocks, self.width = folder, blocks, width
+        self.marks: Marks | None = None
 
     def each_block(self, keys: np.ndarray) -> Iterator[tuple[int, PerfectHash, np.ndarray]]:
         """(block, its hash, places of keys that may be in it)."""
@@ -257,7 +267,7 @@ def _stored(rows: DataFrame, width: int, n: int, block_keys: int, *more: str) ->
         for name in more:
             out.more[name] = np.empty(len(keys), np.int64)
             out.more[name][slots] = table.column(name).to_numpy()
-        put(f"{folder}/{block}.npz", out.dump())
+        put(f"{folder}/{block}.hash", out.dump())
         return pa.table({"block": pa.array([block], pa.int64())})
 
     if blocks:
@@ -270,29 +280,105 @@ def _keys(table, width: int) -> np.ndarray:
     return np.column_stack([table.column(k).to_numpy() for k in range(width)]).astype(np.int64).reshape(-1, width)
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, words: Table) -> tuple[np.ndarray, np.ndarray]:
+class Marks:
+    """Which words of a chunk are frequent, and at which places frequent pairs begin, as bits in a file for each chunk: looked up once, read by all later passes."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _uri(self, kind: str, keys: np.ndarray, ids: np.ndarray) -> str:
+        return f"{self.folder}/{kind}-{xxhash.xxh3_128(keys.tobytes()).hexdigest()}-{xxhash.xxh3_128(ids.tobytes()).hexdigest()}"
+
+    def words(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For each number in ids whether it is a frequent word; 0 is a piece's end."""
+        return np.append(False, self._read("words", keys, ids, len(keys)))
+
+    def pairs(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For each place whether a frequent pair begins there."""
+        return self._read("pairs", keys, ids, len(ids))
+
+    def _read(self, kind: str, keys: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(get(self._uri(kind, keys, ids)), np.uint8), count=n).astype(bool)
+
+    def write(self, kind: str, keys: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> None:
+        put(self._uri(kind, keys, ids), np.packbits(bits).tobytes())
+
+
+def _marked(chunks: DataFrame, marks: Marks, words: Table | None, pairs: Table | None) -> None:
+    """Writes what is frequent in each chunk, by the table of words or of pairs. Chunks of about PHRASES rows are looked up together: a table of many blocks is read once for all of them."""
+
+    def looked_up(found: list[tuple]) -> None:
+        rows = np.concatenate([x[2] for x in found])
+        often = (words or pairs).read(rows, "f")[0] > 0
+        for keys, ids, own, at, of in found:
+            fit, often = often[: len(own)], often[len(own) :]
+            if words:
+                marks.write("words", keys, ids, fit)
+            else:
+                bits = np.zeros(len(ids), bool)
+                bits[at] = fit[of]
+                marks.write("pairs", keys, ids, bits)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, n = [], 0, 0
+        for keys, ids, _ in _chunks(batches):
+            if words:
+                found.append((keys, ids, np.ascontiguousarray(keys[:, None]), None, None))
+            else:
+                at, numbers = _pairs(keys, ids, marks)
+                unique, of = np.unique(numbers, return_inverse=True)
+                found.append((keys, ids, _pair_rows(unique, keys), at, of.astype(np.int32)))
+            held, n = held + len(found[-1][2]), n + 1
+            if held >= PHRASES // 2:
+                looked_up(found)
+                found, held = [], 0
+        if found:
+            looked_up(found)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    with arrow_rows(chunks.sparkSession, CHUNKS_AT_ONCE):
+        map_batches(chunks.select("keys", "ids", "part"), marked, "n long").agg(F.sum("n")).first()
+
+
+def _marks(chunks: DataFrame, words: Table, pairs: Table | None) -> Marks:
+    """The chunks' marks by the tables given, written when they are first asked for."""
+    if words.marks is None:
+        words.marks = Marks(new_folder(chunks.sparkSession, "marks"))
+        _marked(chunks, words.marks, words, None)
+    if pairs is not None and pairs.marks is None:
+        _marked(chunks, words.marks, None, pairs)
+        pairs.marks = words.marks
+    return words.marks
+
+
+def _pairs(keys: np.ndarray, ids: np.ndarray, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of frequent words, and the pairs' numbers in the chunk (places of the two words in one)."""
-    often = np.zeros(len(keys) + 1, bool)
-    often[1:] = words.read(keys[:, None], "f")[0] > 0
+    often = marks.words(keys, ids)
     at = np.flatnonzero(often[ids[:-1]] & often[ids[1:]])
     return at, ids[at].astype(np.int64) * (len(keys) + 1) + ids[at + 1]
 
 
-def _phrases(width: int, keys: np.ndarray, ids: np.ndarray, words: Table, pairs: Table | None) -> tuple[np.ndarray, np.ndarray]:
+def _pair_rows(numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    n = len(keys) + 1
+    return keys[np.column_stack([numbers // n, numbers % n]) - 1].reshape(-1, 2)
+
+
+def _phrases(width: int, keys: np.ndarray, ids: np.ndarray, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
     """The chunk's different Apriori-safe phrases as rows of keys, and how often each occurs."""
     n = len(keys) + 1
-    at, numbers = _pairs(keys, ids, words)
     if width == 2:
-        unique, counts = np.unique(numbers, return_counts=True)
-        return keys[np.column_stack([unique // n, unique % n]) - 1].reshape(-1, 2), counts
-    unique, of = np.unique(numbers, return_inverse=True)
-    rows = keys[np.column_stack([unique // n, unique % n]) - 1].reshape(-1, 2)
-    often = pairs.read(rows, "f")[0] > 0
-    slot = np.full(len(ids), -1, np.int64)
-    slot[at] = np.where(often[of], of, -1)
-    start = np.flatnonzero((slot[:-1] >= 0) & (slot[1:] >= 0))
-    unique3, counts = np.unique(slot[start] * n + ids[start + 2], return_counts=True)
-    return np.column_stack([rows[unique3 // n], keys[unique3 % n - 1]]).reshape(-1, 3), counts
+        unique, counts = np.unique(_pairs(keys, ids, marks)[1], return_counts=True)
+        return _pair_rows(unique, keys), counts
+    often = marks.pairs(keys, ids)
+    start = np.flatnonzero(often[:-1] & often[1:])
+    first = ids[start].astype(np.int64) * n + ids[start + 1]
+    if n < WORDS:
+        unique, counts = np.unique(first * n + ids[start + 2], return_counts=True)
+        unique, last = unique // n, unique % n
+    else:  # three places need more than 63 bits
+        rows, counts = np.unique(np.column_stack([first, ids[start + 2]]), axis=0, return_counts=True)
+        unique, last = rows.reshape(-1, 2).T
+    return np.column_stack([_pair_rows(unique, keys), keys[last - 1]]).reshape(-1, 3), counts
 
 
 def _different(found: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -309,6 +395,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield batch.column(0)[k].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(1)[k].as_buffer(), np.int32), batch.column(2)[k].as_py()
 
 
+def _together(batches: Iterator[pa.RecordBatch], width: int, marks: Marks) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Phrases, counts and the part of chunks of one part, about PHRASES / 2 rows at a time (a phrase comes once for each chunk that has it): what they are looked up in is read once for all."""
+    found, held, last = [], 0, None
+    for keys, ids, part in _chunks(batches):
+        if found and (held >= PHRASES // 2 or part != last):
+            yield *(np.concatenate(x) for x in zip(*found)), last
+            found, held = [], 0
+        found.append(_phrases(width, keys, ids, marks))
+        held, last = held + len(found[-1][0]), part
+    if found:
+        yield *(np.concatenate(x) for x in zip(*found)), last
+
+
 _places: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
@@ -352,6 +451,7 @@ class Filter:
 def _filtered(chunks: DataFrame, width: int, words: Table, pairs: Table | None, least: int, ranges: int) -> Filter:
     """What phrases of one digest count together bounds each of them, so digests below ``least`` leave no candidate. Counts travel packed, cut at least."""
     spark = chunks.sparkSession
+    marks = _marks(chunks, words, pairs)
     folder, kind, mask = new_folder(spark, "places"), np.dtype(np.uint8 if least < 256 else np.uint32), DIGEST
 
     def packed(found: list[tuple[np.ndarray, np.ndarray]], part: int) -> pa.RecordBatch:
@@ -373,7 +473,7 @@ def _filtered(chunks: DataFrame, width: int, words: Table, pairs: Table | None,
             if found and (held >= PHRASES or part != last):
                 yield packed(found, last)
                 found, held = [], 0
-            rows, counts = _phrases(width, keys, ids, words, pairs)
+            rows, counts = _phrases(width, keys, ids, marks)
             found.append((digests_of(rows, ranges, mask), counts))
             held, last = held + len(rows), part
         if found:
@@ -400,12 +500,11 @@ def _filtered(chunks: DataFrame, width: int, words: Table, pairs: Table | None,
 
 def _sent(chunks: DataFrame, width: int, words: Table, pairs: Table | None, able: Filter) -> DataFrame:
     """(w0, w1, ...) of candidates, each from the part of the texts that sends its digest; it comes again only from further tasks with that part."""
-    names = [f"w{k}" for k in range(width)]
+    names, marks = [f"w{k}" for k in range(width)], _marks(chunks, words, pairs)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for keys, ids, part in _chunks(batches):
-            rows, _ = _phrases(width, keys, ids, words, pairs)
+        for rows, _, part in _together(batches, width, marks):
             found.append(rows[able.passes(rows, part)])
             held += len(found[-1])
             if held >= PHRASES:
@@ -422,7 +521,7 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
     names = [f"w{k}" for k in range(width)]
     fields = ", ".join(f"{c} long" for c in names)
 
-    spark = chunks.sparkSession
+    spark, marks = chunks.sparkSession, _marks(chunks, words, pairs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks.count() // 2, 10_000))
     able = _filtered(chunks, width, words, pairs, least, parts)
 
@@ -433,8 +532,7 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for keys, ids, _ in _chunks(batches):
-            rows, counts = _phrases(width, keys, ids, words, pairs)
+        for rows, counts, _ in _together(batches, width, marks):
             fit = able.passes(rows)
             rows, counts = rows[fit], counts[fit]
             stored = np.zeros(len(rows), bool)
@@ -442,8 +540,8 @@ def _counted(chunks: DataFrame, width: int, words: Table, pairs: Table | None, l
                 slots = found.lookup(rows[at])
                 at, slots = at[slots >= 0], slots[slots >= 0]
                 stored[at] = True
-                own = sums.setdefault(block, np.zeros(len(found.keys), np.int64))
-                own += np.bincount(slots, weights=counts[at], minlength=len(own)).astype(np.int64)  # sums under 2 ** 53 are exact
+                own = sums.setdefault(block, np.zeros(len(found.keys), np.int32))
+                own += np.bincount(slots, weights=counts[at], minlength=len(own)).astype(np.int32)  # a task's text has fewer words
             if not stored.all():  # another phrase of its digest was sent
                 yield _array_row(-1, np.ascontiguousarray(rows[~stored]), counts[~stored].astype(np.int64))
             if sum(map(len, sums.values())) > SLOTS:
@@ -513,7 +611,7 @@ def _with_part(function):
 
 def _arrays(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     slots = [np.flatnonzero(x).astype(np.int32) for x in sums.values()]
-    counts = [x[s].tobytes() for x, s in zip(sums.values(), slots)]
+    counts = [x[s].astype(np.int64).tobytes() for x, s in zip(sums.values(), slots)]
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in slots], pa.binary()), pa.array(counts, pa.binary())], names=["block", "slots", "counts"])
 
 
